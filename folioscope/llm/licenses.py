@@ -9,8 +9,8 @@ The base labels are exact phrases of whole words; they are counted over all word
 
 Defined results: null, empty and wordless texts have no words, no labels and score 0; the word
 offsets are null without a base phrase; rows are independent; whole texts are scanned; input columns
-named like results are replaced.  A notice is reported at its best place near each seed hit, and
-overlapping reports of one notice are merged into the one with the fewest errors, then the first.
+named like results are replaced.  Where notices overlap, the one with the fewest errors is reported,
+then the longest, then the first.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def _machine():
 
 
 def fuzzy(text: str) -> list[tuple[int, int, int, int]]:
-    """(notice, start, end, errors) in the normalised text, by notice and start."""
+    """(notice, start, end, errors) in the normalised text, by start, without overlaps."""
     machine, patterns = _machine()
     near: dict[int, list[list[int]]] = {}
     for end, (size, places) in machine.iter(text):
@@ -99,7 +99,11 @@ def fuzzy(text: str) -> list[tuple[int, int, int, int]]:
         for lo, hi in spots:
             for m in pattern.finditer(text, lo, min(hi, len(text))):
                 out.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
-    return out
+    kept: list[tuple[int, int, int, int]] = []
+    for x in sorted(out, key=lambda x: (x[3], x[1] - x[2], x[1])):
+        if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
+            kept.append(x)
+    return sorted(kept, key=lambda x: x[1])
 
 
 def normalised(data: bytes) -> bytes:
