@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import chat, decontaminate, licenses, packing, secrets, topk
+from folioscope.llm import chat, decontaminate, language, licenses, neardup, packing, secrets, topk
 from folioscope.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.report(table(spark, sf_dir, "embeddings"))
 
@@ -39,7 +47,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_decontaminate,
         op2_secrets,
+        op3_neardup,
         op6_licenses,
+        op7_language,
         op8_topk,
         op9_chat,
         op10_packing,
