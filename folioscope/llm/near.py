@@ -40,6 +40,8 @@ class Rule:
     #: Pairs of different components that are compared at once, for each band key held.
     pairs_each: int = 4
     rounds: int = 6
+    #: Ids (8 bytes each) that may be broadcast to pick texts; more are joined by a shuffle.
+    broadcast_ids: int = 500_000
 
 
 def _sets(texts: list[bytes], rule: Rule) -> list[np.ndarray]:
@@ -120,13 +122,14 @@ class Linker:
         most = Sketcher(rule.bands, rule.rows, rule.bits).most_bits(rule.per / rule.of)
         differing = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(rule.bits // 64)), F.lit(0))
         likely = self.shelf.put(both.filter((small * rule.of >= large * rule.per) & (differing <= most)).select("a", "b"))
-        needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        texts = self.items.join(needed, "id", "left_semi").select("id", F.col("text").cast("binary").alias("text")).dropDuplicates(["id"])
+        needed = self.shelf.put(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct())
+        few = needed.count() <= rule.broadcast_ids
+        texts = self.items.join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", F.col("text").cast("binary").alias("text")).dropDuplicates(["id"])
         texts = self.shelf.put(texts)
         text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
         found = likely.join(text("a"), "a").join(text("b"), "b").filter(_confirm(rule)(F.col("text_a"), F.col("text_b")))
         links = self.shelf.put(found.select("a", "b"))
-        self.shelf.drop(likely, texts)
+        self.shelf.drop(likely, needed, texts)
         return links
 
     def links(self) -> tuple[DataFrame, DataFrame | None]:

@@ -17,7 +17,7 @@ CHUNK = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, CHUNK + 4096), base, _U)
@@ -57,8 +57,8 @@ def words(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, _U), first
     total = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * _power(_BASE, len(data))[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_INVERSE, len(data))[starts]), first
+    np.cumsum((data.astype(_U) + _U(1)) * power(_BASE, len(data))[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * power(_INVERSE, len(data))[starts]), first
 
 
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=_U) * _U(_BASE)) | _U(1)
