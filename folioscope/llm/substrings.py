@@ -4,7 +4,8 @@ Paragraphs are the lines of a text; those of ``LINE_WORDS`` words or more go thr
 (8 bands of 3: a pair of similarity 0.8 collides in none with probability 0.3 %, and one of 0.9 with
 0.003 %), collisions are confirmed by exact Jaccard similarity of five-word shingles, and confirmed
 links become components (see ``near``).  A passage often stands inside a paragraph of its own words, so
-the sentences of ``UNIT_WORDS`` words or more are followed too, each by a digest of its words.
+the sentences of ``UNIT_WORDS`` words or more are followed too, each by a digest of its words; long
+sentences are cut first, where the hash of two neighbouring words says so, hence alike in all copies.
 
 A sentence is repeated if its digest, or the component of its line, occurs in another document.
 Repeated sentences with nothing but shorter sentences between them form a run; runs of ``RUN_WORDS``
@@ -34,6 +35,9 @@ RULE = Rule(per=80, bands=8, rows=3, table=WORD_BYTES)
 LINE_WORDS = 20
 UNIT_WORDS = 8
 RUN_WORDS = 30
+#: Sentences of so many words are cut into pieces of about so many.
+LONG_WORDS = 32
+PIECE_WORDS = 16
 
 _U = np.uint64
 _TURN = 0xC2B2AE3D27D4EB4F | 1
@@ -53,6 +57,18 @@ def _ranges(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(marks)) if len(marks) else first
 
 
+def _cut_long(sentence: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers long sentences' pieces too: cut where the hash of two neighbouring words says so."""
+    s0, s1 = _ranges(sentence)
+    long = np.repeat(s1 - s0 >= LONG_WORDS, s1 - s0)
+    new = np.zeros(len(sentence), bool)
+    if len(hashes) > 1:
+        pair = mix(hashes[1:] + hashes[:-1] * _U(_TURN))
+        new[1:] = long[1:] & (pair % _U(PIECE_WORDS) == 0)
+    new[s0] = True
+    return np.cumsum(new)
+
+
 def split(texts: list[bytes]) -> dict[str, np.ndarray]:
     """Units of the texts: text, place among its units, first word and words, bytes, digest, line digest.
 
@@ -65,10 +81,9 @@ def split(texts: list[bytes]) -> dict[str, np.ndarray]:
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     w0, w1 = edge[::2], edge[1::2]
     line = data == 10
-    after = np.append(data[1:], 10)
-    stop = line | (((data == 46) | (data == 33) | (data == 63)) & ((after == 32) | (after == 10) | (after == 9)))
+    stop = line | (data == 46) | (data == 33) | (data == 63)
     sentence, row = np.cumsum(stop)[w0] if len(w0) else w0, np.cumsum(line)[w0] if len(w0) else w0
-    s0, s1 = _ranges(sentence)
+    s0, s1 = _ranges(_cut_long(sentence, hashes))
     l0, l1 = _ranges(row)
     long_line = np.where(l1 - l0 >= LINE_WORDS, _digests(hashes, l0, l1), 0)
     of_line = np.repeat(long_line, l1 - l0)
