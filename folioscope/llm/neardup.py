@@ -34,6 +34,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component; same columns."""
+    """The rows of ``docs`` whose document is the first of its component, one for each id; same columns."""
+    again = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not again.isEmpty():
+        docs = docs.join(again, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
     gone = classes(docs, rule).filter(F.col("id") != F.col("component")).select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

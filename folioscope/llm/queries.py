@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import chat, decontaminate, language, licenses, neardup, packing, secrets, substrings, topk
+from folioscope.llm import chat, decontaminate, language, licenses, neardup, packing, pages, secrets, substrings, topk
 from folioscope.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.report(table(spark, sf_dir, "pages"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_decontaminate,
         op2_secrets,
         op3_neardup,
+        op4_pages,
         op5_substrings,
         op6_licenses,
         op7_language,

@@ -34,7 +34,7 @@ from folioscope.llm.shingles import chunks, mix, power, words
 RULE = Rule(per=80, bands=8, rows=3, table=WORD_BYTES)
 LINE_WORDS = 20
 UNIT_WORDS = 8
-RUN_WORDS = 30
+RUN_WORDS = 24
 #: Sentences of so many words are cut into pieces of about so many.
 LONG_WORDS = 32
 PIECE_WORDS = 16
