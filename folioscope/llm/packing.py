@@ -14,36 +14,41 @@ Defined results: null and empty texts are the end id alone; repeated rows are pa
 occur; whole texts are packed; every id lies in exactly one piece; extra input columns are ignored.
 
 Tokens: a boundary between a character and a following blank is a boundary of the tokenizer's own
-pre-tokens unless blanks meet other white space, so words between blanks are encoded once and kept in
-a bounded cache; a text in which a blank stands between white space is encoded as one.
+pre-tokens unless blanks meet other white space, so is one between a letter and a full stop or comma;
+the words between are encoded once and kept in a bounded cache; a text in which a blank stands between white space is encoded as one.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.shingles import chunks
+
 WINDOW = 1024
 END = 0
 #: Open windows that a task may hold; beyond that they are joined as at the end.
 MAX_OPEN = 8192
-#: Words kept encoded in one worker.
-CACHE_WORDS = 400_000
-
-_ODD_BLANKS = re.compile(r"\s \s")
-
+#: Words in the younger generation of a worker's cache, about; the older one is as large.
+CACHE_WORDS = 500_000
+#: Characters whose words are looked up together.
+GROUP_CHARS = 6_000_000
 
 class Encoder:
-    """Token ids of texts by a ``tokenizers`` file, words kept in a bounded cache."""
+    """Token ids of texts by a ``tokenizers`` file; words are kept in a cache of two generations.
+
+    A word that is met again moves to the younger generation; when that is full it becomes the older
+    one, so frequent words stay and memory is bounded.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = CACHE_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,26 +56,97 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.size = size
+        #: Bytes of each token: byte-level vocabularies spell a byte by a character.
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(token)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: Words of the younger generation with white space at their end (1) or after their blank (2).
+        self.edges: dict[str, int] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if _ODD_BLANKS.search(text):
-            return self._plain([text])[0]
-        words = text.split(" ")
-        words[1:] = [" " + w for w in words[1:]]
-        cache = self.cache
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            cache.update(zip(new, self._plain(new), strict=True))
-        return b"".join(map(cache.__getitem__, words))
+    def _words(self, words: list[str]) -> list[bytes]:
+        """As ``_plain``; many words go through the tokenizer as one text, cut at the words' ends again.
+
+        Words that begin with a blank follow each other as they stand, others after a line break, which
+        is a token by itself; words with white space at an end are encoded alone.
+        """
+        out: list[bytes] = [b""] * len(words)
+        alone = [i for i, w in enumerate(words) if _edge(w) or not w]
+        apart = set(alone)
+        fine = [i for i in range(len(words)) if i not in apart]
+        for i, ids in zip(alone, self._plain([words[i] for i in alone]), strict=True):
+            out[i] = ids
+        for lo in range(0, len(fine), 4096):
+            part = fine[lo : lo + 4096]
+            pieces = [words[i] for i in part]
+            gaps = np.fromiter((w[0] != " " for w in pieces), np.int64, len(pieces))
+            size = np.fromiter((len(w.encode()) for w in pieces), np.int64, len(pieces))
+            text = "".join([w if w[0] == " " else "\n" + w for w in pieces])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(self.bytes[ids])
+            last = np.cumsum(size + gaps)
+            to = np.searchsorted(ends, last) + 1
+            if len(ids) and (ends[-1] != last[-1] or (ends[to - 1] != last).any()):
+                raise ValueError("the tokenizer is not byte-level, or joins words")
+            since = np.concatenate(([0], to[:-1])) + gaps
+            flat = ids.tobytes()
+            for i, a, b in zip(part, (4 * since).tolist(), (4 * to).tolist(), strict=True):
+                out[i] = flat[a:b]
+        return out
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        if len(self.young) > self.size:
+            self.old, self.young, self.edges = self.young, {}, {}
+        young, old = self.young, self.old
+        met = [w for w in pieces if w not in young]
+        self.edges.update((w, k) for w in met if (k := _edge(w)))
+        young.update((w, old[w]) for w in met if w in old)
+        new = [w for w in met if w not in young]
+        young.update(zip(new, self._words(new), strict=True))
+        return [young[w] for w in pieces]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        if not texts:
+            return []
+        # each word but the first has the blank before it
+        marked = pc.replace_substring(pa.array(texts, pa.large_string()), " ", "\0 ")
+        # a full stop or comma after a letter begins a pre-token too
+        cut = pc.split_pattern(pc.replace_substring_regex(marked, "([A-Za-z])([,.])", "\\1\0\\2"), "\0")
+        counts = pc.list_value_length(cut).to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        at, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        place = np.concatenate(([0], np.cumsum(counts)))
+        # texts in which a blank stands between white space, or a zero, are encoded as one
+        ids = self._known(pieces)
+        edge = np.zeros(len(pieces), np.int8)
+        if self.edges:
+            edge[:] = [self.edges.get(w, 0) for w in pieces]
+        edge = edge[at]
+        odd = np.flatnonzero((edge[:-1] & 1) & (edge[1:] >> 1))
+        whole = sorted({*(np.searchsorted(place, odd, "right") - 1).tolist(), *(i for i, t in enumerate(texts) if "\0" in t)})
+
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        sizes = size[at]
+        out_at = np.concatenate(([0], np.cumsum(sizes)))
+        gathered = flat[np.repeat(first[at] - out_at[:-1], sizes) + np.arange(out_at[-1])].tobytes()
+        bounds = (4 * out_at[place]).tolist()
+        out = [gathered[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i, found in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
+            out[i] = found
+        return out
+
+
+def _edge(w: str) -> int:
+    return w[-1:].isspace() + 2 * (w == " " or w[1:2].isspace())
 
 
 def default_tokenizer() -> str:
@@ -214,10 +290,12 @@ def packed(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False
             return pa.RecordBatch.from_pydict(cols)
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                packer.add(doc, encoder.encode(text.as_py() or "") + end)
-                if len(packer.rows) >= 10_000:
-                    yield out()
+            ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
+            for lo, hi in chunks(texts, GROUP_CHARS):
+                for doc, found in zip(ids[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
+                    packer.add(doc, found + end)
+                    if len(packer.rows) >= 10_000:
+                        yield out()
         packer.join(last=True)
         yield out()
 
