@@ -31,6 +31,12 @@ def split_words(data: bytes) -> list[bytes]:
     return data.translate(WORD_BYTES).split()
 
 
+def slices(batch, rows: int = 512):
+    """An Arrow batch in parts, so that only few texts are Python objects at a time."""
+    for at in range(0, batch.num_rows if hasattr(batch, "num_rows") else len(batch), rows):
+        yield batch.slice(at, rows)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only where none is set (single machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -3,11 +3,11 @@
 1. Texts with equal shingle sets form a class; only a class's smallest id goes on.
 2. Classes that share a band key are candidates.  No bucket is paired up: each member is compared
    with its bucket's smallest member, and confirmed links are folded into components.
-3. What is left are pairs of a bucket that lie in different components.  While there are many, further
-   rounds compare every bucket's members with another member; then the rest is compared pair by pair,
-   so that no two members of a bucket stay unlinked that ought to be linked.
-4. A candidate is checked by the sizes of its sets, then by the XOR population count of the odd
+3. Such a candidate is checked by the sizes of its sets, then by the XOR population count of the odd
    sketches, which throws out pairs far below the threshold, then on the full shingle sets.
+4. Buckets that still hold several components are taken together where they share members.  These
+   groups are compared whole, in blocks of bounded size, on full sets; a block returns only links that
+   join its components.  So no two members of a bucket stay apart that ought to be linked.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BLANK_BYTES, Shelf
+from folioscope.llm.common import BLANK_BYTES, Shelf, slices
 from folioscope.llm.components import components
 from folioscope.llm.shingles import Sketcher, chunks, shingles, words
 
@@ -37,9 +38,9 @@ class Rule:
     rows: int = 5
     bits: int = 256
     table: bytes = BLANK_BYTES
-    #: Pairs of different components that are compared at once, for each band key held.
-    pairs_each: int = 4
-    rounds: int = 6
+    #: Items, and shingles, of a group that one task compares with as many others.
+    block_items: int = 1024
+    block_shingles: int = 1_000_000
     #: Ids (8 bytes each) that may be broadcast to pick texts; more are joined by a shuffle.
     broadcast_ids: int = 500_000
 
@@ -55,61 +56,136 @@ def _sets(texts: list[bytes], rule: Rule) -> list[np.ndarray]:
 def sketches(items: DataFrame, rule: Rule) -> DataFrame:
     """id, n (distinct shingles), h1 and h2 (digest of the set), bands, odd; items has id and text."""
 
-    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        sketcher = Sketcher(rule.bands, rule.rows, rule.bits)
-        for batch in texts:
-            data = batch.to_pylist()
-            parts = []
-            for lo, hi in chunks(data):
-                found, place = shingles(*words(data[lo:hi], rule.table), rule.k)
-                samples = sketcher.samples(found, place)
-                sets = [np.unique(found[a:b]) for a, b in zip(place, place[1:], strict=False)]
-                digest = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
-                wide = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
-                parts.append(
-                    pa.StructArray.from_arrays(
-                        [pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), wide(sketcher.keys(samples)), wide(sketcher.odd(samples))],
-                        ["n", "h1", "h2", "bands", "odd"],
-                    )
-                )
-            yield pa.concat_arrays(parts) if parts else pa.array([], type=_SKETCH)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [pa.StructArray.from_arrays(sketched(part.to_pylist(), rule), SKETCH_FIELDS) for part in slices(batch)]
+            yield pa.concat_arrays(parts)
 
-    kind = "struct<n:long,h1:long,h2:long,bands:array<long>,odd:array<long>>"
-    return items.select("id", F.arrow_udf(run, kind)(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("s")).select("id", "s.*")
+    return items.select("id", F.arrow_udf(run, SKETCH)(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("s")).select("id", "s.*")
 
 
-_SKETCH = pa.struct([("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
+SKETCH_FIELDS = ["n", "h1", "h2", "bands", "odd"]
+SKETCH = "struct<n:long,h1:long,h2:long,bands:array<long>,odd:array<long>>"
+
+
+def sketched(texts: list[bytes], rule: Rule) -> list[pa.Array]:
+    """Arrays of the sketch fields."""
+    sketcher = _sketcher(rule.bands, rule.rows, rule.bits)
+    size, digests, keys, odd = [], [], [], []
+    for lo, hi in chunks(texts):
+        found, place = shingles(*words(texts[lo:hi], rule.table), rule.k)
+        samples = sketcher.samples(found, place)
+        for a, b in zip(place, place[1:], strict=False):
+            own = np.unique(found[a:b])
+            size.append(len(own))
+            digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+        keys.append(sketcher.keys(samples))
+        odd.append(sketcher.odd(samples))
+    digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+    def wide(parts: list[np.ndarray], width: int) -> pa.Array:
+        flat = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, width, dtype=np.int32), flat)
+
+    return [pa.array(size, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), wide(keys, rule.bands), wide(odd, rule.bits // 64)]
+
+
+@lru_cache(4)
+def _sketcher(bands: int, rows: int, bits: int) -> Sketcher:
+    return Sketcher(bands, rows, bits)
 
 
 def _confirm(rule: Rule):
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            known: dict[bytes, np.ndarray] = {}
-            a, b = left.to_pylist(), right.to_pylist()
-            new = list({*a, *b})
-            known.update(zip(new, _sets(new, rule), strict=True))
             out = []
-            for x, y in zip(a, b, strict=True):
-                s, t = known[x], known[y]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                out.append(both > 0 and both * rule.of >= rule.per * (len(s) + len(t) - both))
+            for lefts, rights in zip(slices(left), slices(right), strict=True):
+                a, b = lefts.to_pylist(), rights.to_pylist()
+                new = list({*a, *b})
+                known = dict(zip(new, _sets(new, rule), strict=True))
+                for x, y in zip(a, b, strict=True):
+                    s, t = known[x], known[y]
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    out.append(both > 0 and both * rule.of >= rule.per * (len(s) + len(t) - both))
             yield pa.array(out, pa.bool_())
 
     return F.arrow_udf(run, "boolean")
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of one block.
+
+    Rare shingles are counted pair by pair, frequent ones by a product of 0/1 matrices; shingles of one
+    set alone are left out.
+    """
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    count = np.bincount(column, minlength=len(values))
+    order = np.argsort(column, kind="stable")
+    owner, starts = owner[order], np.concatenate(([0], np.cumsum(count)))[:-1]
+    out = np.zeros(n * n, np.int64)
+    few = min(n, 32)
+    for c in range(2, few + 1):
+        at = starts[count == c]
+        if len(at):
+            held = owner[at[:, None] + np.arange(c)[None, :]]
+            for x in range(c):
+                for y in range(x + 1, c):
+                    out += np.bincount(held[:, x] * n + held[:, y], minlength=n * n) if len(at) > 64 else 0
+                    if len(at) <= 64:
+                        np.add.at(out, held[:, x] * n + held[:, y], 1)
+    out = out.reshape(n, n)
+    often = np.flatnonzero(count > few)
+    for lo in range(0, len(often), 4096):
+        part = often[lo : lo + 4096]
+        dense = np.zeros((n, len(part)), np.float32)
+        for k, c in enumerate(part):
+            dense[owner[starts[c] : starts[c] + count[c]], k] = 1
+        out += np.triu(dense @ dense.T, 1).astype(np.int64)
+    return out
+
+
+def _joining(ids: list[int], owner: list[int], sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
+    """Links between different components, no more than are needed to join them."""
+    size = np.array([len(s) for s in sets])
+    both = _overlaps(sets)
+    union = size[:, None] + size[None, :] - both
+    linked = (both > 0) & (both * rule.of >= rule.per * union)
+    own = np.asarray(owner)
+    linked &= own[:, None] != own[None, :]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(linked), strict=True):
+        a, b = find(owner[x]), find(owner[y])
+        if a != b:
+            root[a] = b
+            out.append((ids[x], ids[y]))
+    return out
+
+
 class Linker:
-    """Links among items (id, text) under a rule; ``items`` must be cheap to read again."""
+    """Links among items (id, text) under a rule; ``items`` must be cheap to read again.
 
-    def __init__(self, items: DataFrame, rule: Rule):
+    ``sketched`` are their ``sketches`` where they are made together with the items.
+    """
+
+    def __init__(self, items: DataFrame, rule: Rule, sketched: DataFrame | None = None):
         self.items, self.rule = items, rule
         self.shelf = Shelf(items.sparkSession)
-        self.sketched = self.shelf.put(sketches(items, rule))
+        self.sketched = self.shelf.put(sketches(items, rule) if sketched is None else sketched)
         self.classes = self.sketched.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("h1", "h2").agg(F.min("id").alias("rep"))
         own = self.sketched.join(self.classes, ["h1", "h2"]).filter(F.col("id") == F.col("rep"))
-        self.reps = self.shelf.put(own.select("id", "n", "odd", "bands"))
+        self.reps = self.shelf.put(own.select("id", "n", "odd", "bands").dropDuplicates(["id"]))
         self.light = self.reps.select("id", "n", "odd")
-        rows = self.reps.select(F.explode("bands").alias("key"), "id").distinct()
+        rows = self.reps.select(F.explode(F.array_distinct("bands")).alias("key"), "id")
         shared = rows.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).filter("members > 1")
         self.rows = self.shelf.put(rows.join(shared, "key").select("key", "id", "centre"))
 
@@ -122,49 +198,72 @@ class Linker:
         most = Sketcher(rule.bands, rule.rows, rule.bits).most_bits(rule.per / rule.of)
         differing = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(rule.bits // 64)), F.lit(0))
         likely = self.shelf.put(both.filter((small * rule.of >= large * rule.per) & (differing <= most)).select("a", "b"))
-        needed = self.shelf.put(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct())
-        few = needed.count() <= rule.broadcast_ids
-        texts = self.items.join(F.broadcast(needed) if few else needed, "id", "left_semi").select("id", F.col("text").cast("binary").alias("text")).dropDuplicates(["id"])
-        texts = self.shelf.put(texts)
+        texts = self._texts(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))))
         text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
         found = likely.join(text("a"), "a").join(text("b"), "b").filter(_confirm(rule)(F.col("text_a"), F.col("text_b")))
         links = self.shelf.put(found.select("a", "b"))
-        self.shelf.drop(likely, needed, texts)
+        self.shelf.drop(likely, texts)
         return links
 
-    def links(self) -> tuple[DataFrame, DataFrame | None]:
-        """All links that join components, and the components (node, component)."""
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """Links that hold the components together, and the components (node, component)."""
         first = self.rows.filter("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
         links = self._checked(first)
-        for k in range(self.rule.rounds + 1):
-            parts = self.shelf.put(components(links, self.shelf))
-            named = parts.withColumnRenamed("node", "id")
-            placed = self.rows.join(named, "id", "left").select("key", "id", "centre", F.coalesce("component", "id").alias("component"))
-            # buckets that hold more than one component, with the number of pairs between components
-            sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-            mixed = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("kinds")).filter("kinds > 1")
-            open_rows = self.shelf.put(placed.join(mixed.select("key", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("across")), "key"))
-            keys = open_rows.select("key", "across").distinct()
-            across, held = keys.agg(F.sum("across")).first()[0] or 0, open_rows.count()
-            if not across:
-                return links, parts
-            last = across <= self.rule.pairs_each * max(held, 100_000) or k == self.rule.rounds
-            if last:
-                left = open_rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), "centre")
-                right = open_rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-                pairs = left.join(right, "key").filter("a > b AND ca != cb AND b != centre").select("a", "b").distinct()
-            else:
-                # another member, by a hash of its id and the round, takes the centre's place
-                order = F.xxhash64("id", F.lit(k))
-                chosen = open_rows.groupBy("key").agg(F.min(order).alias("order"))
-                pick = open_rows.withColumn("order", order).join(chosen, ["key", "order"]).select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-                met = open_rows.join(pick, "key").filter("id != b AND component != cb")
-                pairs = met.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-            more = self._checked(pairs)
-            links = self.shelf.put(links.unionByName(more))
-            if last:
-                return links, self.shelf.put(components(links, self.shelf))
-            self.shelf.drop(parts, open_rows)
+        parts = self.shelf.put(components(links, self.shelf))
+        named = parts.withColumnRenamed("node", "id")
+        placed = self.shelf.put(self.rows.join(named, "id", "left").select("key", "id", "centre", F.coalesce("component", "id").alias("component")))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
+        loose = self.shelf.put(placed.join(mixed, "key").filter("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
+        if loose.isEmpty():
+            return links, parts
+        more = self._blocks(components(loose, self.shelf), named)
+        links = self.shelf.put(links.unionByName(more))
+        return links, self.shelf.put(components(links, self.shelf))
+
+    def _blocks(self, loose: DataFrame, named: DataFrame) -> DataFrame:
+        """Links (a, b) between components inside the loose groups (node, component), compared in blocks.
+
+        A task holds ``block_items`` items of a large group twice, or many small groups together, and
+        returns no more links than join its components.
+        """
+        rule, shelf = self.rule, self.shelf
+        members = loose.select(F.col("node").alias("id"), F.col("component").alias("loose")).join(named, "id", "left").join(self.reps.select("id", "n"), "id")
+        members = shelf.put(members.select("id", "loose", F.coalesce("component", "id").alias("component"), "n"))
+        cuts = F.ceil(F.greatest(F.count("*") / rule.block_items, F.sum("n") / rule.block_shingles))
+        sizes = members.groupBy("loose").agg(cuts.alias("cuts"))
+        total = members.agg(F.count("*"), F.sum("n")).first()
+        bins = int(max(1, -(-total[0] // rule.block_items), -(-total[1] // rule.block_shingles)))
+        mine = F.pmod(F.xxhash64("id"), F.col("cuts"))
+        other = F.explode(F.when(F.col("cuts") > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda j: j != F.col("mine"))).otherwise(F.array(F.lit(0).cast("long"))))
+        dealt = members.join(sizes, "loose").withColumn("mine", mine).withColumn("other", other)
+        large = F.col("cuts") > 1
+        dealt = dealt.select(
+            F.when(large, F.col("loose")).otherwise(F.pmod(F.xxhash64("loose"), F.lit(bins))).alias("bin"),
+            F.when(large, F.least("mine", "other") + 1).otherwise(0).alias("i"),
+            F.when(large, F.greatest("mine", "other") + 1).otherwise(0).alias("j"),
+            "id", "loose", "component",
+        )
+        texts = self._texts(members.select("id"))
+
+        def run(group: pa.Table) -> pa.Table:
+            ids, loose, owner = (group.column(c).to_numpy() for c in ("id", "loose", "component"))
+            texts = group.column("text").to_pylist()
+            order = np.lexsort((ids, loose))
+            edges: list[tuple[int, int]] = []
+            for rows in np.split(order, np.flatnonzero(np.diff(loose[order])) + 1):
+                edges += _joining(ids[rows].tolist(), owner[rows].tolist(), _sets([texts[i] for i in rows], rule), rule)
+            return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+        return shelf.put(dealt.join(texts, "id").groupBy("bin", "i", "j").applyInArrow(run, "a long, b long"))
+
+    def _texts(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of those items, written down."""
+        needed = self.shelf.put(ids.distinct())
+        few = needed.count() <= self.rule.broadcast_ids
+        texts = self.items.join(F.broadcast(needed) if few else needed, "id", "left_semi")
+        out = self.shelf.put(texts.select("id", F.col("text").cast("binary").alias("text")).dropDuplicates(["id"]))
+        self.shelf.drop(needed)
+        return out
 
     def labelled(self) -> DataFrame:
         """id, n, component: one row for each item; null ids and empty texts are their own component."""

@@ -12,7 +12,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes that go through the arrays together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _powers: dict[int, np.ndarray] = {}
 
