@@ -10,6 +10,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,8 +161,6 @@ def porter(w: str) -> str:
 
 def stemmed(terms: DataFrame, term: str = "term", out: str = "stem") -> DataFrame:
     """Distinct terms with their stems; join it back by term."""
-    import pandas as pd
-
     def run(x: pd.Series) -> pd.Series:
         return x.map(porter)
 
