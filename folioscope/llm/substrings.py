@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD_BYTES, Shelf
+from folioscope.llm.common import WORD_BYTES, Shelf, slices
 from folioscope.llm.components import components
-from folioscope.llm.near import Linker, Rule
+from folioscope.llm.near import SKETCH_FIELDS, Linker, Rule, sketched
 from folioscope.llm.shingles import chunks, mix, power, words
 
 RULE = Rule(per=80, bands=8, rows=3, table=WORD_BYTES)
@@ -115,7 +115,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def units(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             ids, tags, texts = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("tag").to_numpy(zero_copy_only=False), b.column("text").to_pylist()
             for lo, hi in chunks(texts):
                 u = split(texts[lo:hi])
@@ -126,22 +126,39 @@ def units(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, _UNITS)
 
 
+def _long_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Digests and bytes of the long lines."""
+    for b in (part for batch in batches for part in slices(batch)):
+        texts = b.column("text").to_pylist()
+        for lo, hi in chunks(texts):
+            lines = [x for t in texts[lo:hi] for x in t.split(b"\n") if len(x) >= 2 * LINE_WORDS - 1]
+            hashes, first = words(lines, WORD_BYTES)
+            keep = np.flatnonzero(np.diff(first) >= LINE_WORDS)
+            yield _digests(hashes, first[:-1], first[1:])[keep], [lines[i] for i in keep]
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(id, text) of the long lines; the id is the line digest of ``units``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi in chunks(texts):
-                lines = [x for t in texts[lo:hi] for x in t.split(b"\n") if len(x) >= 2 * LINE_WORDS - 1]
-                hashes, first = words(lines, WORD_BYTES)
-                ids = _digests(hashes, first[:-1], first[1:])
-                keep = np.flatnonzero(np.diff(first) >= LINE_WORDS)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[keep], pa.int64()), "text": pa.array([lines[i] for i in keep], pa.binary())})
+        for ids, lines in _long_lines(batches):
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "text": pa.array(lines, pa.binary())})
 
     return _keyed(docs).mapInArrow(run, "id long, text binary")
 
 
+def paragraph_sketches(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``near.sketches`` of the long lines, each distinct line of a chunk once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, lines in _long_lines(batches):
+            once = np.unique(ids, return_index=True)[1]
+            fields = sketched([lines[i] for i in once], rule)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[once], pa.int64()), *fields], ["id", *SKETCH_FIELDS])
+
+    return _keyed(docs).mapInArrow(run, "id long, n long, h1 long, h2 long, bands array<long>, odd array<long>")
+
+
 def _across(classes: DataFrame, key: str) -> DataFrame:
     """Classes that occur in several documents, with the first of them."""
     return classes.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first != last").drop("last")
@@ -151,7 +168,7 @@ def passages(docs: DataFrame, rule: Rule = RULE, shelf: Shelf | None = None) ->
     """doc_id, tag, place, at, words, b0, b1, first: repeated sentences in passages, and who keeps them."""
     shelf = shelf or Shelf(docs.sparkSession)
     own = shelf.put(units(docs))
-    named = Linker(paragraphs(docs), rule).labelled().select(F.col("id").alias("line"), "component").distinct()
+    named = Linker(paragraphs(docs), rule, paragraph_sketches(docs, rule)).labelled().select(F.col("id").alias("line"), "component").distinct()
     lines = own.filter("line != 0").select("line", "doc_id").distinct().join(named, "line")
     kept = _across(lines, "component")
     by_line = lines.join(kept, "component").select("line", F.col("first").alias("line_first")).distinct()
