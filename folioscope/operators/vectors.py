@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +43,12 @@ def embed(texts: DataFrame, model: Callable[[list[str]], list[list[float]]], mod
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series(model(b.tolist()))
+            found = np.asarray(model(b.tolist()), np.float64).reshape(len(b), -1)
+            norm = np.sqrt((found**2).sum(1, keepdims=True))
+            yield pd.Series(list((found / np.where(norm > 1e-12, norm, 1.0)).astype(np.float32)))
 
     vec = F.pandas_udf(run, "array<float>")(F.substring(text, 1, chars))
-    return texts.select(key, normalised(vec).alias("vec"), F.lit(model_id).alias("model_id"))
+    return texts.select(key, vec.alias("vec"), F.lit(model_id).alias("model_id"))
 
 
 def build(texts: DataFrame, vectors: DataFrame, model: Callable, model_id: str, least: int = 40, chars: int = 1200) -> DataFrame:
