@@ -35,7 +35,7 @@ c AS (SELECT doc_id, min(top) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
 
 SQL["op8_topk"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * x::DOUBLE) AS DOUBLE)) AS e FROM embeddings)
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS e FROM embeddings)
 SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
 FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
 WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) QUALIFY row_number() OVER w <= 20"""
