@@ -2,7 +2,8 @@
 
 Postings are written once, spread by a hash of the term and sorted by term and row, so a query reads
 only the row groups that its few terms lie in and never tokenises a text.  A frequent term's postings
-are spread over several files by a salt.  Nothing that ranks reads the texts.
+are spread over several files by a salt.  Each posting has its row's length, so scoring joins nothing,
+and nothing that ranks reads the texts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ SALT_ROWS = 4_000_000
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, rowid, pos), docs(rowid, doc_len, ...), and the number and mean length of rows."""
+    """postings(term, rowid, pos, doc_len), docs(rowid, doc_len, ...), and the number and mean length of rows."""
 
     postings: DataFrame
     docs: DataFrame
@@ -30,16 +31,13 @@ class Index:
 
 
 def postings_of(texts: DataFrame, analyser: str = "simple", text: str = "text") -> DataFrame:
-    """(term, rowid, pos) of every token; rowid as given."""
+    """(term, rowid, pos, doc_len) of every token; rowid as given."""
     terms, stems = ANALYSERS[analyser]
-    out = texts.select("rowid", F.posexplode(terms(F.coalesce(F.col(text), F.lit("")))).alias("pos", "term"))
+    listed = texts.select("rowid", terms(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    out = listed.select("rowid", F.size("t").alias("doc_len"), F.posexplode("t").alias("pos", "term"))
     if stems:
-        out = out.join(stemmed(out), "term").select("rowid", "pos", F.col("stem").alias("term"))
-    return out.select("term", "rowid", "pos")
-
-
-def doc_lengths(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("rowid").agg(F.count("*").alias("doc_len"))
+        out = out.join(stemmed(out), "term").withColumn("term", F.col("stem"))
+    return out.select("term", "rowid", "pos", "doc_len")
 
 
 def save(texts: DataFrame, path: str, attributes: list[str], analyser: str = "simple", files: int | None = None) -> None:

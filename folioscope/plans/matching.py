@@ -19,21 +19,21 @@ from folioscope.plans.querylang import Query
 
 
 def phrase_counts(index: Index, phrases: list[list[str]]) -> DataFrame:
-    """(phrase, rowid, f): occurrences of each phrase (a list of terms) in each row that has it."""
+    """(phrase, rowid, f, doc_len): occurrences of each phrase (a list of terms) in each row that has it."""
     terms = sorted({t for p in phrases for t in p})
     hits = index.postings.filter(F.col("term").isin(terms))
     parts = []
     single = {p[0]: i for i, p in enumerate(phrases) if len(p) == 1}
     if single:
         number = F.create_map(*(x for t, i in single.items() for x in (F.lit(t), F.lit(i))))
-        parts.append(hits.filter(F.col("term").isin(list(single))).groupBy("term", "rowid").agg(F.count("*").alias("f")).select(number[F.col("term")].alias("phrase"), "rowid", "f"))
+        parts.append(hits.filter(F.col("term").isin(list(single))).groupBy("term", "rowid").agg(F.count("*").alias("f"), F.max("doc_len").alias("doc_len")).select(number[F.col("term")].alias("phrase"), "rowid", "f", "doc_len"))
     for i, p in enumerate(phrases):
         if len(p) > 1:
-            at = hits.filter(F.col("term") == p[0]).select("rowid", "pos")
+            at = hits.filter(F.col("term") == p[0]).select("rowid", "pos", "doc_len")
             for k, term in enumerate(p[1:], 1):
                 nxt = hits.filter(F.col("term") == term).select("rowid", (F.col("pos") - k).alias("pos"))
                 at = at.join(nxt, ["rowid", "pos"])
-            parts.append(at.groupBy("rowid").agg(F.count("*").alias("f")).select(F.lit(i).alias("phrase"), "rowid", "f"))
+            parts.append(at.groupBy("rowid").agg(F.count("*").alias("f"), F.max("doc_len").alias("doc_len")).select(F.lit(i).alias("phrase"), "rowid", "f", "doc_len"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -57,9 +57,8 @@ def matched(index: Index, query: Query, options: Options | None = None) -> DataF
     # a handful of rows, one for each phrase of the query
     spread = counts.groupBy("phrase").agg(F.count("*").alias("n"))
     weights = spread.select("phrase", idf(index.rows, F.col("n").cast("double")).alias("idf"))
-    length = index.docs.select("rowid", "doc_len")
     norm = options.k1 * (1 - options.b + options.b * F.col("doc_len") / F.lit(index.mean or 1.0))
-    scored = counts.join(F.broadcast(weights), "phrase").join(length, "rowid")
+    scored = counts.join(F.broadcast(weights), "phrase")
     part = F.col("idf") * F.col("f") * (options.k1 + 1) / (F.col("f") + norm)
     held = [F.max(F.col("phrase") == i) for i in range(len(phrases))]
     # a phrase named in several groups counts once for each of them
