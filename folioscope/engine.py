@@ -258,6 +258,31 @@ class Engine:
     def counters(self) -> DataFrame:
         return library.counters(self.tables.sources, self.tables.jobs)
 
+    def jobs(self, n: int = 100) -> DataFrame:
+        """The newest jobs with what their sources are called."""
+        return library.jobs_with_titles(self.tables.jobs, self.tables.sources).orderBy(F.desc("updated"), F.desc("id")).limit(n)
+
+    def paths(self) -> DataFrame:
+        """Indexed paths and the keys under which spellings of one file meet."""
+        return self.tables.sources.select("path", library.path_key(F.col("path")).alias("key")).distinct()
+
+    def embed_status(self) -> DataFrame:
+        """Pages, skipped, embedded and percentage of the vector layer."""
+        return vectors.coverage(self.tables.pages, self.tables.vectors, self.options.min_embed_chars)
+
+    def build_vectors(self, model: Callable[[list[str]], list[list[float]]], model_id: str, held: DataFrame) -> DataFrame:
+        """All vectors after an incremental build; ``held`` has rowid, vec, model_id."""
+        return vectors.build(self.tables.pages, held, model, model_id, self.options.min_embed_chars, self.options.max_embed_chars)
+
+    def build_concepts(self, model: Callable[[list[str]], list[list[float]]], model_id: str) -> DataFrame:
+        """(tag, vec, model_id): embedded profiles of all tags; no tags give no rows."""
+        profiles = topics.concept_profiles(self.tables.articles, self.stats())
+        return vectors.embed(profiles, model, model_id, key="tag", text="profile")
+
+    def health(self) -> dict:
+        """Whether index and layers are usable."""
+        return {"rows": self.index.rows, "hybrid": self._hybrid_ready(), "articles": self.article_index is not None, "concepts": self.tables.concepts is not None}
+
     def describe(self) -> dict:
         """Options and the index's figures."""
         return {"rows": self.index.rows, "mean_length": self.index.mean, "analyser": self.index.analyser, "options": self.options}

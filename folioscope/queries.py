@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.engine import Engine, Library
-from folioscope.functions import titles, years
+from folioscope.functions import titles, udtf, years
 from folioscope.functions.analysis import fold, light_stems, unmark
-from folioscope.operators import library, postings, ranking, topics, vectors
+from folioscope.operators import library, postings, ranking, repairs, topics, vectors
 from folioscope.operators.postings import Index
 from folioscope.plans import querylang
 from folioscope.plans.matching import matched, phrase_counts
@@ -413,6 +413,25 @@ def head_tail_text(spark, sf_dir):
     return out.select("path", F.md5("head").alias("head"), F.md5("tail").alias("tail"))
 
 
+@query
+def year_repair_plan(spark, sf_dir):
+    """Plan and application of year repairs over a small library."""
+    rows = [("/a", "1855-Stairs", 1, "text"), ("/b", "Carpentry", 1, "COPYRIGHT 1912 IRA"), ("/b", "Carpentry", 2, "more"), ("/c", "Plain", 1, "nothing")]
+    own = spark.createDataFrame(rows, "path string, title string, page int, text string")
+    stored = spark.createDataFrame([("/a", None), ("/b", 1924), ("/b", 1924), ("/c", 1950)], "path string, year int")
+    plan = repairs.year_plan(own, stored)
+    return plan.join(repairs.apply_years(stored, plan).groupBy("path").agg(F.max("year").alias("written")), "path").select("path", "old", "new", "action", "written")
+
+
+@query
+def title_repair_plan(spark, sf_dir):
+    rows = [("Fine Woodworking 2025", "7", "/l/7.pdf", None, "keep"), ("x", "Tool Chest", "/l/Tool Chest.pdf", None, "keep"), ("books", "9", "/l/9.pdf", "Old Name", "metadata")]
+    src = spark.createDataFrame(rows, "collection string, title string, path string, pub string, pub_src string")
+    heads = spark.createDataFrame([("/l/9.pdf", "", "WOODSMITH  magazine")], "path string, meta_title string, head string")
+    plan = repairs.title_plan(src, heads)
+    return plan.join(repairs.apply_titles(src, plan).select("path", F.col("pub").alias("written")), "path").select("path", "old", "new", "action", "written")
+
+
 # ---- books and jobs ----------------------------------------------------------------------------------------
 
 @query
@@ -488,6 +507,34 @@ def tidy_jobs(spark, sf_dir):
     return tidied(jobs, jobs.filter("status = 'purchase'").select("path")).select("path", "id", "status")
 
 
+@query
+def merged_copies(spark, sf_dir):
+    """Copies merged away and one of them restored."""
+    jobs = library.latest(events_as_jobs(spark, sf_dir), ["path"]).select("path", "title", "status", "detail", "updated")
+    copies = jobs.filter(F.col("title").cast("int") < 20).select("path", "title", F.lit("keeper").alias("kept"))
+    marked = repairs.mark_copies(jobs, copies, 1.0)
+    return repairs.restore_copies(marked, spark.createDataFrame([("/LIB/3.pdf",)], "path string")).select("path", "status")
+
+
+@query
+def bulk_outcome(spark, sf_dir):
+    asked = spark.createDataFrame([("SRC1",), ("src1",), ("src2",), ("nowhere",)], "path string")
+    return repairs.bulk_outcome(asked, source_rows(spark, sf_dir))
+
+
+@query
+def jobs_with_titles(spark, sf_dir):
+    jobs = library.latest(events_as_jobs(spark, sf_dir), ["path"])
+    src = spark.createDataFrame([("/lib/1.pdf", "One_Title", None), ("/lib/2.pdf", "2", "A Journal No. 2")], "path string, title string, pub string")
+    return library.jobs_with_titles(jobs, src).select("path", "status", "shown")
+
+
+@query
+def tokenize_table_function(spark, sf_dir):
+    udtf.register(spark)
+    return spark.sql("SELECT * FROM tokenize('Café-crème, don''t 12')")
+
+
 @query
 def cascade_delete_counts(spark, sf_dir):
     own = pages(spark, sf_dir)
