@@ -37,6 +37,21 @@ def slices(batch, rows: int = 512):
         yield batch.slice(at, rows)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, since a worker lives on after a task that needed much."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only where none is set (single machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD_BYTES, Shelf, split_words, text_bytes
+from folioscope.llm.common import WORD_BYTES, Shelf, release_memory, split_words, text_bytes
 
 #: Item text in one automaton; about 100 MB of Python objects in each worker.
 PASS_BYTES = 1_000_000
 WINDOW = 8
 
-_RESULT = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>"
+_RESULT = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>,text:string>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -193,53 +193,62 @@ def _automata(items: DataFrame, id_col: str, text_col: str, window: int) -> Iter
         yield Automaton([(r.item, bytes(r.data)) for r in part.collect()], window)
 
 
-def match(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, out: str = "match") -> DataFrame:
-    """``docs`` with a struct column ``out``: n_words, hit word spans (end exclusive), item ids."""
+def _cut_all(data: bytes, spans: list[tuple[int, int]], machine: Automaton) -> bytes:
+    """Cuts until nothing is hit, should the words around a cut make a window together."""
+    while spans:
+        data = _cut(data, spans)
+        spans = machine.scan(split_words(data))[0]
+    return data
+
+
+def _scanner(shared, cut: bool):
+    """The Arrow function of ``match`` for an automaton that was sent to the executors."""
+
+    def scan(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        machine = shared.value
+        for data, spans, names in batches:
+            count, hits, ids, texts = [], [], [], []
+            for i, text in enumerate(data):
+                text = text.as_py()
+                words = split_words(text)
+                new, own = machine.scan(words)
+                new = merged(new + [(x["start"], x["end"]) for x in spans[i].as_py() or []])
+                count.append(len(words))
+                hits.append([{"start": a, "end": b} for a, b in new])
+                ids.append(sorted(own.union(names[i].as_py() or [])))
+                texts.append(_cut_all(text, new, machine).decode("utf-8", "replace") if cut and new else None)
+            yield pa.StructArray.from_arrays(
+                [pa.array(count, pa.int64()), pa.array(hits, _SPANS), pa.array(ids, pa.list_(pa.string())), pa.array(texts, pa.string())], ["n_words", "spans", "items", "text"]
+            )
+        release_memory()
+
+    return scan
+
+
+def match(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, out: str = "match", cut: bool = False) -> DataFrame:
+    """``docs`` with a struct column ``out``: n_words, hit word spans (end exclusive), item ids.
+
+    With ``cut`` it also has the text without the spans, where there are any.
+    """
     spark = docs.sparkSession
-    found, shelf = None, Shelf(spark)
-    for automaton in _automata(items, item_id, item_text, window):
-        shared = spark.sparkContext.broadcast(automaton)
-
-        @F.arrow_udf(_RESULT)
-        def scan(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            machine = shared.value
-            for batch in data:
-                count, spans, names = [], [], []
-                for text in batch:
-                    words = split_words(text.as_py())
-                    hits, found = machine.scan(words)
-                    count.append(len(words))
-                    spans.append([{"start": a, "end": b} for a, b in hits])
-                    names.append(sorted(found))
-                yield pa.StructArray.from_arrays(
-                    [pa.array(count, pa.int64()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))],
-                    ["n_words", "spans", "items"],
-                )
-
-        if found is None:
-            found = docs.withColumn(out, scan(text_bytes(text_col)))
-        else:  # a benchmark of several passes: fold the new hits into what the earlier ones found
-            before = shelf.put(found)
-            both = before.withColumn("_more", scan(text_bytes(text_col)))
-            found = both.withColumn(
-                out,
-                F.struct(
-                    F.col(f"{out}.n_words").alias("n_words"),
-                    F.concat(f"{out}.spans", "_more.spans").alias("spans"),
-                    F.array_union(f"{out}.items", "_more.items").alias("items"),
-                ),
-            ).drop("_more")
+    found, shelf = docs, Shelf(spark)
+    nothing = (F.lit(None).cast("array<struct<start:long,end:long>>"), F.lit(None).cast("array<string>"))
+    for k, automaton in enumerate(_automata(items, item_id, item_text, window)):
+        if k:  # a benchmark of several passes: each adds to what the earlier ones found
+            found = shelf.put(found)
+        before = (F.col(f"{out}.spans"), F.col(f"{out}.items")) if k else nothing
+        found = found.withColumn(out, F.arrow_udf(_scanner(spark.sparkContext.broadcast(automaton), cut), _RESULT)(text_bytes(text_col), *before))
     return found
 
 
 def _hit_words(spans) -> F.Column:
-    """Number of words in the union of spans that may overlap."""
+    """Number of words in spans that are in order."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
     step = lambda a, s: F.struct(
         (a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], a["to"]))).alias("n"),
         F.greatest(a["to"], s["end"]).alias("to"),
     )
-    return F.aggregate(F.array_sort(spans), start, step, lambda a: a["n"])
+    return F.aggregate(spans, start, step, lambda a: a["n"])
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit_items: int = 2) -> DataFrame:
@@ -267,13 +276,6 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"\n".join([*parts, data[at:]])
 
 
-def _without(data: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for text, found in zip(data.to_pylist(), spans.to_pylist(), strict=True):
-        out.append((_cut(text, merged([(s["start"], s["end"]) for s in found])) if found else text).decode("utf-8", "replace"))
-    return pa.array(out, pa.string())
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max_run: int = WINDOW, max_cover: float = 0.5, limit_items: int = 2) -> DataFrame:
     """``docs`` without benchmark passages; same columns.
 
@@ -281,8 +283,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max
     altogether if windows of ``limit_items`` items occur in it, or if over ``max_cover`` of its words
     are hit.  Texts without hits are unchanged.  A null text stays null.
     """
-    plain = match(docs, items, text_col, window=max_run, out="_match")
-    spans = F.col("_match.spans")
-    kept = plain.filter((F.size("_match.items") < limit_items) & (_hit_words(spans) <= F.col("_match.n_words") * F.lit(max_cover)))
-    cut = F.when(F.size(spans) > 0, F.arrow_udf(_without, "string")(text_bytes(text_col), spans)).otherwise(F.col(text_col))
-    return kept.withColumn(text_col, cut).drop("_match")
+    found = match(docs, items, text_col, window=max_run, out="_match", cut=True)
+    kept = found.filter((F.size("_match.items") < limit_items) & (_hit_words(F.col("_match.spans")) <= F.col("_match.n_words") * F.lit(max_cover)))
+    return kept.withColumn(text_col, F.coalesce("_match.text", text_col)).drop("_match")

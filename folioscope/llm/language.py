@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import release_memory
+
 STEPS = 64
 HIDDEN = 8
 SAMPLE_DOCS = 400
@@ -312,6 +314,7 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text", out:
                         langs[lo + i], scores[lo + i], shares[lo + i] = reader.labels[k], min(1.0, p[i, k]), min(1.0, c[i, k])
                 lo = hi
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(shares)], ["lang", "score", "share"])
+        release_memory()
 
     return docs.withColumn(out, F.arrow_udf(run, _RESULT)(F.col(text_col)))
 

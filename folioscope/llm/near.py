@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BLANK_BYTES, Shelf, slices
+from folioscope.llm.common import BLANK_BYTES, Shelf, release_memory, slices
 from folioscope.llm.components import components
 from folioscope.llm.shingles import Sketcher, chunks, shingles, words
 
@@ -60,6 +60,7 @@ def sketches(items: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             parts = [pa.StructArray.from_arrays(sketched(part.to_pylist(), rule), SKETCH_FIELDS) for part in slices(batch)]
             yield pa.concat_arrays(parts)
+        release_memory()
 
     return items.select("id", F.arrow_udf(run, SKETCH)(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("s")).select("id", "s.*")
 
@@ -108,6 +109,7 @@ def _confirm(rule: Rule):
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     out.append(both > 0 and both * rule.of >= rule.per * (len(s) + len(t) - both))
             yield pa.array(out, pa.bool_())
+        release_memory()
 
     return F.arrow_udf(run, "boolean")
 

@@ -20,6 +20,7 @@ the words between are encoded once and kept in a bounded cache; a text in which
 
 from __future__ import annotations
 
+import operator
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,22 +31,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import release_memory, slices
 from folioscope.llm.shingles import chunks
 
 WINDOW = 1024
 END = 0
 #: Open windows that a task may hold; beyond that they are joined as at the end.
 MAX_OPEN = 8192
-#: Words in the younger generation of a worker's cache, about; the older one is as large.
+#: Words that a worker keeps encoded, about; 40 bytes each.
 CACHE_WORDS = 500_000
 #: Characters whose words are looked up together.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 2_500_000
 
 class Encoder:
-    """Token ids of texts by a ``tokenizers`` file; words are kept in a cache of two generations.
+    """Token ids of texts by a ``tokenizers`` file.
 
-    A word that is met again moves to the younger generation; when that is full it becomes the older
-    one, so frequent words stay and memory is bounded.
+    Each distinct word is encoded once and kept: words in an Arrow array, their ids in one flat array.
+    When ``size`` words are exceeded, those used longest ago go, so memory is bounded.
     """
 
     def __init__(self, path: str, size: int = CACHE_WORDS):
@@ -56,92 +58,101 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.size = size
+        self.size, self.round = size, 0
         #: Bytes of each token: byte-level vocabularies spell a byte by a character.
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = len(token)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        #: Words of the younger generation with white space at their end (1) or after their blank (2).
-        self.edges: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())
+        self.flat = np.zeros(0, np.uint32)
+        self.count = np.zeros(0, np.int64)
+        #: White space at a word's end (1) or after its blank (2).
+        self.edge = np.zeros(0, np.int8)
+        self.used = np.zeros(0, np.int64)
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """As ``_plain``; many words go through the tokenizer as one text, cut at the words' ends again.
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each word; the words go through the tokenizer as one text.
 
         Words that begin with a blank follow each other as they stand, others after a line break, which
-        is a token by itself; words with white space at an end are encoded alone.
+        is a token by itself.
         """
-        out: list[bytes] = [b""] * len(words)
-        alone = [i for i, w in enumerate(words) if _edge(w) or not w]
-        apart = set(alone)
-        fine = [i for i in range(len(words)) if i not in apart]
-        for i, ids in zip(alone, self._plain([words[i] for i in alone]), strict=True):
-            out[i] = ids
+        gaps = np.fromiter((w[0] != " " for w in words), np.int64, len(words))
+        size = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        ids = self._whole(["".join([w if w[0] == " " else "\n" + w for w in words])])[0]
+        ends, last = np.cumsum(self.bytes[ids]), np.cumsum(size + gaps)
+        to = np.searchsorted(ends, last) + 1
+        if len(ids) and (ends[-1] != last[-1] or (ends[to - 1] != last).any()):
+            raise ValueError("the tokenizer is not byte-level, or joins words")
+        since = np.concatenate(([0], to[:-1]))
+        keep = np.ones(len(ids), bool)
+        keep[since[gaps > 0]] = False
+        return ids[keep], to - since - gaps
+
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Adds words and tells their places; those with white space at an end are encoded alone."""
+        edge = np.fromiter(map(_edge, new), np.int8, len(new))
+        by_itself = (edge > 0) | np.fromiter(map(operator.not_, new), bool, len(new))
+        order = np.concatenate((np.flatnonzero(~by_itself), np.flatnonzero(by_itself)))
+        split = len(new) - int(by_itself.sum())
+        ordered = [new[i] for i in order.tolist()]
+        fine, alone = ordered[:split], ordered[split:]
+        flat, count = [self.flat], [self.count]
         for lo in range(0, len(fine), 4096):
-            part = fine[lo : lo + 4096]
-            pieces = [words[i] for i in part]
-            gaps = np.fromiter((w[0] != " " for w in pieces), np.int64, len(pieces))
-            size = np.fromiter((len(w.encode()) for w in pieces), np.int64, len(pieces))
-            text = "".join([w if w[0] == " " else "\n" + w for w in pieces])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(self.bytes[ids])
-            last = np.cumsum(size + gaps)
-            to = np.searchsorted(ends, last) + 1
-            if len(ids) and (ends[-1] != last[-1] or (ends[to - 1] != last).any()):
-                raise ValueError("the tokenizer is not byte-level, or joins words")
-            since = np.concatenate(([0], to[:-1])) + gaps
-            flat = ids.tobytes()
-            for i, a, b in zip(part, (4 * since).tolist(), (4 * to).tolist(), strict=True):
-                out[i] = flat[a:b]
-        return out
-
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        if len(self.young) > self.size:
-            self.old, self.young, self.edges = self.young, {}, {}
-        young, old = self.young, self.old
-        met = [w for w in pieces if w not in young]
-        self.edges.update((w, k) for w in met if (k := _edge(w)))
-        young.update((w, old[w]) for w in met if w in old)
-        new = [w for w in met if w not in young]
-        young.update(zip(new, self._words(new), strict=True))
-        return [young[w] for w in pieces]
+            ids, sizes = self._joined(fine[lo : lo + 4096])
+            flat.append(ids)
+            count.append(sizes)
+        for ids in self._whole(alone):
+            flat.append(ids)
+            count.append(np.array([len(ids)]))
+        places = np.empty(len(new), np.int64)
+        places[order] = len(self.words) + np.arange(len(new))
+        self.words = pa.concat_arrays([self.words, pa.array(ordered, pa.large_string())])
+        self.flat, self.count = np.concatenate(flat), np.concatenate(count)
+        self.edge = np.concatenate((self.edge, edge[order]))
+        self.used = np.concatenate((self.used, np.full(len(new), self.round)))
+        return places
+
+    def _forget(self) -> None:
+        """Keeps the half that was used last."""
+        keep = np.zeros(len(self.used), bool)
+        keep[np.argsort(-self.used, kind="stable")[: self.size // 2]] = True
+        self.words = self.words.filter(pa.array(keep))
+        self.flat = self.flat[np.repeat(keep, self.count)]
+        self.count, self.edge, self.used = self.count[keep], self.edge[keep], self.used[keep]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         if not texts:
             return []
+        self.round += 1
         # each word but the first has the blank before it
         marked = pc.replace_substring(pa.array(texts, pa.large_string()), " ", "\0 ")
         # a full stop or comma after a letter begins a pre-token too
         cut = pc.split_pattern(pc.replace_substring_regex(marked, "([A-Za-z])([,.])", "\\1\0\\2"), "\0")
-        counts = pc.list_value_length(cut).to_numpy()
+        place = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))
         coded = cut.flatten().dictionary_encode()
-        at, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        place = np.concatenate(([0], np.cumsum(counts)))
+        if len(self.words) > self.size:
+            self._forget()
+        found = pc.index_in(coded.dictionary, value_set=self.words)
+        word = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            word[word < 0] = self._learn(coded.dictionary.filter(pc.is_null(found)).to_pylist())
+        self.used[word] = self.round
+        at = word[coded.indices.to_numpy()]
         # texts in which a blank stands between white space, or a zero, are encoded as one
-        ids = self._known(pieces)
-        edge = np.zeros(len(pieces), np.int8)
-        if self.edges:
-            edge[:] = [self.edges.get(w, 0) for w in pieces]
-        edge = edge[at]
+        edge = self.edge[at]
         odd = np.flatnonzero((edge[:-1] & 1) & (edge[1:] >> 1))
         whole = sorted({*(np.searchsorted(place, odd, "right") - 1).tolist(), *(i for i, t in enumerate(texts) if "\0" in t)})
-
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        sizes = size[at]
+        first, sizes = (np.cumsum(self.count) - self.count)[at], self.count[at]
         out_at = np.concatenate(([0], np.cumsum(sizes)))
-        gathered = flat[np.repeat(first[at] - out_at[:-1], sizes) + np.arange(out_at[-1])].tobytes()
+        gathered = self.flat[np.repeat(first - out_at[:-1], sizes) + np.arange(out_at[-1])].tobytes()
         bounds = (4 * out_at[place]).tolist()
         out = [gathered[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        for i, found in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
-            out[i] = found
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            out[i] = ids.tobytes()
         return out
 
 
@@ -275,7 +286,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False
         end = array("I", [END]).tobytes()
 
         def out() -> pa.RecordBatch:
-            rows, packer.rows = packer.rows, []
+            rows = packer.rows[:]
+            packer.rows.clear()
             cols = {
                 "doc_id": pa.array([r[0] for r in rows], pa.int64()),
                 "start": pa.array([r[1] for r in rows], pa.int64()),
@@ -289,7 +301,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False
                 cols["ids"] = pa.array([r[2] for r in rows], pa.binary())
             return pa.RecordBatch.from_pydict(cols)
 
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1024)):
             ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
             for lo, hi in chunks(texts, GROUP_CHARS):
                 for doc, found in zip(ids[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
@@ -298,6 +310,8 @@ def packed(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False
                         yield out()
         packer.join(last=True)
         yield out()
+        del encoder, packer
+        release_memory()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, _OUT + (", ids binary" if with_ids else ""))

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import release_memory
+
 #: Order of kinds at equal starts; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "hosting", "registry", "jwt", "iban", "pem")
 BASE = KINDS[:3]
@@ -150,6 +152,7 @@ def _scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
             digests.append(hashlib.sha256(joined([s for s in found if s[0] in BASE]).encode()).hexdigest())
         yield pa.StructArray.from_arrays([pa.array(spans, _ARROW), pa.array(digests, pa.string())], ["spans", "base_sha256"])
+    release_memory()
 
 
 def scan(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFrame:
@@ -186,6 +189,7 @@ def _redacted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 plain = "".join([*parts, plain[at:]]) if found else plain
             out.append(plain)
         yield pa.array(out, pa.string())
+    release_memory()
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
