@@ -75,6 +75,7 @@ class Engine:
         self.options = options or Options()
         self.lexicon = lexicon or Lexicon(translate=self.options.translate)
         self._stats: topics.TopicStats | None = None
+        self._ready: bool | None = None
 
     # ---- search --------------------------------------------------------------------------------------------
 
@@ -96,8 +97,9 @@ class Engine:
     def _hybrid_ready(self) -> bool:
         if self.tables.vectors is None or self.embed is None:
             return False
-        row = vectors.coverage(self.tables.pages, self.tables.vectors, self.options.min_embed_chars).first()
-        return vectors.ready(row, 1, self.options.min_vectors, self.options.min_coverage)
+        if self._ready is None:
+            self._ready = vectors.ready(self.embed_status().first(), 1, self.options.min_vectors, self.options.min_coverage)
+        return self._ready
 
     def ranked(self, query: Query, q: str, collection: str = "", ymin: int | None = None, ymax: int | None = None, hybrid: bool = False) -> DataFrame:
         """(rowid, score, collection, title, page, path, year), best first by score, for the relevance sort.
@@ -174,7 +176,7 @@ class Engine:
     # ---- topics --------------------------------------------------------------------------------------------
 
     def stats(self) -> topics.TopicStats:
-        """Topic statistics; call ``refresh`` when the articles have changed."""
+        """Topic statistics; call ``refresh`` when tables have changed."""
         if self._stats is None:
             made = topics.topic_stats(self.tables.articles, ratio=self.options.typo_ratio)
             self._stats = topics.TopicStats(made.nodes.cache(), made.edges.cache(), made.total, made.map.cache())
@@ -184,7 +186,7 @@ class Engine:
         if self._stats is not None:
             for df in (self._stats.nodes, self._stats.edges, self._stats.map):
                 df.unpersist()
-        self._stats = None
+        self._stats = self._ready = None
 
     def topic_graph(self) -> tuple[DataFrame, DataFrame]:
         return topics.topic_graph(self.stats(), self.options.graph_nodes, self.options.graph_edge)

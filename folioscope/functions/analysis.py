@@ -45,8 +45,13 @@ def collapse(x: Column | str) -> Column:
     return F.btrim(F.regexp_replace(_column(x), r"(?U)\s+", " "))
 
 
+#: White space of Unicode.
+BLANKS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def stripped_length(x: Column | str) -> Column:
-    return F.char_length(F.regexp_replace(_column(x), r"(?U)^\s+|\s+$", ""))
+    """Characters without white space at the ends."""
+    return F.char_length(F.btrim(_column(x), F.lit(BLANKS)))
 
 
 @lru_cache(1)
