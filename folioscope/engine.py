@@ -70,9 +70,11 @@ def sort_order(sort: str) -> list[Column]:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, tables: Library, index: Index, options: Options | None = None, embed: Callable[[str], list[float]] | None = None, lexicon: Lexicon | None = None, article_index: Index | None = None):
+    def __init__(self, spark: SparkSession, tables: Library, index: Index, options: Options | None = None, embed: Callable[[str], list[float]] | None = None, lexicon: Lexicon | None = None, article_index: Index | None = None, stopwords: list[str] | None = None):
         self.spark, self.tables, self.index, self.embed, self.article_index = spark, tables, index, embed, article_index
         self.options = options or Options()
+        #: Words that make no topic; a library's own list may replace the built-in one.
+        self.stopwords = stopwords
         self.lexicon = lexicon or Lexicon(translate=self.options.translate)
         self._stats: topics.TopicStats | None = None
         self._ready: bool | None = None
@@ -206,7 +208,7 @@ class Engine:
         """Topics mined from the query's best pages, scored over all pages."""
         best = ranking.top(matched(self.index, query, self.options), sample, F.desc("score"), F.asc("rowid"))
         texts = self.tables.pages.select("rowid", "text").join(F.broadcast(best.select("rowid")), "rowid", "left_semi")
-        found = [r.term for r in topics.candidate_terms(texts, [t for s in querylang.understand(q, self.lexicon) for p in s.spellings for t in p.split()]).collect()]  # ``cap`` terms
+        found = [r.term for r in topics.candidate_terms(texts, [t for s in querylang.understand(q, self.lexicon) for p in s.spellings for t in p.split()], stopwords=self.stopwords).collect()]  # ``cap`` terms
         if not found:
             return []
         return topics.select_topics(self._page_scores(found, query), self.options.top_topics, self.options.min_support_library, budget, self.options.redundancy, self.options.free_per_stem)

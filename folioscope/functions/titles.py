@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Known publications, structural names, scaffolding words, title keywords, kept capitals.
+# Known publications, structural names, scaffolding words, title keywords, kept capitals, patterns.
 KNOWN_PUBLICATIONS = (
     "Fine Woodworking", "Popular Woodworking", "Fine Homebuilding", "The Woodworker's Journal", "Woodworker's Journal", "Shop Notes",
     "American Woodworker", "Modern Woodworking", "Family Handyman", "Popular Mechanics", "Woodsmith",
@@ -19,6 +19,17 @@ SCAFFOLDING = r"(?i)^\W*(?:issue|issues|no|nos?|number|part|vol|volume|final|dra
 TITLE_KEYWORDS = ("wood", "magazine", "journal", "issue", "shop", "craft", "work", "home")
 CAPITALS = ("USA", "UK", "EU", "PDF", "DVD", "CD", "CNC", "3D", "TAO", "ISBN", "EST", "USSR")
 ISSUE_NUMBER = r"(?i)(?:no\.?|issue|#)?[\s_\-–—.]*(\d{1,4})\s*$"
+FENCE = r"[_\-–—.,:;]+"
+ONLY_NUMBER = r"^[\s_\-–—.]*\d{1,5}[\s_\-–—.]*$"
+VERSION = r"(?i)\bv\d+\s*$"
+FOLDER_YEAR = r"^(.*?)[\s_\-]*\d{4}$"
+JUNK_BETWEEN_WORDS = "[^a-zA-Z0-9]{0,6}"
+EMPTY_BRACKETS = r"\(\s*\)|\[\s*\]|\{\s*\}"
+HASH_TAIL = r"(?i)\s*\{[0-9a-f]{6,}\}$"
+NE_TAIL = r"(?i)[-_]ne(?:[_ .-]?en)?\b[\s.-]*$"
+DASH_RUN = r"\s*[-–—]\s*[-–—]\s*"
+LEADING_YEAR = r"^\s*(1[6-9]\d\d|20[0-2]\d)\b"
+LATER_YEAR = r"(?<![\w-])(1[6-9]\d\d|20[0-2]\d)\b"
 SITE_MARKS = r"(?i)(^|[\s_(\[])(?:vk[_ .-]?com[_ .-]?en(?:glishmagazines)?|englishmagazines?|pdfdrive|libgen|annas-?archive|vk[_ .-]?com(?:[_ .-]?en)?)([\s_)\]]*)"
 
 
@@ -34,23 +45,23 @@ def stem(path: Column) -> Column:
 def issue(path: Column) -> Column:
     """Number of an issue at the end of the name; a version marker is none."""
     name = F.btrim(stem(path))
-    return F.when(name.rlike(r"(?i)\bv\d+\s*$"), F.lit(None)).otherwise(F.nullif(F.regexp_extract(name, ISSUE_NUMBER, 1), F.lit("")))
+    return F.when(name.rlike(VERSION), F.lit(None)).otherwise(F.nullif(F.regexp_extract(name, ISSUE_NUMBER, 1), F.lit("")))
 
 
 def named_by_file(path: Column) -> Column:
     """The name that a file name states, or null: it needs one word of three letters that isn't scaffolding."""
     raw = F.btrim(stem(path))
-    name = F.regexp_replace(F.regexp_replace(raw, ISSUE_NUMBER, ""), r"[_\-–—.,:;]+", " ")
+    name = F.regexp_replace(F.regexp_replace(raw, ISSUE_NUMBER, ""), FENCE, " ")
     name = F.regexp_replace(F.regexp_replace(name, r"\s+", " "), r"^[ .\-]+|[ .\-]+$", "")
     telling = F.exists(F.split(name, " "), lambda w: (F.char_length(w) >= 3) & ~w.rlike(SCAFFOLDING))
-    bad = raw.rlike(r"^[\s_\-–—.]*\d{1,5}[\s_\-–—.]*$") | (name == "") | name.rlike(STRUCTURAL) | ~telling
+    bad = raw.rlike(ONLY_NUMBER) | (name == "") | name.rlike(STRUCTURAL) | ~telling
     return F.when(~bad, name)
 
 
 def named_by_folder(collection: Column) -> Column:
     """The folder's name without a year at its end, unless it only gives structure."""
     c = F.btrim(F.coalesce(collection, F.lit("")))
-    before = F.btrim(F.regexp_extract(c, r"^(.*?)[\s_\-]*\d{4}$", 1))
+    before = F.btrim(F.regexp_extract(c, FOLDER_YEAR, 1))
     return F.when((c == "") | c.rlike(STRUCTURAL), F.lit(None)).when(before != "", before).otherwise(c)
 
 
@@ -65,7 +76,7 @@ def named_by_metadata(title: Column) -> Column:
 def named_by_masthead(text: Column, publications: tuple[str, ...] = KNOWN_PUBLICATIONS) -> Column:
     """The first known publication in a text, with up to six odd characters between its words."""
     def pattern(name: str) -> str:
-        return "(?i)" + "[^a-zA-Z0-9]{0,6}".join(r"\Q" + w + r"\E" for w in name.split())
+        return "(?i)" + JUNK_BETWEEN_WORDS.join(r"\Q" + w + r"\E" for w in name.split())
 
     return F.coalesce(*(F.when(text.rlike(pattern(p)), F.lit(p)) for p in publications), F.lit(None))
 
@@ -92,11 +103,11 @@ def display_name(name: Column) -> Column:
     """A file name made readable; may be empty, then the caller shows the name as it is."""
     t = F.btrim(F.coalesce(name, F.lit("")))
     t = F.regexp_replace(t, SITE_MARKS, "$1$2")
-    t = F.regexp_replace(t, r"\(\s*\)|\[\s*\]|\{\s*\}", "")
-    t = F.regexp_replace(t, r"(?i)\s*\{[0-9a-f]{6,}\}$", "")
-    t = F.regexp_replace(t, r"(?i)[-_]ne(?:[_ .-]?en)?\b[\s.-]*$", "")
+    t = F.regexp_replace(t, EMPTY_BRACKETS, "")
+    t = F.regexp_replace(t, HASH_TAIL, "")
+    t = F.regexp_replace(t, NE_TAIL, "")
     t = F.translate(t, "_", " ")
-    t = F.regexp_replace(t, r"\s*[-–—]\s*[-–—]\s*", " - ")
+    t = F.regexp_replace(t, DASH_RUN, " - ")
     t = F.btrim(F.regexp_replace(t, r"\s{2,}", " "))
     # words of four capitals or more get one; cut between words, so that each piece is a word or what joins them
     edge = r"(?<=[\s\-–—(/&:.,)])|(?=[\s\-–—)/:.,&(])"
@@ -118,6 +129,6 @@ def display_title(pub: Column, title: Column) -> Column:
 
 def leading_year(title: Column) -> Column:
     """A year that begins a title, else the latest year in it from 1850 on that is no part of a number."""
-    first = F.regexp_extract(title, r"^\s*(1[6-9]\d\d|20[0-2]\d)\b", 1)
-    later = F.filter(F.transform(F.regexp_extract_all(title, F.lit(r"(?<![\w-])(1[6-9]\d\d|20[0-2]\d)\b"), F.lit(1)), lambda y: y.cast("int")), lambda y: y >= 1850)
+    first = F.regexp_extract(title, LEADING_YEAR, 1)
+    later = F.filter(F.transform(F.regexp_extract_all(title, F.lit(LATER_YEAR), F.lit(1)), lambda y: y.cast("int")), lambda y: y >= 1850)
     return F.when(first != "", first.try_cast("int")).otherwise(F.array_max(later))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from folioscope.functions.analysis import LIGHT_SUFFIXES
+from folioscope.operators.topics import STOPWORDS
+
 SQL: dict[str, str] = {}
 
 _YEAR = "CASE WHEN doc_id % 7 <> 0 THEN CAST(1900 + doc_id % 120 AS INTEGER) END"
@@ -98,11 +101,11 @@ SQL["select_topics_greedy"] = """SELECT * FROM (VALUES (1, 'Sharpening Stones',
 (4, 'Water Tables', 9, 0.5), (5, 'Sharpening Planes', 20, 0.372)) v(place, tag, n, score)"""
 SQL["light_stem_sets"] = """SELECT * FROM (VALUES ('Boards', 'board'), ('Spokeshaves', 'spokeshave'), ('Sharpening Stones', 'sharpen stone'), ('Boxes and Benches', 'bench boxe'), ('Tool Making', 'making'), ('Berries', 'berry')) v(name, stems)"""
 
-SQL["title_resolver"] = """SELECT * FROM (VALUES ('/lib/Fine Woodworking 2025/7.pdf', 'Fine Woodworking No. 7', 'folder'), ('/lib/x/Anarchists Tool Chest - Schwarz.pdf', NULL, 'keep'),
+SQL["title_resolver"] = """SELECT * FROM (VALUES ('/lib/Popular Mechanics 2025/7.pdf', 'Popular Mechanics No. 7', 'folder'), ('/lib/x/Joinery Handbook - A. Miller.pdf', NULL, 'keep'),
 ('/lib/books/12.pdf', 'The Shop Journal No. 12', 'metadata'), ('/lib/books/issue 3 final.pdf', 'Popular Woodworking', 'masthead'), ('/lib/1999/draft v2.pdf', NULL, 'fallback'), ('/lib/scans/44.pdf', 'Shop Notes No. 44', 'masthead')) v(path, pub, pub_src)"""
-SQL["display_clean"] = """SELECT * FROM (VALUES ('_vk_com_', ''), ('Hand_Tools-ne', 'Hand Tools'), ('THE COMPLETE BOOK (USA) DVD', 'THE Complete Book (USA) DVD'), ('Jig ((Danny Proulx))', 'Jig (Danny Proulx)'), ('Boxes {3D1EA16D}', 'Boxes'),
+SQL["display_clean"] = """SELECT * FROM (VALUES ('_vk_com_', ''), ('Hand_Tools-ne', 'Hand Tools'), ('THE COMPLETE BOOK (USA) DVD', 'THE Complete Book (USA) DVD'), ('Jig ((A. Writer))', 'Jig (A. Writer)'), ('Boxes {AB12CD34}', 'Boxes'),
 ('A - - B', 'A - B'), ('wood[ ] turning ( )', 'wood turning'), ('USSR-TIMBER', 'USSR-Timber'), ('The  Joiner   (LIBGEN)', 'The Joiner')) v(raw, clean)"""
-SQL["title_years"] = "SELECT * FROM (VALUES ('1902Modern', NULL), ('1902 Modern Carpentry', 1902), ('Guide 1850 to 1975', 1975), ('Model-1999', NULL), ('none', NULL)) v(title, year)"
+SQL["title_years"] = "SELECT * FROM (VALUES ('1902Plain', NULL), ('1902 Plain Joinery', 1902), ('Guide 1850 to 1975', 1975), ('Model-1999', NULL), ('none', NULL)) v(title, year)"
 SQL["mode_year_per_customer"] = "WITH c AS (SELECT o_custkey AS custkey, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n FROM orders GROUP BY 1, 2) SELECT custkey, y AS year FROM c QUALIFY row_number() OVER (PARTITION BY custkey ORDER BY n DESC, y) = 1"
 SQL["head_tail_text"] = """WITH r AS (SELECT source AS path, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS up, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS down FROM documents)
 SELECT path, md5(string_agg(text, ' ' ORDER BY doc_id) FILTER (up <= 6)) AS head, md5(string_agg(text, ' ' ORDER BY doc_id) FILTER (down <= 4)) AS tail FROM r GROUP BY path"""
@@ -143,9 +146,27 @@ k AS (SELECT u.rowid, title, s FROM u JOIN d ON d.rowid = u.rowid QUALIFY row_nu
 SELECT rowid, title, round(s, 8) AS score FROM k ORDER BY s DESC, rowid LIMIT 15"""
 
 SQL["year_repair_plan"] = "SELECT * FROM (VALUES ('/a', NULL, 1855, 'assign', 1855), ('/b', 1924, 1912, 'replace', 1912), ('/c', 1950, 1950, 'keep', 1950)) v(path, old, new, action, written)"
-SQL["title_repair_plan"] = """SELECT * FROM (VALUES ('/l/7.pdf', NULL, 'Fine Woodworking No. 7', 'change', 'Fine Woodworking No. 7'), ('/l/Tool Chest.pdf', NULL, NULL, 'same', NULL),
+SQL["title_repair_plan"] = """SELECT * FROM (VALUES ('/l/7.pdf', NULL, 'Popular Mechanics No. 7', 'change', 'Popular Mechanics No. 7'), ('/l/Tool Chest.pdf', NULL, NULL, 'same', NULL),
 ('/l/9.pdf', 'Old Name', 'Woodsmith No. 9', 'change', 'Woodsmith No. 9')) v(path, old, new, action, written)"""
 SQL["merged_copies"] = f"WITH {_JOBS}, n AS (SELECT * FROM j {_LAST}) SELECT path, CASE WHEN title::INT < 20 THEN 'duplicate' ELSE status END AS status FROM n WHERE path <> '/lib/3.pdf'"
 SQL["bulk_outcome"] = "SELECT * FROM (VALUES ('done', 2), ('not found', 1)) v(outcome, n)"
 SQL["jobs_with_titles"] = f"WITH {_JOBS}, n AS (SELECT * FROM j {_LAST}) SELECT path, status, CASE path WHEN '/lib/1.pdf' THEN 'One Title' WHEN '/lib/2.pdf' THEN 'A Journal No. 2' ELSE title END AS shown FROM n"
 SQL["tokenize_table_function"] = "SELECT generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS term FROM (SELECT regexp_extract_all(lower('Café-crème, don''t 12'), '[\\p{L}\\p{N}]+') AS t)"
+SQL["year_detect"] = """SELECT * FROM (VALUES ('1871-Of-Stairs', 1871, 78, 1871, 'assign'), ('Carpentry', 1912, 88, 1912, 'replace'), ('Chairs', 1931, 96, 1931, 'keep'),
+('Tools', NULL, 0, NULL, 'none'), ('T-1810 Manual', 1810, 62, 1810, 'assign'), ('Old book', 1999, 26, 1950, 'keep')) v(title, year, confidence, new_year, action)"""
+SQL["concept_profiles"] = f"""WITH {_TAGS}, h AS (SELECT tag, o FROM t QUALIFY row_number() OVER (PARTITION BY tag ORDER BY o) <= 8)
+SELECT tag, substring(tag || '. ' || string_agg('Order ' || o, '. ' ORDER BY o), 1, 700) AS profile FROM h GROUP BY tag"""
+
+
+def _light_stem(w: str) -> str:
+    plural = f"CASE WHEN len({w}) >= 4 AND {w} LIKE '%ies' THEN left({w}, -3) || 'y' WHEN len({w}) >= 6 AND regexp_matches({w}, '(ch|sh|x|z)es$') THEN left({w}, -2) WHEN len({w}) >= 5 AND regexp_matches({w}, '[^sui]s$') THEN left({w}, -1) ELSE {w} END"
+    cases = " ".join(f"WHEN len(p) >= {4 + len(s)} AND p LIKE '%{s}' THEN left(p, -{len(s)})" for s in LIGHT_SUFFIXES)
+    return f"(SELECT CASE {cases} ELSE p END FROM (SELECT {plural} AS p))"
+
+
+SQL["bigram_candidates"] = f"""WITH w AS (SELECT doc_id, [x FOR x IN regexp_extract_all(lower(text), '[a-z][a-z''\\-]{{2,}}') IF NOT list_contains({STOPWORDS}, trim(x, '''-'))] AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w))),
+c AS (SELECT term, count(*) AS df FROM g GROUP BY term HAVING count(*) >= 4),
+f AS (SELECT term, df FROM c WHERE term NOT IN ('with', 'with with') AND (term LIKE '% %' OR left(term, 4) <> 'with'))
+SELECT term, df FROM (SELECT term, df, CASE WHEN term LIKE '% %' THEN term ELSE {_light_stem('term')} END AS family FROM f) QUALIFY row_number() OVER (PARTITION BY family ORDER BY df DESC, len(term) DESC, term) = 1
+ORDER BY df DESC, len(term) DESC, term LIMIT 30"""

@@ -369,7 +369,7 @@ def concept_profiles(spark, sf_dir):
 @query
 def title_resolver(spark, sf_dir):
     rows = [
-        ("/lib/Fine Woodworking 2025/7.pdf", "Fine Woodworking 2025", "", ""), ("/lib/x/Anarchists Tool Chest - Schwarz.pdf", "x", "", ""), ("/lib/books/12.pdf", "books", "The Shop  Journal", ""),
+        ("/lib/Popular Mechanics 2025/7.pdf", "Popular Mechanics 2025", "", ""), ("/lib/x/Joinery Handbook - A. Miller.pdf", "x", "", ""), ("/lib/books/12.pdf", "books", "The Shop  Journal", ""),
         ("/lib/books/issue 3 final.pdf", "books", "Jane Doe", "POPULAR . woodworking, May"), ("/lib/1999/draft v2.pdf", "1999", "", "nothing"), ("/lib/scans/44.pdf", "scans", "me.pdf", "Shop -- Notes"),
     ]
     df = spark.createDataFrame(rows, "path string, collection string, meta string, head string")
@@ -379,14 +379,14 @@ def title_resolver(spark, sf_dir):
 
 @query
 def display_clean(spark, sf_dir):
-    raw = ["_vk_com_", "Hand_Tools-ne", "THE COMPLETE BOOK (USA) DVD", "Jig ((Danny Proulx))", "Boxes {3D1EA16D}", "A - - B", "wood[ ] turning ( )", "USSR-TIMBER", "The  Joiner   (LIBGEN)"]
+    raw = ["_vk_com_", "Hand_Tools-ne", "THE COMPLETE BOOK (USA) DVD", "Jig ((A. Writer))", "Boxes {AB12CD34}", "A - - B", "wood[ ] turning ( )", "USSR-TIMBER", "The  Joiner   (LIBGEN)"]
     return spark.createDataFrame([(r,) for r in raw], "raw string").select("raw", titles.display_name(F.col("raw")).alias("clean"))
 
 
 @query
 def year_detect(spark, sf_dir):
     rows = [
-        ("1855-TheArtOfStairBuilding", "", "", None), ("Carpentry", "COPYRIGHT 1912 IRA GRIFFITH", "", 1924), ("Chairs", "first published in 1931 by Batsford", "see also 1754", 1931),
+        ("1871-Of-Stairs", "", "", None), ("Carpentry", "COPYRIGHT 1912 A. PRESS", "", 1924), ("Chairs", "first published in 1931 by a press", "see also 1754", 1931),
         ("Tools", "Phone: (610) 593-1777", "", None), ("T-1810 Manual", "circa 1880", "", None), ("Old book", "printed pages of 1999 words", "", 1950),
     ]
     df = spark.createDataFrame(rows, "title string, head string, tail string, stored int")
@@ -397,7 +397,7 @@ def year_detect(spark, sf_dir):
 
 @query
 def title_years(spark, sf_dir):
-    df = spark.createDataFrame([("1902Modern",), ("1902 Modern Carpentry",), ("Guide 1850 to 1975",), ("Model-1999",), ("none",)], "title string")
+    df = spark.createDataFrame([("1902Plain",), ("1902 Plain Joinery",), ("Guide 1850 to 1975",), ("Model-1999",), ("none",)], "title string")
     return df.select("title", titles.leading_year(F.col("title")).alias("year"))
 
 
@@ -425,7 +425,7 @@ def year_repair_plan(spark, sf_dir):
 
 @query
 def title_repair_plan(spark, sf_dir):
-    rows = [("Fine Woodworking 2025", "7", "/l/7.pdf", None, "keep"), ("x", "Tool Chest", "/l/Tool Chest.pdf", None, "keep"), ("books", "9", "/l/9.pdf", "Old Name", "metadata")]
+    rows = [("Popular Mechanics 2025", "7", "/l/7.pdf", None, "keep"), ("x", "Tool Chest", "/l/Tool Chest.pdf", None, "keep"), ("books", "9", "/l/9.pdf", "Old Name", "metadata")]
     src = spark.createDataFrame(rows, "collection string, title string, path string, pub string, pub_src string")
     heads = spark.createDataFrame([("/l/9.pdf", "", "WOODSMITH  magazine")], "path string, meta_title string, head string")
     plan = repairs.title_plan(src, heads)
