@@ -237,7 +237,9 @@ def match(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
         if k:  # a benchmark of several passes: each adds to what the earlier ones found
             found = shelf.put(found)
         before = (F.col(f"{out}.spans"), F.col(f"{out}.items")) if k else nothing
-        found = found.withColumn(out, F.arrow_udf(_scanner(spark.sparkContext.broadcast(automaton), cut), _RESULT)(text_bytes(text_col), *before))
+        # not to be evaluated again where a filter on its result is moved below it
+        scan = F.arrow_udf(_scanner(spark.sparkContext.broadcast(automaton), cut), _RESULT).asNondeterministic()
+        found = found.withColumn(out, scan(text_bytes(text_col), *before))
     return found
 
 
