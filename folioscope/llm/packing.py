@@ -39,9 +39,9 @@ END = 0
 #: Open windows that a task may hold; beyond that they are joined as at the end.
 MAX_OPEN = 8192
 #: Words that a worker keeps encoded, about; 40 bytes each.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: Characters whose words are looked up together.
-GROUP_CHARS = 2_500_000
+GROUP_CHARS = 6_000_000
 
 class Encoder:
     """Token ids of texts by a ``tokenizers`` file.
@@ -301,7 +301,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False
                 cols["ids"] = pa.array([r[2] for r in rows], pa.binary())
             return pa.RecordBatch.from_pydict(cols)
 
-        for b in (part for batch in batches for part in slices(batch, 1024)):
+        for b in (part for batch in batches for part in slices(batch, 2048)):
             ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
             for lo, hi in chunks(texts, GROUP_CHARS):
                 for doc, found in zip(ids[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
