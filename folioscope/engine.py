@@ -62,7 +62,7 @@ def sort_order(sort: str) -> list[Column]:
     """Total orders: every sort ends with the row's id."""
     page = F.expr("try_cast(page AS int)")
     return {
-        "relevance": [F.desc("score"), F.asc("rowid")],
+        "relevance": [F.asc("tier"), F.desc("score"), F.asc("rowid")],
         "title": [F.asc("title"), page.asc_nulls_last(), F.asc("rowid")],
         "newest": [F.desc_nulls_last("year"), F.asc("title"), F.asc("rowid")],
         "oldest": [F.asc_nulls_last("year"), F.asc("title"), F.asc("rowid")],
@@ -104,15 +104,15 @@ class Engine:
         return self._ready
 
     def ranked(self, query: Query, q: str, collection: str = "", ymin: int | None = None, ymax: int | None = None, hybrid: bool = False) -> DataFrame:
-        """(rowid, score, collection, title, page, path, year), best first by score, for the relevance sort.
+        """(rowid, score, tier, collection, title, page, path, year) in the order of the relevance sort.
 
-        Hybrid: the first rows of the keyword list and of the vector list, both filtered, are fused; what
-        else matched follows, so later pages go on in one order.
+        Hybrid: the first rows of the keyword list and of the vector list, both filtered, are fused (tier
+        0); what else matched follows by its own score (tier 1), so later pages go on in one order.
         """
         o = self.options
         found = self._filtered(self._placed(matched(self.index, query, o)), collection, ymin, ymax)
         if not hybrid:
-            return found
+            return found.withColumn("tier", F.lit(0))
         asked = self.embed(querylang.semantic_text(q, self.lexicon))
         near = vectors.top_k(self.tables.vectors, asked, o.vector_pool)
         near = self._filtered(self._placed(near), collection, ymin, ymax)
@@ -123,8 +123,7 @@ class Engine:
         vector_list = ranking.ranked(near.select("rowid", "score"), o.vector_pool, F.desc("score"), F.asc("rowid"))
         fused = ranking.rrf([keyword_list, vector_list], o.rrf_k, o.fused_pool)
         rest = found.join(F.broadcast(fused.select("rowid")), "rowid", "left_anti")  # at most ``fused_pool`` ids
-        tail = rest.withColumn("score", F.col("score") - 1e9)
-        return self._placed(fused).unionByName(tail.select(*self._placed(fused).columns))
+        return self._placed(fused).withColumn("tier", F.lit(0)).unionByName(rest.withColumn("tier", F.lit(1)))
 
     def search(self, q: str = "", all_words: str = "", phrase: str = "", any_words: str = "", none_words: str = "", collection: str = "", ymin: int | None = None, ymax: int | None = None, sort: str = "relevance", offset: int = 0, limit: int = 20, hybrid: bool = False) -> Result:
         o = self.options

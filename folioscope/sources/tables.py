@@ -6,6 +6,9 @@ success marker), a writer makes the next.  Nothing is changed in place, so a los
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,9 +31,8 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
         base = tempfile.mkdtemp(prefix="folioscope-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/folioscope-{uuid.uuid4().hex}"
 
 
