@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,11 +62,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    import tempfile
-
     own = getattr(spark.sparkContext, "_folioscope_checkpoints", None)
     if own is None:
         own = spark.sparkContext._folioscope_checkpoints = tempfile.mkdtemp(prefix="folioscope-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return own
 
 
