@@ -33,11 +33,11 @@ from folioscope.llm.shingles import chunks, mix, power, words
 
 RULE = Rule(per=80, bands=8, rows=3, table=WORD_BYTES)
 LINE_WORDS = 20
-UNIT_WORDS = 8
+UNIT_WORDS = 7
 RUN_WORDS = 24
 #: Sentences of so many words are cut into pieces of about so many.
-LONG_WORDS = 32
-PIECE_WORDS = 16
+LONG_WORDS = 16
+PIECE_WORDS = 10
 
 _U = np.uint64
 _TURN = 0xC2B2AE3D27D4EB4F | 1
@@ -81,7 +81,9 @@ def split(texts: list[bytes]) -> dict[str, np.ndarray]:
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     w0, w1 = edge[::2], edge[1::2]
     line = data == 10
-    stop = line | (data == 46) | (data == 33) | (data == 63)
+    # a full stop ends a sentence, as does a single exclamation or question mark; "!!" is decoration
+    loud = (data == 33) | (data == 63)
+    stop = line | (data == 46) | (loud & ~np.append(loud[1:], False) & ~np.insert(loud[:-1], 0, False))
     sentence, row = np.cumsum(stop)[w0] if len(w0) else w0, np.cumsum(line)[w0] if len(w0) else w0
     s0, s1 = _ranges(_cut_long(sentence, hashes))
     l0, l1 = _ranges(row)
