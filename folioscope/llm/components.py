@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps over DataFrames.
 
-Every step is a minimum per node and a join; hot nodes are pre-aggregated before the shuffle, and
-their joins are ones that adaptive execution can split.  The links are written to shared storage after
-each round, so lineage stays short and a lost executor costs no more than a round.
+Every step is a minimum per node and a join.  The minima are pre-aggregated before the shuffle and
+written down, so both sides of the join have exchanges of their own and adaptive execution can split
+a hot node's partition.  The links are written to shared storage after each round too, so lineage stays
+short and a lost executor costs no more than a round.
 """
 
 from __future__ import annotations
@@ -13,18 +14,22 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import Shelf
 
 
-def _stars(links: DataFrame) -> DataFrame:
+def _stars(links: DataFrame, shelf: Shelf) -> DataFrame:
     """Connects every greater neighbour of a node to its smallest neighbour, itself included."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+    least = shelf.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    out = shelf.put(both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
+    shelf.drop(least)
+    return out
 
 
-def _fold(links: DataFrame) -> DataFrame:
+def _fold(links: DataFrame, shelf: Shelf) -> DataFrame:
     """Connects every smaller neighbour of a node, and the node, to the smallest one."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = shelf.put(links.groupBy("a").agg(F.min("b").alias("m")))
     others = links.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return others.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    out = shelf.put(others.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+    shelf.drop(least)
+    return out
 
 
 def components(links: DataFrame, shelf: Shelf) -> DataFrame:
@@ -32,9 +37,10 @@ def components(links: DataFrame, shelf: Shelf) -> DataFrame:
     now = shelf.put(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     digest = None
     while True:
-        after = shelf.put(_fold(_stars(now)))
+        stars = _stars(now, shelf)
         shelf.drop(now)
-        now = after
+        now = _fold(stars, shelf)
+        shelf.drop(stars)
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == digest:
             break

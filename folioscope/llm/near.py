@@ -183,7 +183,8 @@ class Linker:
         self.items, self.rule = items, rule
         self.shelf = Shelf(items.sparkSession)
         self.sketched = self.shelf.put(sketches(items, rule) if sketched is None else sketched)
-        self.classes = self.sketched.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+        # written down, so that joins with it have exchanges of their own, which adaptive execution can split
+        self.classes = self.shelf.put(self.sketched.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("h1", "h2").agg(F.min("id").alias("rep")))
         own = self.sketched.join(self.classes, ["h1", "h2"]).filter(F.col("id") == F.col("rep"))
         self.reps = self.shelf.put(own.select("id", "n", "odd", "bands").dropDuplicates(["id"]))
         self.light = self.reps.select("id", "n", "odd")
