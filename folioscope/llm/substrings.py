@@ -173,8 +173,9 @@ def passages(docs: DataFrame, rule: Rule = RULE, shelf: Shelf | None = None) ->
     named = Linker(paragraphs(docs), rule, paragraph_sketches(docs, rule)).labelled().select(F.col("id").alias("line"), "component").distinct()
     lines = own.filter("line != 0").select("line", "doc_id").distinct().join(named, "line")
     kept = _across(lines, "component")
-    by_line = lines.join(kept, "component").select("line", F.col("first").alias("line_first")).distinct()
-    by_digest = _across(own, "digest").select("digest", F.col("first").alias("own_first"))
+    # written down, so that joins with them have exchanges of their own, which adaptive execution can split
+    by_line = shelf.put(lines.join(kept, "component").select("line", F.col("first").alias("line_first")).distinct())
+    by_digest = shelf.put(_across(own, "digest").select("digest", F.col("first").alias("own_first")))
     marked = own.join(by_digest, "digest", "left").join(by_line, "line", "left")
     repeated = marked.withColumn("first", F.least("own_first", "line_first")).filter(F.col("first").isNotNull())
     row = F.struct("place", "at", "words", "b0", "b1", "first")
