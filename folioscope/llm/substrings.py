@@ -1,16 +1,21 @@
-"""Operator 5: substring de-duplication by paragraphs.
+"""Operator 5: substring de-duplication by paragraphs and word windows.
 
 Paragraphs are the lines of a text; those of ``LINE_WORDS`` words or more go through MinHash banding
 (8 bands of 3: a pair of similarity 0.8 collides in none with probability 0.3 %, and one of 0.9 with
 0.003 %), collisions are confirmed by exact Jaccard similarity of five-word shingles, and confirmed
-links become components (see ``near``).  A passage often stands inside a paragraph of its own words, so
-the sentences of ``UNIT_WORDS`` words or more are followed too, each by a digest of its words; long
-sentences are cut first, where the hash of two neighbouring words says so, hence alike in all copies.
+links become components (see ``near``).  A line whose component occurs in another document is repeated
+as a whole, whatever its length and sentences.
 
-A sentence is repeated if its digest, or the component of its line, occurs in another document.
-Repeated sentences with nothing but shorter sentences between them form a run; runs of ``RUN_WORDS``
-words or more are passages.  The document with the smallest id that holds a sentence keeps it, the
-others lose it.  Documents that share passages form components.
+A passage often stands inside a paragraph of its own words, so windows of ``WINDOW`` words are followed
+too, whatever stops and line ends stand in them: of ``CHOICE`` neighbouring windows the one of the
+smallest digest is chosen (winnowing), so two copies of ``WINDOW + CHOICE - 1`` words choose a common
+one wherever they stand.  A chosen window that occurs in another document grows by up to ``CHOICE - 1``
+words on each side, as far as the words agree with some other document; all windows of a longer copy
+together cover it to its first and last word.
+
+Repeated stretches with ``GAP_WORDS`` words or fewer between them form a run; runs of ``RUN_WORDS``
+words or more are passages, and their repeated words are counted.  A word is lost where an earlier
+document holds the same stretch.  Documents that share passages form components.
 
 Defined results: null, empty and wordless texts have no paragraphs and are their own component, as
 is a null id, which neither gives nor takes passages; rows of one id and text are one row, and a
@@ -19,6 +24,7 @@ repetition inside one document is none; whole texts are read; an empty table giv
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +39,12 @@ from folioscope.llm.shingles import chunks, mix, power, words
 
 RULE = Rule(per=80, bands=8, rows=3, table=WORD_BYTES)
 LINE_WORDS = 20
-UNIT_WORDS = 7
 RUN_WORDS = 24
-#: Sentences of so many words are cut into pieces of about so many.
-LONG_WORDS = 16
-PIECE_WORDS = 10
+WINDOW = 12
+CHOICE = 13
+GAP_WORDS = 6
+#: ``side`` of a row that stands for a whole line.
+LINE = 2
 
 _U = np.uint64
 _TURN = 0xC2B2AE3D27D4EB4F | 1
@@ -51,62 +58,54 @@ def _digests(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * power(_BACK, len(hashes) + 1)[starts] + (ends - starts).astype(_U)).view(np.int64)
 
 
-def _ranges(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and end of the stretches of equal neighbours."""
-    first = np.flatnonzero(np.diff(marks, prepend=marks[0] - 1)) if len(marks) else np.zeros(0, np.int64)
-    return first, np.append(first[1:], len(marks)) if len(marks) else first
-
-
-def _cut_long(sentence: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Numbers long sentences' pieces too: cut where the hash of two neighbouring words says so."""
-    s0, s1 = _ranges(sentence)
-    long = np.repeat(s1 - s0 >= LONG_WORDS, s1 - s0)
-    new = np.zeros(len(sentence), bool)
-    if len(hashes) > 1:
-        pair = mix(hashes[1:] + hashes[:-1] * _U(_TURN))
-        new[1:] = long[1:] & (pair % _U(PIECE_WORDS) == 0)
-    new[s0] = True
-    return np.cumsum(new)
+def chosen(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and digests of the chosen windows; a text with fewer than ``CHOICE`` windows chooses one."""
+    count = np.maximum(np.diff(first) - WINDOW + 1, 0)
+    place = np.concatenate(([0], np.cumsum(count)))
+    start = np.arange(place[-1]) - np.repeat(place[:-1], count) + np.repeat(first[:-1], count)
+    value = _digests(hashes, start, start + WINDOW).view(_U) if len(start) else np.zeros(0, _U)
+    least, at, span = value, np.arange(len(value)), 1
+    while span < CHOICE and len(least):  # the last smallest of ever more neighbours
+        step = min(span, CHOICE - span)
+        later = least[step:] <= least[:-step]
+        least, at = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
+        span += step
+    room = (np.repeat(place[1:], count) - np.arange(len(value)))[: len(at)] >= CHOICE
+    few = [place[i + 1] - 1 - np.argmin(value[place[i] : place[i + 1]][::-1]) for i in np.flatnonzero((count > 0) & (count < CHOICE))]
+    picked = np.unique(np.concatenate((at[room], np.array(few, np.int64))))
+    start, digest = start[picked], value[picked].view(np.int64)
+    # of equal windows close together, as in the same few words over and over, the first, the last and some between stay
+    same = np.zeros(len(start) + 1, bool)
+    same[1:-1] = (digest[1:] == digest[:-1]) & (np.diff(start) < WINDOW)
+    run = np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(start)))) if len(start) else start
+    step = (start - start[run]) // (CHOICE // 2)
+    inner = same[:-1] & same[1:] & (step == np.append(-1, step[:-1])[: len(step)])
+    return start[~inner], digest[~inner]
 
 
 def split(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Units of the texts: text, place among its units, first word and words, bytes, digest, line digest.
-
-    The line digest is 0 for lines of fewer than ``LINE_WORDS`` words.
-    """
+    """Chosen windows and long lines of the texts: text, first word, words (``WINDOW``, or more for a line), digest."""
     hashes, first = words(texts, WORD_BYTES)
     joined = b"\n".join(texts) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
     inside = np.frombuffer(joined.translate(WORD_BYTES), np.uint8) != 32
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    w0, w1 = edge[::2], edge[1::2]
-    line = data == 10
-    # a full stop ends a sentence, as does a single exclamation or question mark; "!!" is decoration
-    loud = (data == 33) | (data == 63)
-    stop = line | (data == 46) | (loud & ~np.append(loud[1:], False) & ~np.insert(loud[:-1], 0, False))
-    sentence, row = np.cumsum(stop)[w0] if len(w0) else w0, np.cumsum(line)[w0] if len(w0) else w0
-    s0, s1 = _ranges(_cut_long(sentence, hashes))
-    l0, l1 = _ranges(row)
-    long_line = np.where(l1 - l0 >= LINE_WORDS, _digests(hashes, l0, l1), 0)
-    of_line = np.repeat(long_line, l1 - l0)
-    keep = s1 - s0 >= UNIT_WORDS
-    s0, s1 = s0[keep], s1[keep]
-    text = np.searchsorted(first, s0, "right") - 1
-    offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    place = np.arange(len(s0)) - np.searchsorted(text, text)
+    w0 = np.flatnonzero(inside & ~np.insert(inside[:-1], 0, False))
+    row = np.cumsum(np.frombuffer(joined, np.uint8) == 10)[w0]
+    l0 = np.flatnonzero(np.diff(row, prepend=-1))
+    l1 = np.append(l0[1:], len(row))
+    long = l1 - l0 >= LINE_WORDS
+    l0, l1 = l0[long], l1[long]
+    start, digest = chosen(hashes, first)
+    at = np.concatenate((start, l0))
+    text = np.searchsorted(first, at, "right") - 1
     return {
         "text": text,
-        "place": place,
-        "at": s0 - first[text],
-        "words": s1 - s0,
-        "b0": w0[s0] - offsets[text],
-        "b1": w1[s1 - 1] - offsets[text],
-        "digest": _digests(hashes, s0, s1),
-        "line": of_line[s0] if len(s0) else s0,
+        "at": at - first[text],
+        "words": np.concatenate((np.full(len(start), WINDOW), l1 - l0)),
+        "digest": np.concatenate((digest, _digests(hashes, l0, l1) if len(l0) else l0)),
     }
 
 
-_UNITS = "doc_id long, tag long, place int, at int, words int, b0 long, b1 long, digest long, line long"
+_UNITS = "doc_id long, tag long, at int, words int, digest long"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -122,7 +121,7 @@ def units(docs: DataFrame) -> DataFrame:
             for lo, hi in chunks(texts):
                 u = split(texts[lo:hi])
                 rows = u.pop("text") + lo
-                ints = {k: pa.array(v, pa.int32() if k in ("place", "at", "words") else pa.int64()) for k, v in u.items()}
+                ints = {k: pa.array(v, pa.int32() if k in ("at", "words") else pa.int64()) for k, v in u.items()}
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[rows], pa.int64()), "tag": pa.array(tags[rows], pa.int64()), **ints})
 
     return _keyed(docs).mapInArrow(run, _UNITS)
@@ -140,7 +139,7 @@ def _long_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(id, text) of the long lines; the id is the line digest of ``units``."""
+    """(id, text) of the long lines; the id is the digest of the line in ``units``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, lines in _long_lines(batches):
@@ -166,67 +165,207 @@ def _across(classes: DataFrame, key: str) -> DataFrame:
     return classes.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first != last").drop("last")
 
 
+_CONTEXT = "digest long, side byte, around binary, size byte, doc_id long, tag long, at int"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words behind (side 1) and before (side 0, nearest first) the windows ``u`` (at, digest) of each text."""
+    width = CHOICE - 1
+    steps = np.arange(width)
+    for b in (part for batch in batches for part in slices(batch, 128)):
+        texts, found = b.column("text").to_pylist(), b.column("u")
+        for lo, hi in chunks(texts):
+            hashes, first = words(texts[lo:hi], WORD_BYTES)
+            own = np.concatenate((hashes.astype(">u4"), np.zeros(1, ">u4")))  # the last stands for no word
+            part = found.slice(lo, hi - lo)
+            count, flat = part.value_lengths().to_numpy(), part.flatten()
+            at, digest = flat.field("at").to_numpy(), flat.field("digest").to_numpy()
+            text = np.repeat(np.arange(hi - lo), count)
+            start, n = first[text] + at, np.diff(first)[text]
+            for side, room, place in ((0, at, start[:, None] - 1 - steps), (1, n - at - WINDOW, start[:, None] + WINDOW + steps)):
+                size = np.minimum(room, width)
+                around = own[np.where(steps < size[:, None], place, len(own) - 1)]
+                ends = pa.py_buffer(np.arange(0, 4 * width * len(at) + 1, 4 * width, dtype=np.int32))
+                columns = {
+                    "digest": pa.array(digest), "side": pa.array(np.full(len(at), side, np.int8)), "around": pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(around.tobytes())]),
+                    "size": pa.array(size.astype(np.int8)), "doc_id": b.column("doc_id").slice(lo, hi - lo).take(pa.array(text)), "tag": b.column("tag").slice(lo, hi - lo).take(pa.array(text)), "at": pa.array(at, pa.int32()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+
+def _nearest(docs: list[int], common: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """For sorted contexts: most words in common with another document of the group and with an earlier one (-1: none), and that one.
+
+    ``common`` are the words that each has in common with the one before, -1 at the start of a group.
+    """
+    n = len(docs)
+    other, less, partner = [-1] * n, [-1] * n, [0] * n
+    for order, at in ((range(n), common), (range(n - 1, -1, -1), [*common[1:], -1])):
+        before, reach, stack = None, -1, []
+        for i in order:
+            d, c = docs[i], at[i]
+            if c < 0:
+                before, stack, reach = d, [], -1
+            else:
+                reach = c if d != before else min(reach, c)
+                before = d
+                if reach > other[i]:
+                    other[i] = reach
+            while stack and stack[-1][0] >= d:
+                c = min(c, stack.pop()[1])
+            if stack and c > less[i]:
+                less[i], partner[i] = c, stack[-1][0]
+            stack.append((d, c))
+    return other, less, partner
+
+
+_REACH = "doc_id long, tag long, at int, side byte, other int, less int, partner long"
+
+
+def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How far windows, sorted by digest, side and context, agree with other documents on that side."""
+    width, rest = CHOICE - 1, None
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        digest, side, size = (t.column(c).to_numpy() for c in ("digest", "side", "size"))
+        around = np.frombuffer(b"".join(t.column("around").to_pylist()), ">u4").reshape(-1, width)
+        equal = np.concatenate((around[1:] == around[:-1], np.zeros((len(around) - 1, 1), bool)), axis=1)
+        common = np.full(len(around), -1)
+        common[1:] = np.minimum(np.argmin(equal, axis=1), np.minimum(size[1:], size[:-1]))
+        common[1:][(digest[1:] != digest[:-1]) | (side[1:] != side[:-1])] = -1
+        other, less, partner = _nearest(t.column("doc_id").to_pylist(), common.tolist())
+        out = [t.column(c).combine_chunks() for c in ("doc_id", "tag", "at", "side")]
+        out += [pa.array(other, pa.int32()), pa.array(less, pa.int32()), pa.array(partner, pa.int64())]
+        return pa.Table.from_arrays(out, [x.split()[0] for x in _REACH.split(", ")])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        digest, side = b.column("digest").to_numpy(), b.column("side").to_numpy()
+        key = (digest[-1], side[-1])
+        own = np.flatnonzero((digest != key[0]) | (side != key[1]))
+        cut = int(own[-1]) + 1 if len(own) else 0  # the last group may go on in the next batch
+        if rest is not None and (cut or key != rest):
+            yield from done(pa.Table.from_batches([*held, b.slice(0, cut)])).to_batches()
+            held = []
+        elif cut:
+            yield from done(pa.Table.from_batches([b.slice(0, cut)])).to_batches()
+        held.append(b.slice(cut))
+        rest = key
+    if held:
+        yield from done(pa.Table.from_batches(held)).to_batches()
+
+
+def _union(spans: list[tuple[int, int]], gap: int = 0) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1] + gap:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _found(rows: list[tuple[int, ...]]) -> dict:
+    """Repeated and lost stretches of one text, and the documents that share passages with it."""
+    reach: dict[int, dict[int, tuple[int, int, int]]] = {}
+    spans, lost, links = [], [], set()
+    for at, side, other, less, partner in rows:
+        if side == LINE:
+            spans.append((at, at + other))
+            if less >= 0:
+                lost.append(spans[-1])
+                links.add(partner)
+        else:
+            reach.setdefault(at, {})[side] = (other, less, partner)
+    pieces = [(at - max(r[0][0], 0), at + WINDOW + max(r[1][0], 0)) for at, r in reach.items()]
+    runs = [r for r in _union(pieces, GAP_WORDS) if r[1] - r[0] >= RUN_WORDS]
+    low = [r[0] for r in runs]
+    for (lo, hi), (at, r) in zip(pieces, reach.items(), strict=True):
+        k = bisect_right(low, lo) - 1
+        if k < 0 or hi > runs[k][1]:
+            continue
+        spans.append((lo, hi))
+        if r[0][1] >= 0:
+            lost.append((at - r[0][1], at + WINDOW + r[1][1]))
+            links.add(max(r[0][1:], r[1][1:])[1])
+    pack = lambda spans: [{"lo": lo, "hi": hi} for lo, hi in _union(spans)]
+    return {"repeated": pack(spans), "lost": pack(lost), "links": sorted(links)}
+
+
 def passages(docs: DataFrame, rule: Rule = RULE, shelf: Shelf | None = None) -> DataFrame:
-    """doc_id, tag, place, at, words, b0, b1, first: repeated sentences in passages, and who keeps them."""
+    """doc_id, tag, repeated and lost (arrays of first word and end), links: for texts with passages."""
     shelf = shelf or Shelf(docs.sparkSession)
     own = shelf.put(units(docs))
-    named = Linker(paragraphs(docs), rule, paragraph_sketches(docs, rule)).labelled().select(F.col("id").alias("line"), "component").distinct()
-    lines = own.filter("line != 0").select("line", "doc_id").distinct().join(named, "line")
-    kept = _across(lines, "component")
+    long, windows = own.filter(F.col("words") != WINDOW), own.filter(F.col("words") == WINDOW).drop("words")
+    linker = Linker(paragraphs(docs), rule, paragraph_sketches(docs, rule))
+    named = shelf.put(linker.labelled().select(F.col("id").alias("digest"), "component").distinct())
+    linker.shelf.clear()
+    lines = long.select("digest", "doc_id").distinct().join(named, "digest")
+    less = F.when(F.col("partner") < F.col("doc_id"), F.col("words")).otherwise(-1)
     # written down, so that joins with them have exchanges of their own, which adaptive execution can split
-    by_line = shelf.put(lines.join(kept, "component").select("line", F.col("first").alias("line_first")).distinct())
-    by_digest = shelf.put(_across(own, "digest").select("digest", F.col("first").alias("own_first")))
-    marked = own.join(by_digest, "digest", "left").join(by_line, "line", "left")
-    repeated = marked.withColumn("first", F.least("own_first", "line_first")).filter(F.col("first").isNotNull())
-    row = F.struct("place", "at", "words", "b0", "b1", "first")
-    grouped = repeated.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(row)).alias("u"))
-
-    def long_runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.int32())
+    by_line = shelf.put(lines.join(_across(lines, "component"), "component").select("digest", F.col("first").alias("partner")).distinct())
+    whole = long.join(by_line, "digest").select("doc_id", "tag", "at", F.lit(LINE).cast("byte").alias("side"), F.col("words").alias("other"), less.alias("less"), "partner")
+    whole = shelf.put(whole)
+    by_digest = shelf.put(_across(windows, "digest").select("digest"))
+    hits = shelf.put(windows.join(by_digest, "digest").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "digest")).alias("u")))
+    shelf.drop(own, by_digest, by_line, named)
+    around = hits.join(_keyed(docs), ["doc_id", "tag"]).select("doc_id", "tag", "text", "u").mapInArrow(_contexts, _CONTEXT)
+    key = ["digest", "side"]
+    reaches = around.repartition(*key).sortWithinPartitions(*key, "around", "size").mapInArrow(_reaches, _REACH)
+    row = F.struct("at", "side", "other", "less", "partner")
+    grouped = reaches.unionByName(whole).groupBy("doc_id", "tag").agg(F.collect_list(row).alias("u"))
+
+    def gathered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        spans = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+        kind = pa.struct([("repeated", spans), ("lost", spans), ("links", pa.list_(pa.int64()))])
         for batch in batches:
-            out = []
-            for found in batch.to_pylist():
-                good, run = [], []
-                for i, x in enumerate([*found, None]):
-                    if run and (x is None or x["place"] != found[run[-1]]["place"] + 1):
-                        if found[run[-1]]["at"] + found[run[-1]]["words"] - found[run[0]]["at"] >= RUN_WORDS:
-                            good += run
-                        run = []
-                    run.append(i)
-                out.append(good)
-            yield pa.array(out, kind)
+            count, flat = batch.value_lengths().to_numpy(), batch.flatten()
+            rows = list(zip(*(flat.field(c).to_pylist() for c in ("at", "side", "other", "less", "partner")), strict=True))
+            ends = np.cumsum(count).tolist()
+            yield pa.array([_found(rows[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)], kind)
 
-    chosen = F.arrow_udf(long_runs, "array<int>")("u")
-    return grouped.withColumn("i", F.explode(chosen)).select("doc_id", "tag", F.col("u")[F.col("i")].alias("x")).select("doc_id", "tag", "x.*")
+    spans = "array<struct<lo:int,hi:int>>"
+    found = grouped.withColumn("x", F.arrow_udf(gathered, f"struct<repeated:{spans},lost:{spans},links:array<long>>")("u"))
+    return found.select("doc_id", "tag", "x.*").filter(F.size("repeated") > 0)
 
 
 def report(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """Per document: repeated sentences and words in passages, what it loses, and its component."""
+    """Per document: repeated stretches and words in passages, what it loses, and its component."""
     shelf = Shelf(docs.sparkSession)
     found = shelf.put(passages(docs, rule, shelf))
-    lost = F.col("first") < F.col("doc_id")
+    total = lambda c: F.sum(F.aggregate(c, F.lit(0), lambda n, x: n + x["hi"] - x["lo"]))
     counts = found.groupBy("doc_id").agg(
-        F.count("*").alias("n_repeated"), F.sum("words").alias("repeated_words"), F.count_if(lost).alias("n_removed"), F.coalesce(F.sum(F.when(lost, F.col("words"))), F.lit(0)).alias("removed_words")
+        F.sum(F.size("repeated")).alias("n_repeated"), total("repeated").alias("repeated_words"), F.sum(F.size("lost")).alias("n_removed"), total("lost").alias("removed_words")
     )
-    parts = components(found.filter(lost).select(F.col("doc_id").alias("a"), F.col("first").alias("b")), shelf)
+    parts = components(found.select(F.col("doc_id").alias("a"), F.explode("links").alias("b")), shelf)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(counts, "doc_id", "left").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), *(zero(c) for c in ("n_repeated", "repeated_words", "n_removed", "removed_words")))
 
 
+def _without(text: bytes, spans: list[dict]) -> bytes:
+    """The text without those words, from each stretch's first to its last."""
+    inside = np.frombuffer(text.translate(WORD_BYTES), np.uint8) != 32
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    parts, at = [], 0
+    for x in spans:
+        parts.append(text[at : edge[2 * x["lo"]]])
+        at = edge[2 * x["hi"] - 1]
+    return b"".join([*parts, text[at:]])
+
+
 def deduplicated(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """``docs`` whose texts have lost the passages that an earlier document keeps; same columns and rows."""
-    gone = passages(docs, rule).filter(F.col("first") < F.col("doc_id")).groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.array_sort(F.collect_list(F.struct("b0", "b1"))).alias("_cut"))
+    gone = passages(docs, rule).filter(F.size("lost") > 0).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("lost").alias("_cut"))
 
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
             out = []
             for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-                parts, at = [], 0
-                for x in found or []:
-                    parts.append(text[at : x["b0"]])
-                    at = x["b1"]
-                out.append(None if text is None else b"".join([*parts, text[at:]]).decode("utf-8", "replace"))
+                out.append(None if text is None else _without(text, found or []).decode("utf-8", "replace"))
             yield pa.array(out, pa.string())
 
     joined = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_tag"]), "left")

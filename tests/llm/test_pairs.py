@@ -152,6 +152,22 @@ def test_substrings(spark):
     assert substrings.report(df.limit(0)).count() == 0
 
 
+def prose(rng, n, stop):
+    w = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(n)]
+    return " ".join(x + ("." if stop and i % stop == stop - 1 else "") for i, x in enumerate(w))
+
+
+def test_substrings_lines_without_sentences(spark):
+    """Near copies of lines whose words stand between stops are marked whole."""
+    rng = random.Random(9)
+    line = prose(rng, 60, 4)
+    w = line.split()
+    near_copy = " ".join([*w[:9], "other", *w[10:]])
+    rows = [(1, line), (2, f"{prose(rng, 30, 0)}\n{near_copy}")]
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1, 60, 0, 0), 2: (1, 1, 60, 1, 60)}
+
+
 def brute_top(rows, k):
     out = []
     whole = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
