@@ -168,6 +168,48 @@ def test_substrings_lines_without_sentences(spark):
     assert got == {1: (1, 1, 60, 0, 0), 2: (1, 1, 60, 1, 60)}
 
 
+@pytest.mark.parametrize("stop", [0, 5, 20])
+def test_substrings_of_just_over_fifty_words(spark, stop):
+    """At random places of different text, without stops, in short and in long sentences: each is found."""
+    rng, rows = random.Random(stop), []
+    for i in range(40):
+        shared = prose(rng, 51, stop)
+        rows += [(2 * i + k, f"{prose(rng, rng.randint(0, 90), stop)} {shared} {prose(rng, rng.randint(0, 90), stop)}") for k in range(2)]
+    rows += [(100 + i, prose(rng, 150, stop)) for i in range(20)]
+    got = {r.doc_id: r for r in substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, _ in rows if got[i].n_repeated] == list(range(80))
+    assert all(got[i].class_id == i // 2 * 2 and got[i].repeated_words == 51 for i in range(80))
+
+
+def stretches(rows, least):
+    """Per document, its words in stretches of so many words that another document, or an earlier one, holds."""
+    grams = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - least + 1):
+            grams.setdefault(tuple(w[i : i + least]), []).append((d, i))
+    out = {d: (set(), set()) for d, _ in rows}
+    for places in grams.values():
+        ids = {d for d, _ in places}
+        for d, i in places:
+            for k, hit in enumerate((len(ids) > 1, d > min(ids))):
+                out[d][k].update(range(i, i + least) if hit else ())
+    return {d: (len(a), len(b)) for d, (a, b) in out.items()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_substrings_equal_brute_force(spark, seed):
+    """Stretches of 24 words and more of one text, cut out anywhere, among text that repeats nowhere."""
+    rng = random.Random(seed)
+    source, rows = prose(rng, 400, 0).split(), []
+    for i in range(60):
+        a, n = rng.randrange(340), rng.randint(24, 60)
+        rows.append((i, f"{prose(rng, rng.randint(1, 40), 0)} {' '.join(source[a : a + n])} {prose(rng, rng.randint(1, 40), 0)}"))
+    got = {r.doc_id: (r.repeated_words, r.removed_words) for r in substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    exact, fragments = stretches(rows, substrings.RUN_WORDS), stretches(rows, substrings.WINDOW)
+    assert all(exact[i][0] <= got[i][0] <= fragments[i][0] and exact[i][1] <= got[i][1] <= fragments[i][1] for i in got)
+
+
 def brute_top(rows, k):
     out = []
     whole = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
