@@ -210,6 +210,18 @@ def test_substrings_equal_brute_force(spark, seed):
     assert all(exact[i][0] <= got[i][0] <= fragments[i][0] and exact[i][1] <= got[i][1] <= fragments[i][1] for i in got)
 
 
+def test_substrings_are_cut_whole(spark):
+    """To the first and last word, short sentences inside; what only later documents share stays."""
+    rng = random.Random(8)
+    parts = [prose(rng, n, 6) for n in (30, 30, 30)]
+    rows = [(i, f"{prose(rng, 40, 0)} {' '.join(parts[: 2 + (i > 1)])} {prose(rng, 40, 9)}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.repeated_words, r.removed_words) for r in substrings.report(df).collect()}
+    assert got == {0: (60, 0), 1: (60, 60), 2: (90, 60), 3: (90, 90)}
+    left = {r.doc_id: len(r.text.split()) for r in substrings.deduplicated(df).collect()}
+    assert {i: n - left[i] for i, n in ((i, len(t.split())) for i, t in rows)} == {0: 0, 1: 59, 2: 59, 3: 89}  # a stop stays
+
+
 def brute_top(rows, k):
     out = []
     whole = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
