@@ -222,6 +222,15 @@ def test_substrings_are_cut_whole(spark):
     assert {i: n - left[i] for i, n in ((i, len(t.split())) for i, t in rows)} == {0: 0, 1: 59, 2: 59, 3: 89}  # a stop stays
 
 
+def test_substrings_short_paragraphs(spark):
+    """An exact line of ``LINE_WORDS`` words is a passage by itself."""
+    rng = random.Random(9)
+    short = prose(rng, substrings.LINE_WORDS, 0)
+    rows = [(3, f"x\n{short}\n{prose(rng, 30, 0)}"), (4, f"{prose(rng, 30, 0)}\n{short}\ny")]
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: (3, 1, 20, 0, 0), 4: (3, 1, 20, 1, 20)}
+
+
 def brute_top(rows, k):
     out = []
     whole = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
