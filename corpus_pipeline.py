@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as the next one's docs.  All but the last return the columns of ``documents``.
 
 1. language: documents without a letter, or in no learned language, go.
-2. near_duplicates: the document with the smallest id of each near-duplicate group stays.
+2. near_duplicates: the document with the smallest id of each near-duplicate group (similarity 0.8) stays.
 3. decontaminate: benchmark passages are cut out; documents with passages of two items or more, or hit
    in over half of their words, go.
 4. secrets: every secret is replaced by ``[secret]``.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, language, neardup, packing, secrets
 from folioscope.llm.common import Shelf, table
+from folioscope.llm.near import Rule
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,7 +35,7 @@ def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicated(docs).select(*COLUMNS)
+    return neardup.deduplicated(docs, Rule(per=80)).select(*COLUMNS)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from folioscope.llm import neardup, near, substrings, topk
 from folioscope.llm.common import BLANK_BYTES, Shelf
 from folioscope.llm.components import components
@@ -90,6 +91,17 @@ def test_hot_group_is_compared_in_blocks(spark):
     assert got == want
 
 
+def test_pipeline_links_from_080(spark):
+    """A pair of similarity 0.82 is one document to the pipeline, and two to op3."""
+    w = [f"b{i}" for i in range(104)]
+    other = [*w[:30], "x", *w[31:70], "y", *w[71:]]
+    a, b = grams(" ".join(w)), grams(" ".join(other))
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate((w, other))], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, "").collect()] == [0]
+    assert neardup.deduplicated(df).count() == 2
+
+
 def test_overlaps_equal_sets():
     rng = np.random.default_rng(0)
     for n, v, m in ((5, 20, 8), (70, 90, 60), (3, 10, 0)):
