@@ -97,8 +97,12 @@ def fuzzy(text: str) -> list[tuple[int, int, int, int]]:
     for k, spots in sorted(near.items()):
         pattern = patterns[k][0]
         for lo, hi in spots:
-            for m in pattern.finditer(text, lo, min(hi, len(text))):
-                out.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
+            left = [(lo, min(hi, len(text)))]
+            while left:  # the best match comes first, so there may be others on both sides
+                a, b = left.pop()
+                if m := pattern.search(text, a, b):
+                    out.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    left += [(a, m.start()), (m.end(), b)]
     kept: list[tuple[int, int, int, int]] = []
     for x in sorted(out, key=lambda x: (x[3], x[1] - x[2], x[1])):
         if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):

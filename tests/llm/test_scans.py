@@ -155,3 +155,8 @@ def test_license_frame(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "!!"), (3, "the MIT License")], "doc_id long, text string").withColumn("labels", F.lit(1))
     got = {(r.doc_id, r.n_words, r.n_base, r.first_word, r.labels, r.score) for r in licenses.report(df).collect()}
     assert got == {(1, 0, 0, None, "", 0.0), (2, 0, 0, None, "", 0.0), (3, 0, 0, None, "", 0.0), (3, 3, 1, 1, "mit", 1.0)}
+
+
+def test_licenses_worse_copy_before_a_better_one():
+    found = licenses.scan_one(b"relased under the mit license released under the mit license")["notices"]
+    assert [(n["start_word"], n["end_word"], n["errors"]) for n in found] == [(0, 5, 1), (5, 10, 0)]
