@@ -1,8 +1,8 @@
 """DuckDB SQL of the training-data queries that SQL can express.
 
 Left out, and tested against brute force, round trips or held-out accuracy instead: op2 and op6 (their
-methods add spans and labels by checksums and bounded errors), op4 and op7 (networks), op5 (runs of
-content-cut pieces), op10 (a tokenizer), and the pipeline made of them.
+methods add spans and labels by checksums and bounded errors), op4 and op7 (networks), op5 (passages
+grown around samples), op10 (a tokenizer), and the pipeline made of them.
 """
 
 SQL: dict[str, str] = {}

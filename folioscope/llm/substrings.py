@@ -1,30 +1,34 @@
-"""Operator 5: substring de-duplication by paragraphs and word windows.
-
-Paragraphs are the lines of a text; those of ``LINE_WORDS`` words or more go through MinHash banding
-(8 bands of 3: a pair of similarity 0.8 collides in none with probability 0.3 %, and one of 0.9 with
-0.003 %), collisions are confirmed by exact Jaccard similarity of five-word shingles, and confirmed
-links become components (see ``near``).  A line whose component occurs in another document is repeated
-as a whole, whatever its length and sentences.
-
-A passage often stands inside a paragraph of its own words, so windows of ``WINDOW`` words are followed
-too, whatever stops and line ends stand in them: of ``CHOICE`` neighbouring windows the one of the
-smallest digest is chosen (winnowing), so two copies of ``WINDOW + CHOICE - 1`` words choose a common
-one wherever they stand.  A chosen window that occurs in another document grows by up to ``CHOICE - 1``
-words on each side, as far as the words agree with some other document; all windows of a longer copy
-together cover it to its first and last word.
-
-Repeated stretches with ``GAP_WORDS`` words or fewer between them form a run; runs of ``RUN_WORDS``
-words or more are passages, and their repeated words are counted.  A word is lost where an earlier
-document holds the same stretch.  Documents that share passages form components.
-
-Defined results: null, empty and wordless texts have no paragraphs and are their own component, as
-is a null id, which neither gives nor takes passages; rows of one id and text are one row, and a
-repetition inside one document is none; whole texts are read; an empty table gives no rows.
+"""Operator 5: substring de-duplication by MinHash banding of paragraphs.
+
+A passage often stands inside text of its own, so line ends do not tell paragraphs: every stretch of
+``SPAN`` words is a paragraph.  Its set are its shingles of ``SHINGLE`` words, and its signature is one
+band of one row, the MinHash sample of that set.  Neighbouring paragraphs mostly have the same sample;
+it is kept once, with its place.  This is the tuning for high recall: equal paragraphs always share
+the band, so documents that share ``SPAN`` words in a row, and thus any with a passage of ``PASSAGE``
+words of similarity 0.8 (one changed word in about 45), collide for certain; twelve words keep chance
+collisions rare however large the corpus is.
+
+Paragraphs that share a band are joined with the one of the smallest document, the keeper, never with
+each other.  Both sides carry ``REACH`` words around the shingle, which are compared word by word: the
+equal stretch is found exactly, and past a gap of ``GAP`` differing words at most a second one of five
+words or more.  Stretches of a document that touch, or have ``GAP`` words or fewer between them, are a
+passage if they are ``PASSAGE`` words long together and their five-word shingles have a Jaccard
+similarity of 0.8 to the other side's.
+
+Only words that stand in the same order in a document of smaller id are taken out, so what a near copy
+has of its own stays, and each removed stretch stands in an earlier document.  Removals are clustered
+by connected components of the documents that share passages.
+
+Defined results: null, empty and wordless texts have no paragraphs and are their own component, as is
+a null id, which neither gives nor takes passages; texts of fewer than ``PASSAGE`` words have no
+passage; rows of one id are one document, and a repetition inside one document is none; in text that
+repeats the same few words some equal shingles are left out; where a document shares overlapping
+stretches with several earlier ones, up to ``SHINGLE`` words at an end may be left in; whole texts are
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD_BYTES, Shelf, slices
+from folioscope.llm.common import WORD_BYTES, Shelf, release_memory, slices
 from folioscope.llm.components import components
-from folioscope.llm.near import SKETCH_FIELDS, Linker, Rule, sketched
 from folioscope.llm.shingles import chunks, mix, power, words
 
-RULE = Rule(per=80, bands=8, rows=3, table=WORD_BYTES)
-LINE_WORDS = 20
-RUN_WORDS = 24
-WINDOW = 12
-CHOICE = 13
-GAP_WORDS = 6
-#: ``side`` of a row that stands for a whole line.
-LINE = 2
+SHINGLE = 12
+SPAN = 24
+#: Words of a passage, and the similarity of its five-word shingles as a fraction.
+PASSAGE = 50
+PER, OF, K = 80, 100, 5
+GAP = 6
+REACH = 24
 
 _U = np.uint64
 _TURN = 0xC2B2AE3D27D4EB4F | 1
@@ -55,287 +57,217 @@ def _digests(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """One 64-bit digest for each range of words, wherever it stands."""
     total = np.zeros(len(hashes) + 1, _U)
     np.cumsum(hashes * power(_TURN, len(hashes))[: len(hashes)], out=total[1:])
-    return mix((total[ends] - total[starts]) * power(_BACK, len(hashes) + 1)[starts] + (ends - starts).astype(_U)).view(np.int64)
+    return mix((total[ends] - total[starts]) * power(_BACK, len(hashes) + 1)[starts] + (ends - starts).astype(_U))
 
 
-def chosen(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and digests of the chosen windows; a text with fewer than ``CHOICE`` windows chooses one."""
-    count = np.maximum(np.diff(first) - WINDOW + 1, 0)
+def samples(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the samples of all paragraphs; a text shorter than ``SPAN`` is one paragraph."""
+    choice = SPAN - SHINGLE + 1
+    count = np.maximum(np.diff(first) - SHINGLE + 1, 0)
     place = np.concatenate(([0], np.cumsum(count)))
     start = np.arange(place[-1]) - np.repeat(place[:-1], count) + np.repeat(first[:-1], count)
-    value = _digests(hashes, start, start + WINDOW).view(_U) if len(start) else np.zeros(0, _U)
+    value = _digests(hashes, start, start + SHINGLE) if len(start) else np.zeros(0, _U)
     least, at, span = value, np.arange(len(value)), 1
-    while span < CHOICE and len(least):  # the last smallest of ever more neighbours
-        step = min(span, CHOICE - span)
+    while span < choice and len(least):  # the last smallest of ever more neighbours
+        step = min(span, choice - span)
         later = least[step:] <= least[:-step]
         least, at = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
         span += step
-    room = (np.repeat(place[1:], count) - np.arange(len(value)))[: len(at)] >= CHOICE
-    few = [place[i + 1] - 1 - np.argmin(value[place[i] : place[i + 1]][::-1]) for i in np.flatnonzero((count > 0) & (count < CHOICE))]
+    room = (np.repeat(place[1:], count) - np.arange(len(value)))[: len(at)] >= choice
+    few = [place[i + 1] - 1 - np.argmin(value[place[i] : place[i + 1]][::-1]) for i in np.flatnonzero((count > 0) & (count < choice))]
     picked = np.unique(np.concatenate((at[room], np.array(few, np.int64))))
     start, digest = start[picked], value[picked].view(np.int64)
-    # of equal windows close together, as in the same few words over and over, the first, the last and some between stay
+    # of equal samples close together, as in the same few words over and over, the first, the last and some between stay
     same = np.zeros(len(start) + 1, bool)
-    same[1:-1] = (digest[1:] == digest[:-1]) & (np.diff(start) < WINDOW)
+    same[1:-1] = (digest[1:] == digest[:-1]) & (np.diff(start) < SHINGLE)
     run = np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(start)))) if len(start) else start
-    step = (start - start[run]) // (CHOICE // 2)
+    step = (start - start[run]) // (choice // 2)
     inner = same[:-1] & same[1:] & (step == np.append(-1, step[:-1])[: len(step)])
     return start[~inner], digest[~inner]
 
 
-def split(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Chosen windows and long lines of the texts: text, first word, words (``WINDOW``, or more for a line), digest."""
-    hashes, first = words(texts, WORD_BYTES)
-    joined = b"\n".join(texts) + b"\n"
-    inside = np.frombuffer(joined.translate(WORD_BYTES), np.uint8) != 32
-    w0 = np.flatnonzero(inside & ~np.insert(inside[:-1], 0, False))
-    row = np.cumsum(np.frombuffer(joined, np.uint8) == 10)[w0]
-    l0 = np.flatnonzero(np.diff(row, prepend=-1))
-    l1 = np.append(l0[1:], len(row))
-    long = l1 - l0 >= LINE_WORDS
-    l0, l1 = l0[long], l1[long]
-    start, digest = chosen(hashes, first)
-    at = np.concatenate((start, l0))
-    text = np.searchsorted(first, at, "right") - 1
-    return {
-        "text": text,
-        "at": at - first[text],
-        "words": np.concatenate((np.full(len(start), WINDOW), l1 - l0)),
-        "digest": np.concatenate((digest, _digests(hashes, l0, l1) if len(l0) else l0)),
-    }
-
-
-_UNITS = "doc_id long, tag long, at int, words int, digest long"
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text")
     )
 
 
-def units(docs: DataFrame) -> DataFrame:
+def bands(docs: DataFrame) -> DataFrame:
+    """doc_id, tag (of the text), at (word), digest: the samples of all texts of ``PASSAGE`` words or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch)):
             ids, tags, texts = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("tag").to_numpy(zero_copy_only=False), b.column("text").to_pylist()
             for lo, hi in chunks(texts):
-                u = split(texts[lo:hi])
-                rows = u.pop("text") + lo
-                ints = {k: pa.array(v, pa.int32() if k in ("at", "words") else pa.int64()) for k, v in u.items()}
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[rows], pa.int64()), "tag": pa.array(tags[rows], pa.int64()), **ints})
-
-    return _keyed(docs).mapInArrow(run, _UNITS)
-
-
-def _long_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Digests and bytes of the long lines."""
-    for b in (part for batch in batches for part in slices(batch)):
-        texts = b.column("text").to_pylist()
-        for lo, hi in chunks(texts):
-            lines = [x for t in texts[lo:hi] for x in t.split(b"\n") if len(x) >= 2 * LINE_WORDS - 1]
-            hashes, first = words(lines, WORD_BYTES)
-            keep = np.flatnonzero(np.diff(first) >= LINE_WORDS)
-            yield _digests(hashes, first[:-1], first[1:])[keep], [lines[i] for i in keep]
-
-
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(id, text) of the long lines; the id is the digest of the line in ``units``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, lines in _long_lines(batches):
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "text": pa.array(lines, pa.binary())})
-
-    return _keyed(docs).mapInArrow(run, "id long, text binary")
-
-
-def paragraph_sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``near.sketches`` of the long lines, each distinct line of a chunk once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, lines in _long_lines(batches):
-            once = np.unique(ids, return_index=True)[1]
-            fields = sketched([lines[i] for i in once], rule)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[once], pa.int64()), *fields], ["id", *SKETCH_FIELDS])
+                hashes, first = words(texts[lo:hi], WORD_BYTES)
+                start, digest = samples(hashes, first)
+                text = np.searchsorted(first, start, "right") - 1
+                long = np.diff(first)[text] >= PASSAGE
+                start, digest, text = start[long], digest[long], text[long]
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": pa.array(ids[text + lo], pa.int64()), "tag": pa.array(tags[text + lo], pa.int64()), "at": pa.array(start - first[text], pa.int32()), "digest": pa.array(digest)}
+                )
+        release_memory()
 
-    return _keyed(docs).mapInArrow(run, "id long, n long, h1 long, h2 long, bands array<long>, odd array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, tag long, at int, digest long")
 
 
-def _across(classes: DataFrame, key: str) -> DataFrame:
-    """Classes that occur in several documents, with the first of them."""
-    return classes.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first != last").drop("last")
-
-
-_CONTEXT = "digest long, side byte, around binary, size byte, doc_id long, tag long, at int"
+_CONTEXT = "digest long, own boolean, doc_id long, tag long, at int, before binary, after binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words behind (side 1) and before (side 0, nearest first) the windows ``u`` (at, digest) of each text."""
-    width = CHOICE - 1
-    steps = np.arange(width)
+    """``REACH`` words before (nearest first) and behind the samples ``u`` (at, digest, own) of each text.
+
+    A word is four bytes of its hash; zero stands for no word.
+    """
+    steps = np.arange(REACH)
     for b in (part for batch in batches for part in slices(batch, 128)):
         texts, found = b.column("text").to_pylist(), b.column("u")
         for lo, hi in chunks(texts):
             hashes, first = words(texts[lo:hi], WORD_BYTES)
-            own = np.concatenate((hashes.astype(">u4"), np.zeros(1, ">u4")))  # the last stands for no word
+            code = np.append((hashes.astype(np.uint32) | np.uint32(1)).astype("<u4"), np.zeros(1, "<u4"))
             part = found.slice(lo, hi - lo)
             count, flat = part.value_lengths().to_numpy(), part.flatten()
-            at, digest = flat.field("at").to_numpy(), flat.field("digest").to_numpy()
+            at = flat.field("at").to_numpy()
             text = np.repeat(np.arange(hi - lo), count)
             start, n = first[text] + at, np.diff(first)[text]
-            for side, room, place in ((0, at, start[:, None] - 1 - steps), (1, n - at - WINDOW, start[:, None] + WINDOW + steps)):
-                size = np.minimum(room, width)
-                around = own[np.where(steps < size[:, None], place, len(own) - 1)]
-                ends = pa.py_buffer(np.arange(0, 4 * width * len(at) + 1, 4 * width, dtype=np.int32))
-                columns = {
-                    "digest": pa.array(digest), "side": pa.array(np.full(len(at), side, np.int8)), "around": pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(around.tobytes())]),
-                    "size": pa.array(size.astype(np.int8)), "doc_id": b.column("doc_id").slice(lo, hi - lo).take(pa.array(text)), "tag": b.column("tag").slice(lo, hi - lo).take(pa.array(text)), "at": pa.array(at, pa.int32()),
-                }
-                yield pa.RecordBatch.from_pydict(columns)
+            sides = []
+            for room, place in ((at, start[:, None] - 1 - steps), (n - at - SHINGLE, start[:, None] + SHINGLE + steps)):
+                around = code[np.where(steps < room[:, None], place, len(code) - 1)]
+                ends = pa.py_buffer(np.arange(0, 4 * REACH * len(at) + 1, 4 * REACH, dtype=np.int32))
+                sides.append(pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(around.tobytes())]))
+            take = lambda c, lo=lo, hi=hi, text=text: b.column(c).slice(lo, hi - lo).take(pa.array(text))  # noqa: E731, B023
+            columns = [flat.field("digest"), flat.field("own"), take("doc_id"), take("tag"), pa.array(at, pa.int32()), *sides]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _CONTEXT.split(", ")])
+    release_memory()
 
 
-def _nearest(docs: list[int], common: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """For sorted contexts: most words in common with another document of the group and with an earlier one (-1: none), and that one.
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far rows of words agree: all words reached, those before a gap, those behind it, in one number.
 
-    ``common`` are the words that each has in common with the one before, -1 at the start of a group.
+    The number grows with the reach, so the greatest is the best.
     """
-    n = len(docs)
-    other, less, partner = [-1] * n, [-1] * n, [0] * n
-    for order, at in ((range(n), common), (range(n - 1, -1, -1), [*common[1:], -1])):
-        before, reach, stack = None, -1, []
-        for i in order:
-            d, c = docs[i], at[i]
-            if c < 0:
-                before, stack, reach = d, [], -1
-            else:
-                reach = c if d != before else min(reach, c)
-                before = d
-                if reach > other[i]:
-                    other[i] = reach
-            while stack and stack[-1][0] >= d:
-                c = min(c, stack.pop()[1])
-            if stack and c > less[i]:
-                less[i], partner[i] = c, stack[-1][0]
-            stack.append((d, c))
-    return other, less, partner
-
-
-_REACH = "doc_id long, tag long, at int, side byte, other int, less int, partner long"
-
-
-def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How far windows, sorted by digest, side and context, agree with other documents on that side."""
-    width, rest = CHOICE - 1, None
-
-    def done(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        digest, side, size = (t.column(c).to_numpy() for c in ("digest", "side", "size"))
-        around = np.frombuffer(b"".join(t.column("around").to_pylist()), ">u4").reshape(-1, width)
-        equal = np.concatenate((around[1:] == around[:-1], np.zeros((len(around) - 1, 1), bool)), axis=1)
-        common = np.full(len(around), -1)
-        common[1:] = np.minimum(np.argmin(equal, axis=1), np.minimum(size[1:], size[:-1]))
-        common[1:][(digest[1:] != digest[:-1]) | (side[1:] != side[:-1])] = -1
-        other, less, partner = _nearest(t.column("doc_id").to_pylist(), common.tolist())
-        out = [t.column(c).combine_chunks() for c in ("doc_id", "tag", "at", "side")]
-        out += [pa.array(other, pa.int32()), pa.array(less, pa.int32()), pa.array(partner, pa.int64())]
-        return pa.Table.from_arrays(out, [x.split()[0] for x in _REACH.split(", ")])
-
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        digest, side = b.column("digest").to_numpy(), b.column("side").to_numpy()
-        key = (digest[-1], side[-1])
-        own = np.flatnonzero((digest != key[0]) | (side != key[1]))
-        cut = int(own[-1]) + 1 if len(own) else 0  # the last group may go on in the next batch
-        if rest is not None and (cut or key != rest):
-            yield from done(pa.Table.from_batches([*held, b.slice(0, cut)])).to_batches()
-            held = []
-        elif cut:
-            yield from done(pa.Table.from_batches([b.slice(0, cut)])).to_batches()
-        held.append(b.slice(cut))
-        rest = key
-    if held:
-        yield from done(pa.Table.from_batches(held)).to_batches()
-
-
-def _union(spans: list[tuple[int, int]], gap: int = 0) -> list[tuple[int, int]]:
+    n = a.shape[1]
+    same = np.concatenate(((a == b) & (a != 0), np.zeros((len(a), 1), bool)), 1)
+    exact = np.argmin(same, 1)
+    cut = np.arange(n + 1)[None, :]
+    best = np.stack((exact, exact, np.zeros_like(exact)), 1)
+    for gap in range(1, GAP + 1):  # the nearest five words that agree again
+        begin = np.minimum(exact + gap, n)
+        more = np.argmax(~same & (cut >= begin[:, None]), 1) - begin
+        fine = (more >= K) & (best[:, 2] == 0)
+        best[fine] = np.stack((begin + more, exact, more), 1)[fine]
+    return (best[:, 0].astype(np.int64) << 32) | (best[:, 1].astype(np.int64) << 16) | best[:, 2]
+
+
+def _compared(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for columns in batches:
+        rows = [np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, REACH) if len(c) else np.zeros((0, REACH), "<u4") for c in columns]
+        yield pa.StructArray.from_arrays([pa.array(_agreement(rows[0], rows[2])), pa.array(_agreement(rows[1], rows[3]))], ["l", "r"])
+
+
+def _pieces(at: int, left: int, right: int) -> list[tuple[int, int]]:
+    """Word ranges that agree around a sample."""
+    out = [(at - (left >> 16 & 0xFFFF), at + SHINGLE + (right >> 16 & 0xFFFF))]
+    if m := left & 0xFFFF:
+        out.append((at - (left >> 32), at - (left >> 32) + m))
+    if m := right & 0xFFFF:
+        end = at + SHINGLE + (right >> 32)
+        out.append((end - m, end))
+    return out
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1] + gap:
+        if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
             out.append((lo, hi))
     return out
 
 
-def _found(rows: list[tuple[int, ...]]) -> dict:
-    """Repeated and lost stretches of one text, and the documents that share passages with it."""
-    reach: dict[int, dict[int, tuple[int, int, int]]] = {}
-    spans, lost, links = [], [], set()
-    for at, side, other, less, partner in rows:
-        if side == LINE:
-            spans.append((at, at + other))
-            if less >= 0:
-                lost.append(spans[-1])
-                links.add(partner)
-        else:
-            reach.setdefault(at, {})[side] = (other, less, partner)
-    pieces = [(at - max(r[0][0], 0), at + WINDOW + max(r[1][0], 0)) for at, r in reach.items()]
-    runs = [r for r in _union(pieces, GAP_WORDS) if r[1] - r[0] >= RUN_WORDS]
-    low = [r[0] for r in runs]
-    for (lo, hi), (at, r) in zip(pieces, reach.items(), strict=True):
-        k = bisect_right(low, lo) - 1
-        if k < 0 or hi > runs[k][1]:
-            continue
-        spans.append((lo, hi))
-        if r[0][1] >= 0:
-            lost.append((at - r[0][1], at + WINDOW + r[1][1]))
-            links.add(max(r[0][1:], r[1][1:])[1])
-    pack = lambda spans: [{"lo": lo, "hi": hi} for lo, hi in _union(spans)]
-    return {"repeated": pack(spans), "lost": pack(lost), "links": sorted(links)}
-
-
-def passages(docs: DataFrame, rule: Rule = RULE, shelf: Shelf | None = None) -> DataFrame:
+def passages_of(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The word ranges that belong to passages, of all that agree."""
+    parts = _union(pieces)
+    common = [max(0, hi - lo - K + 1) for lo, hi in parts]
+    keep = [hi - lo >= PASSAGE for lo, hi in parts]
+    for i in range(len(parts)):
+        shared, j = common[i], i
+        while j + 1 < len(parts) and parts[j][1] - parts[i][0] < PASSAGE and parts[j + 1][0] - parts[j][1] <= GAP:
+            j += 1
+            shared += common[j]
+        whole = parts[j][1] - parts[i][0]
+        if j > i and whole >= PASSAGE and OF * shared >= PER * (2 * (whole - K + 1) - shared):
+            keep[i : j + 1] = [True] * (j + 1 - i)
+    return [p for p, k in zip(parts, keep, strict=True) if k]
+
+
+def _within(spans: list[tuple[int, int]], parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans inside the parts; both in order, no span crosses the border of a part."""
+    out, k = [], 0
+    for lo, hi in spans:
+        while k < len(parts) and parts[k][1] < hi:
+            k += 1
+        if k < len(parts) and parts[k][0] <= lo:
+            out.append((lo, hi))
+    return out
+
+
+def _found(rows: list[tuple[int, int, int, int | None]]) -> dict:
+    """Repeated and lost stretches of one text, and the earlier documents that hold the lost ones."""
+    found = [(_pieces(at, left, right), keeper) for at, left, right, keeper in rows]
+    repeated = passages_of([p for pieces, _ in found for p in pieces])
+    lost = _within(_union([p for pieces, keeper in found if keeper is not None for p in pieces]), repeated)
+    links = {keeper for pieces, keeper in found if keeper is not None and _within(sorted(pieces), repeated)}
+    pack = lambda spans: [{"lo": lo, "hi": hi} for lo, hi in spans]
+    return {"repeated": pack(repeated), "lost": pack(lost), "links": sorted(links)}
+
+
+_SPANS = "array<struct<lo:int,hi:int>>"
+
+
+def _gathered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    spans = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    kind = pa.struct([("repeated", spans), ("lost", spans), ("links", pa.list_(pa.int64()))])
+    for batch in batches:
+        count, flat = batch.value_lengths().to_numpy(), batch.flatten()
+        rows = list(zip(*(flat.field(c).to_pylist() for c in ("at", "l", "r", "keeper")), strict=True))
+        ends = np.cumsum(count).tolist()
+        yield pa.array([_found(rows[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)], kind)
+
+
+def passages(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """doc_id, tag, repeated and lost (arrays of first word and end), links: for texts with passages."""
     shelf = shelf or Shelf(docs.sparkSession)
-    own = shelf.put(units(docs))
-    long, windows = own.filter(F.col("words") != WINDOW), own.filter(F.col("words") == WINDOW).drop("words")
-    linker = Linker(paragraphs(docs), rule, paragraph_sketches(docs, rule))
-    named = shelf.put(linker.labelled().select(F.col("id").alias("digest"), "component").distinct())
-    linker.shelf.clear()
-    lines = long.select("digest", "doc_id").distinct().join(named, "digest")
-    less = F.when(F.col("partner") < F.col("doc_id"), F.col("words")).otherwise(-1)
+    own = shelf.put(bands(docs))
     # written down, so that joins with them have exchanges of their own, which adaptive execution can split
-    by_line = shelf.put(lines.join(_across(lines, "component"), "component").select("digest", F.col("first").alias("partner")).distinct())
-    whole = long.join(by_line, "digest").select("doc_id", "tag", "at", F.lit(LINE).cast("byte").alias("side"), F.col("words").alias("other"), less.alias("less"), "partner")
-    whole = shelf.put(whole)
-    by_digest = shelf.put(_across(windows, "digest").select("digest"))
-    hits = shelf.put(windows.join(by_digest, "digest").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "digest")).alias("u")))
-    shelf.drop(own, by_digest, by_line, named)
-    around = hits.join(_keyed(docs), ["doc_id", "tag"]).select("doc_id", "tag", "text", "u").mapInArrow(_contexts, _CONTEXT)
-    key = ["digest", "side"]
-    reaches = around.repartition(*key).sortWithinPartitions(*key, "around", "size").mapInArrow(_reaches, _REACH)
-    row = F.struct("at", "side", "other", "less", "partner")
-    grouped = reaches.unionByName(whole).groupBy("doc_id", "tag").agg(F.collect_list(row).alias("u"))
-
-    def gathered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        spans = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-        kind = pa.struct([("repeated", spans), ("lost", spans), ("links", pa.list_(pa.int64()))])
-        for batch in batches:
-            count, flat = batch.value_lengths().to_numpy(), batch.flatten()
-            rows = list(zip(*(flat.field(c).to_pylist() for c in ("at", "side", "other", "less", "partner")), strict=True))
-            ends = np.cumsum(count).tolist()
-            yield pa.array([_found(rows[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)], kind)
-
-    spans = "array<struct<lo:int,hi:int>>"
-    found = grouped.withColumn("x", F.arrow_udf(gathered, f"struct<repeated:{spans},lost:{spans},links:array<long>>")("u"))
+    shared = shelf.put(own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first != last").drop("last"))
+    sample = F.struct("at", "digest", (F.col("doc_id") == F.col("first")).alias("own"))
+    hits = shelf.put(own.join(shared, "digest").groupBy("doc_id", "tag").agg(F.collect_set(sample).alias("u")))
+    shelf.drop(own, shared)
+    around = shelf.put(hits.join(_keyed(docs), ["doc_id", "tag"]).select("doc_id", "tag", "text", "u").mapInArrow(_contexts, _CONTEXT))
+    shelf.drop(hits)
+    place = F.struct("tag", "at")
+    first = {"doc_id": "keeper", "before": "k_before", "after": "k_after"}
+    keepers = shelf.put(around.filter("own").groupBy("digest").agg(*(F.min_by(c, place).alias(n) for c, n in first.items())))
+    both = around.join(keepers, "digest")
+    compare = F.arrow_udf(_compared, "struct<l:long,r:long>")("before", "after", "k_before", "k_after")
+    agreed = shelf.put(both.select("digest", "own", "doc_id", "tag", "at", compare.alias("c"), "keeper").select("digest", "own", "doc_id", "tag", "at", "c.l", "c.r", "keeper"))
+    # the keeper's own places reach as far as the best of the others does
+    best = agreed.filter("not own").groupBy("digest").agg(F.max("l").alias("best_l"), F.max("r").alias("best_r"))
+    nobody = F.lit(None).cast("long").alias("keeper")
+    kept = agreed.filter("own").join(best, "digest").select("doc_id", "tag", "at", F.least("l", "best_l").alias("l"), F.least("r", "best_r").alias("r"), nobody)
+    given = agreed.filter("not own").select("doc_id", "tag", "at", "l", "r", "keeper")
+    grouped = given.unionByName(kept).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "l", "r", "keeper")).alias("u"))
+    found = grouped.withColumn("x", F.arrow_udf(_gathered, f"struct<repeated:{_SPANS},lost:{_SPANS},links:array<long>>")("u"))
     return found.select("doc_id", "tag", "x.*").filter(F.size("repeated") > 0)
 
 
-def report(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
+def report(docs: DataFrame) -> DataFrame:
     """Per document: repeated stretches and words in passages, what it loses, and its component."""
     shelf = Shelf(docs.sparkSession)
-    found = shelf.put(passages(docs, rule, shelf))
+    found = shelf.put(passages(docs, shelf))
     total = lambda c: F.sum(F.aggregate(c, F.lit(0), lambda n, x: n + x["hi"] - x["lo"]))
     counts = found.groupBy("doc_id").agg(
         F.sum(F.size("repeated")).alias("n_repeated"), total("repeated").alias("repeated_words"), F.sum(F.size("lost")).alias("n_removed"), total("lost").alias("removed_words")
@@ -357,9 +289,9 @@ def _without(text: bytes, spans: list[dict]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def deduplicated(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """``docs`` whose texts have lost the passages that an earlier document keeps; same columns and rows."""
-    gone = passages(docs, rule).filter(F.size("lost") > 0).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("lost").alias("_cut"))
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` whose texts have lost the stretches that an earlier document holds; same columns and rows."""
+    gone = passages(docs).filter(F.size("lost") > 0).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("lost").alias("_cut"))
 
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
@@ -369,5 +301,5 @@ def deduplicated(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
             yield pa.array(out, pa.string())
 
     joined = docs.join(gone, (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_tag"]), "left")
-    text = F.when(F.col("_cut").isNull(), docs["text"]).otherwise(F.arrow_udf(cut, "string")(docs["text"].cast("binary"), F.col("_cut")))
-    return joined.withColumn("text", text).select(*docs.columns)
+    text = F.when(gone["_cut"].isNull(), docs["text"]).otherwise(F.arrow_udf(cut, "string")(docs["text"].cast("binary"), gone["_cut"]))
+    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from folioscope.llm import neardup, near, substrings, topk
-from folioscope.llm.common import BLANK_BYTES, Shelf
+from folioscope.llm.common import BLANK_BYTES, Shelf, split_words
 from folioscope.llm.components import components
 from folioscope.llm.near import Rule
 from folioscope.llm.shingles import Sketcher, shingles, words
@@ -135,21 +135,27 @@ def test_components(spark, seed):
     assert got == want
 
 
-def passage(rng, n):
-    return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) + ("." if rng.random() < 0.12 else "") for _ in range(n)) + "."
+def prose(rng, n, stop):
+    w = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(n)]
+    return " ".join(x + ("." if stop and i % stop == stop - 1 else "") for i, x in enumerate(w))
+
+
+def substring_report(spark, rows):
+    return {r.doc_id: tuple(r)[1:] for r in substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
 
 def test_substrings(spark):
+    """Edges, links and removals; what stands in no earlier document stays."""
     rng = random.Random(5)
-    shared = [passage(rng, 60) for _ in range(3)]
+    shared = [prose(rng, 60, 8) for _ in range(3)]
     rows = []
     for i in range(30):
-        own = passage(rng, 90)
+        own = prose(rng, 90, 9)
         if i % 3 == 0:
-            cut = own.index(". ") + 2 if ". " in own else 0
+            cut = own.index(". ") + 2
             own = own[:cut] + shared[i % 9 // 3] + rng.choice([" ", "\n"]) + own[cut:]
         rows.append((i, own))
-    rows += [(100, None), (101, ""), (None, shared[0]), (102, "short line"), (103, "short line"), (104, passage(rng, 50) + "\n" + "same " * 60)]
+    rows += [(100, None), (101, ""), (None, shared[0]), (102, "short line"), (103, "short line"), (104, prose(rng, 50, 0) + "\n" + "same " * 60)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, class_id string")
     got = {r.doc_id: r for r in substrings.report(df).collect()}
     hit = {i for i, r in got.items() if r.n_repeated}
@@ -160,48 +166,57 @@ def test_substrings(spark):
     clean = {r.doc_id: r.text for r in substrings.deduplicated(df).collect()}
     texts = dict(rows)
     assert all(clean[i] == texts[i] for i in texts if i not in hit or i < 9)
-    assert all(len(clean[i]) < len(texts[i]) - 150 for i in hit if i >= 9)
-    assert substrings.report(df.limit(0)).count() == 0
-
-
-def prose(rng, n, stop):
-    w = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(n)]
-    return " ".join(x + ("." if stop and i % stop == stop - 1 else "") for i, x in enumerate(w))
+    assert all(len(clean[i].split()) == 90 for i in hit if i >= 9)
+    assert substrings.report(df.limit(0)).count() == 0 and substrings.deduplicated(df.limit(0)).count() == 0
 
 
-def test_substrings_lines_without_sentences(spark):
-    """Near copies of lines whose words stand between stops are marked whole."""
+def test_substrings_keep_what_near_copies_have_of_their_own(spark):
+    """A sentence that only the copies hold stays in the first of them."""
     rng = random.Random(9)
-    line = prose(rng, 60, 4)
-    w = line.split()
-    near_copy = " ".join([*w[:9], "other", *w[10:]])
-    rows = [(1, line), (2, f"{prose(rng, 30, 0)}\n{near_copy}")]
-    got = {r.doc_id: tuple(r)[1:] for r in substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: (1, 1, 60, 0, 0), 2: (1, 1, 60, 1, 60)}
+    line, own = prose(rng, 200, 10).split(), prose(rng, 12, 12).split()
+    near_copy = " ".join([*line[:100], *own, *line[100:]])
+    rows = [(1, " ".join(line)), (2, near_copy), (3, near_copy)]
+    assert substring_report(spark, rows) == {1: (1, 1, 200, 0, 0), 2: (1, 1, 212, 2, 200), 3: (1, 1, 212, 1, 212)}
+    left = {r.doc_id: r.text.split() for r in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left[1] == line and [w.rstrip(".") for w in left[2] if w != "."] == [w.rstrip(".") for w in own]
+
+
+@pytest.mark.parametrize("edit", [3, 10, 25, 40, 48])
+def test_substrings_near_copies(spark, edit):
+    """One changed word in 52: similarity 0.8 or more, wherever it stands; the words around it are taken out."""
+    rng, rows = random.Random(edit), []
+    for i in range(20):
+        shared = prose(rng, 52, 0).split()
+        other = [*shared[:edit], "changed", *shared[edit + 1 :]]
+        rows += [(2 * i + k, f"{prose(rng, rng.randint(5, 60), 0)} {' '.join(w)} {prose(rng, rng.randint(5, 60), 0)}") for k, w in enumerate((shared, other))]
+    got = substring_report(spark, rows)
+    assert [i for i, _ in rows if not got[i][1] and 4 < edit < 47] == []
+    assert all(got[i][0] == i // 2 * 2 for i in got if got[i][1])
+    assert all(got[i][4] == (51 if 4 < edit else 48) * (i % 2) for i in got if got[i][1] and edit < 47)
 
 
 @pytest.mark.parametrize("stop", [0, 5, 20])
 def test_substrings_of_just_over_fifty_words(spark, stop):
-    """At random places of different text, without stops, in short and in long sentences: each is found."""
+    """At random places of different text, without stops, in short and in long sentences: each is found, shorter ones are none."""
     rng, rows = random.Random(stop), []
     for i in range(40):
-        shared = prose(rng, 51, stop)
+        shared = prose(rng, 51 if i < 30 else 45, stop)
         rows += [(2 * i + k, f"{prose(rng, rng.randint(0, 90), stop)} {shared} {prose(rng, rng.randint(0, 90), stop)}") for k in range(2)]
     rows += [(100 + i, prose(rng, 150, stop)) for i in range(20)]
-    got = {r.doc_id: r for r in substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [i for i, _ in rows if got[i].n_repeated] == list(range(80))
-    assert all(got[i].class_id == i // 2 * 2 and got[i].repeated_words == 51 for i in range(80))
+    got = substring_report(spark, rows)
+    assert [i for i, _ in rows if got[i][1]] == list(range(60))
+    assert all(got[i][0] == i // 2 * 2 and got[i][2] == 51 for i in range(60))
 
 
 def stretches(rows, least):
     """Per document, its words in stretches of so many words that another document, or an earlier one, holds."""
-    grams = {}
+    found = {}
     for d, t in rows:
-        w = t.split()
+        w = split_words((t or "").encode())
         for i in range(len(w) - least + 1):
-            grams.setdefault(tuple(w[i : i + least]), []).append((d, i))
+            found.setdefault(tuple(w[i : i + least]), []).append((d, i))
     out = {d: (set(), set()) for d, _ in rows}
-    for places in grams.values():
+    for places in found.values():
         ids = {d for d, _ in places}
         for d, i in places:
             for k, hit in enumerate((len(ids) > 1, d > min(ids))):
@@ -211,15 +226,32 @@ def stretches(rows, least):
 
 @pytest.mark.parametrize("seed", range(2))
 def test_substrings_equal_brute_force(spark, seed):
-    """Stretches of 24 words and more of one text, cut out anywhere, among text that repeats nowhere."""
+    """Stretches of one text, cut out anywhere, among text that repeats nowhere."""
     rng = random.Random(seed)
     source, rows = prose(rng, 400, 0).split(), []
     for i in range(60):
-        a, n = rng.randrange(340), rng.randint(24, 60)
+        a, n = rng.randrange(330), rng.randint(24, 70)
         rows.append((i, f"{prose(rng, rng.randint(1, 40), 0)} {' '.join(source[a : a + n])} {prose(rng, rng.randint(1, 40), 0)}"))
-    got = {r.doc_id: (r.repeated_words, r.removed_words) for r in substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    exact, fragments = stretches(rows, substrings.RUN_WORDS), stretches(rows, substrings.WINDOW)
-    assert all(exact[i][0] <= got[i][0] <= fragments[i][0] and exact[i][1] <= got[i][1] <= fragments[i][1] for i in got)
+    got = substring_report(spark, rows)
+    exact, sure, fragments = (stretches(rows, n) for n in (substrings.PASSAGE, substrings.PASSAGE + 2 * substrings.SHINGLE, substrings.SHINGLE))
+    ends = 2 * substrings.SHINGLE  # where stretches of several documents overlap
+    assert all(got[i][2] for i in got if sure[i][0])
+    assert all(exact[i][0] - ends <= got[i][2] <= fragments[i][0] and exact[i][1] - ends <= got[i][4] <= fragments[i][1] for i in got if got[i][1])
+
+
+def test_substrings_of_whole_table_equal_brute_force(spark):
+    """Every document that shares 50 words in a row is reported, and nearly no other; removed words stand elsewhere."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r for r in substrings.report(docs).collect()}
+    exact, fragments = stretches(rows, substrings.PASSAGE), stretches(rows, substrings.K)
+    assert all(got[i].n_repeated > 0 for i, (n, _) in exact.items() if n)
+    assert all(fragments[i][0] >= r.repeated_words and fragments[i][1] >= r.removed_words for i, r in got.items())
+    left = {r.doc_id: split_words((r.text or "").encode()) for r in substrings.deduplicated(docs).collect()}
+    assert all(len(split_words((t or "").encode())) - len(left[i]) == got[i].removed_words for i, t in rows)
+    kept = {tuple(w[i : i + 5]) for w in left.values() for i in range(len(w) - 4)}
+    all_of = {tuple(w[i : i + 5]) for _, t in rows for w in [split_words((t or "").encode())] for i in range(len(w) - 4)}
+    assert len(all_of - kept) <= 8 * sum(r.n_removed for r in got.values())  # only across the ends of cuts
 
 
 def test_substrings_are_cut_whole(spark):
@@ -227,22 +259,12 @@ def test_substrings_are_cut_whole(spark):
     rng = random.Random(8)
     parts = [prose(rng, n, 6) for n in (30, 30, 30)]
     rows = [(i, f"{prose(rng, 40, 0)} {' '.join(parts[: 2 + (i > 1)])} {prose(rng, 40, 9)}") for i in range(4)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.repeated_words, r.removed_words) for r in substrings.report(df).collect()}
+    got = {i: (r[2], r[4]) for i, r in substring_report(spark, rows).items()}
     assert got == {0: (60, 0), 1: (60, 60), 2: (90, 60), 3: (90, 90)}
-    left = {r.doc_id: len(r.text.split()) for r in substrings.deduplicated(df).collect()}
+    left = {r.doc_id: len(r.text.split()) for r in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: n - left[i] for i, n in ((i, len(t.split())) for i, t in rows)} == {0: 0, 1: 59, 2: 59, 3: 89}  # a stop stays
 
 
-def test_substrings_short_paragraphs(spark):
-    """An exact line of ``LINE_WORDS`` words is a passage by itself."""
-    rng = random.Random(9)
-    short = prose(rng, substrings.LINE_WORDS, 0)
-    rows = [(3, f"x\n{short}\n{prose(rng, 30, 0)}"), (4, f"{prose(rng, 30, 0)}\n{short}\ny")]
-    got = {r.doc_id: tuple(r)[1:] for r in substrings.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {3: (3, 1, 20, 0, 0), 4: (3, 1, 20, 1, 20)}
-
-
 def brute_top(rows, k):
     out = []
     whole = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
