@@ -2,12 +2,18 @@
 
 1. Texts with equal shingle sets form a class; only a class's smallest id goes on.
 2. Classes that share a band key are candidates.  No bucket is paired up: each member is compared
-   with its bucket's smallest member, and confirmed links are folded into components.
+   with its bucket's smallest member, and confirmed links are folded into components; then those of
+   other components are compared with a member of the bucket's last component.
 3. Such a candidate is checked by the sizes of its sets, then by the XOR population count of the odd
    sketches, which throws out pairs far below the threshold, then on the full shingle sets.
-4. Buckets that still hold several components are taken together where they share members.  These
-   groups are compared whole, in blocks of bounded size, on full sets; a block returns only links that
-   join its components.  So no two members of a bucket stay apart that ought to be linked.
+4. Buckets that still hold several components are taken together where they share members.  In such a
+   group the members outside its largest component are compared with all, in blocks of bounded size,
+   on full sets; a block returns only links that join its components.  So no two members of a bucket
+   stay apart that ought to be linked, and the work grows with the stragglers, not with the square of
+   the group.
+
+An item is an id and a text; rows of one id with several texts are several items of one node, so all
+of them give their node links.
 """
 
 from __future__ import annotations
@@ -41,8 +47,11 @@ class Rule:
     #: Items, and shingles, of a group that one task compares with as many others.
     block_items: int = 1024
     block_shingles: int = 1_000_000
-    #: Ids (8 bytes each) that may be broadcast to pick texts; more are joined by a shuffle.
+    #: Items (16 bytes each) that may be broadcast to pick texts; more are joined by a shuffle.
     broadcast_ids: int = 500_000
+    #: A bucket of more members than this is joined by a broadcast of its key; ``hot_keys`` bounds their number.
+    hot_members: int = 1024
+    hot_keys: int = 100_000
 
 
 def _sets(texts: list[bytes], rule: Rule) -> list[np.ndarray]:
@@ -54,7 +63,7 @@ def _sets(texts: list[bytes], rule: Rule) -> list[np.ndarray]:
 
 
 def sketches(items: DataFrame, rule: Rule) -> DataFrame:
-    """id, n (distinct shingles), h1 and h2 (digest of the set), bands, odd; items has id and text."""
+    """id, t (digest of the text), n (distinct shingles), h1 and h2 (digest of the set), bands, odd; items has id and text."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -62,7 +71,7 @@ def sketches(items: DataFrame, rule: Rule) -> DataFrame:
             yield pa.concat_arrays(parts)
         release_memory()
 
-    return items.select("id", F.arrow_udf(run, SKETCH)(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("s")).select("id", "s.*")
+    return items.select("id", F.xxhash64("text").alias("t"), F.arrow_udf(run, SKETCH)(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("s")).select("id", "t", "s.*")
 
 
 SKETCH_FIELDS = ["n", "h1", "h2", "bands", "odd"]
@@ -174,103 +183,154 @@ def _joining(ids: list[int], owner: list[int], sets: list[np.ndarray], rule: Rul
 
 
 class Linker:
-    """Links among items (id, text) under a rule; ``items`` must be cheap to read again.
+    """Links among items (id, text) under a rule; ``items`` must be cheap to read again.  Nodes are ids."""
 
-    ``sketched`` are their ``sketches`` where they are made together with the items.
-    """
-
-    def __init__(self, items: DataFrame, rule: Rule, sketched: DataFrame | None = None):
+    def __init__(self, items: DataFrame, rule: Rule):
         self.items, self.rule = items, rule
         self.shelf = Shelf(items.sparkSession)
-        self.sketched = self.shelf.put(sketches(items, rule) if sketched is None else sketched)
+        self.sketched = self.shelf.put(sketches(items, rule))
+        self.filled = self.sketched.filter((F.col("n") > 0) & F.col("id").isNotNull())
         # written down, so that joins with it have exchanges of their own, which adaptive execution can split
-        self.classes = self.shelf.put(self.sketched.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("h1", "h2").agg(F.min("id").alias("rep")))
-        own = self.sketched.join(self.classes, ["h1", "h2"]).filter(F.col("id") == F.col("rep"))
-        self.reps = self.shelf.put(own.select("id", "n", "odd", "bands").dropDuplicates(["id"]))
-        self.light = self.reps.select("id", "n", "odd")
-        rows = self.reps.select(F.explode(F.array_distinct("bands")).alias("key"), "id")
-        shared = rows.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).filter("members > 1")
-        self.rows = self.shelf.put(rows.join(shared, "key").select("key", "id", "centre"))
+        self.classes = self.shelf.put(self.filled.groupBy("h1", "h2").agg(F.min("id").alias("rep")))
+        own = self.filled.join(self.classes, ["h1", "h2"]).filter(F.col("id") == F.col("rep"))
+        self.reps = self.shelf.put(own.dropDuplicates(["id", "h1", "h2"]).select("id", "t", "n", "odd", "bands"))
+        self.rows = self._buckets()
+
+    def _buckets(self) -> DataFrame:
+        """key, id, t, centre, centre_t: the members of all buckets with several."""
+        rule = self.rule
+        rows = self.reps.select(F.explode(F.array_distinct("bands")).alias("key"), "id", "t")
+        shared = rows.groupBy("key").agg(F.min("id").alias("centre"), F.min_by("t", "id").alias("centre_t"), F.count("*").alias("members")).filter("members > 1")
+        shared = self.shelf.put(shared)
+        # at most total / limit buckets have more than limit members, so the hot ones are few enough to be sent to all
+        total = shared.agg(F.sum("members")).first()[0] or 0
+        limit = max(rule.hot_members, total // rule.hot_keys)
+        hot, cool = F.broadcast(shared.filter(F.col("members") > limit)), shared.filter(F.col("members") <= limit)
+        both = rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cool, "key"))
+        return self.shelf.put(both.select("key", "id", "t", "centre", "centre_t"))
+
+    def _same_id(self) -> DataFrame | None:
+        """Links (a, b) between an id of several texts and the nodes of their classes; None where there is none."""
+        several = self.shelf.put(self.filled.groupBy("id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("id"))
+        if several.isEmpty():
+            return None
+        found = self.filled.join(several, "id", "left_semi").join(self.classes, ["h1", "h2"])
+        return self.shelf.put(found.select(F.col("id").alias("a"), F.col("rep").alias("b")).filter("a != b").distinct())
 
     def _checked(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b) that are links."""
+        """Those links (a, b) that the distinct pairs of items (a, ta, b, tb) give."""
         rule = self.rule
-        side = lambda c: self.light.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        side = lambda c: self.reps.select(F.col("id").alias(c), F.col("t").alias(f"t{c}"), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
+        both = pairs.join(side("a"), ["a", "ta"]).join(side("b"), ["b", "tb"])
         small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         most = Sketcher(rule.bands, rule.rows, rule.bits).most_bits(rule.per / rule.of)
         differing = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(rule.bits // 64)), F.lit(0))
-        likely = self.shelf.put(both.filter((small * rule.of >= large * rule.per) & (differing <= most)).select("a", "b"))
-        texts = self._texts(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))))
-        text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-        found = likely.join(text("a"), "a").join(text("b"), "b").filter(_confirm(rule)(F.col("text_a"), F.col("text_b")))
+        likely = self.shelf.put(both.filter((small * rule.of >= large * rule.per) & (differing <= most)).select("a", "ta", "b", "tb"))
+        item = lambda c: likely.select(F.col(c).alias("id"), F.col(f"t{c}").alias("t"))
+        texts = self._texts(item("a").unionByName(item("b")))
+        text = lambda c: texts.select(F.col("id").alias(c), F.col("t").alias(f"t{c}"), F.col("text").alias(f"text_{c}"))
+        found = likely.join(text("a"), ["a", "ta"]).join(text("b"), ["b", "tb"]).filter(_confirm(rule)(F.col("text_a"), F.col("text_b")))
         links = self.shelf.put(found.select("a", "b"))
         self.shelf.drop(likely, texts)
         return links
 
+    def _placed(self, parts: DataFrame) -> DataFrame:
+        """The members of the buckets with their components, ids without links being their own."""
+        named = parts.withColumnRenamed("node", "id")
+        return self.shelf.put(self.rows.join(named, "id", "left").select("key", "id", "t", "centre", F.coalesce("component", "id").alias("component")))
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links that hold the components together, and the components (node, component)."""
-        first = self.rows.filter("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-        links = self._checked(first)
-        parts = self.shelf.put(components(links, self.shelf))
-        named = parts.withColumnRenamed("node", "id")
-        placed = self.shelf.put(self.rows.join(named, "id", "left").select("key", "id", "centre", F.coalesce("component", "id").alias("component")))
+        shelf = self.shelf
+        pair = lambda b, tb: (F.col("id").alias("a"), F.col("t").alias("ta"), F.col(b).alias("b"), F.col(tb).alias("tb"))
+        links = self._checked(self.rows.filter("id != centre").select(*pair("centre", "centre_t")).distinct())
+        if (same := self._same_id()) is not None:
+            links = shelf.put(links.unionByName(same))
+        parts = shelf.put(components(links, shelf))
+        placed = self._placed(parts)
+        last = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max(F.struct("component", "id", "t")).alias("top"))
+        last = shelf.put(last.filter(F.col("lo") != F.col("top.component")).select("key", F.col("top.component").alias("other"), F.col("top.id").alias("far"), F.col("top.t").alias("far_t")))
+        if last.isEmpty():
+            return links, parts
+        apart = placed.join(last, "key").filter(F.col("component") != F.col("other"))
+        links = shelf.put(links.unionByName(self._checked(apart.select(*pair("far", "far_t")).distinct())))
+        parts = shelf.put(components(links, shelf))
+        placed = self._placed(parts)
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-        loose = self.shelf.put(placed.join(mixed, "key").filter("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
+        loose = shelf.put(placed.join(mixed, "key").filter("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
         if loose.isEmpty():
             return links, parts
-        more = self._blocks(components(loose, self.shelf), named)
-        links = self.shelf.put(links.unionByName(more))
-        return links, self.shelf.put(components(links, self.shelf))
+        more = self._blocks(components(loose, shelf), parts.withColumnRenamed("node", "id"))
+        links = shelf.put(links.unionByName(more))
+        return links, shelf.put(components(links, shelf))
 
     def _blocks(self, loose: DataFrame, named: DataFrame) -> DataFrame:
         """Links (a, b) between components inside the loose groups (node, component), compared in blocks.
 
-        A task holds ``block_items`` items of a large group twice, or many small groups together, and
-        returns no more links than join its components.
+        The members outside a group's largest component are dealt to blocks, which meet each other and
+        all chunks of that component; small groups are taken together.  A task holds two blocks of
+        ``block_items`` items, and returns no more links than join its components.
         """
         rule, shelf = self.rule, self.shelf
-        members = loose.select(F.col("node").alias("id"), F.col("component").alias("loose")).join(named, "id", "left").join(self.reps.select("id", "n"), "id")
-        members = shelf.put(members.select("id", "loose", F.coalesce("component", "id").alias("component"), "n"))
-        cuts = F.ceil(F.greatest(F.count("*") / rule.block_items, F.sum("n") / rule.block_shingles))
-        sizes = members.groupBy("loose").agg(cuts.alias("cuts"))
+        members = loose.select(F.col("node").alias("id"), F.col("component").alias("loose")).join(named, "id", "left").join(self.reps.select("id", "t", "n"), "id")
+        members = shelf.put(members.select("id", "t", "loose", F.coalesce("component", "id").alias("component"), "n"))
+        by_part = members.groupBy("loose", "component").agg(F.count("*").alias("items"), F.sum("n").alias("n"))
+        top = F.max(F.struct("items", "n", "component")).alias("top")
+        sizes = by_part.groupBy("loose").agg(F.sum("items").alias("items"), F.sum("n").alias("n"), top)
+        blocks = lambda items, n: F.ceil(F.greatest(items / rule.block_items, n / rule.block_shingles)).cast("long")
+        sizes = shelf.put(
+            sizes.select(
+                "loose", F.col("top.component").alias("largest"), (blocks(F.col("items"), F.col("n")) > 1).alias("large"),
+                blocks(F.col("items") - F.col("top.items"), F.col("n") - F.col("top.n")).alias("few"), blocks(F.col("top.items"), F.col("top.n")).alias("many"),
+            )
+        )
         total = members.agg(F.count("*"), F.sum("n")).first()
         bins = int(max(1, -(-total[0] // rule.block_items), -(-total[1] // rule.block_shingles)))
-        mine = F.pmod(F.xxhash64("id"), F.col("cuts"))
-        other = F.explode(F.when(F.col("cuts") > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda j: j != F.col("mine"))).otherwise(F.array(F.lit(0).cast("long"))))
-        dealt = members.join(sizes, "loose").withColumn("mine", mine).withColumn("other", other)
-        large = F.col("cuts") > 1
-        dealt = dealt.select(
-            F.when(large, F.col("loose")).otherwise(F.pmod(F.xxhash64("loose"), F.lit(bins))).alias("bin"),
-            F.when(large, F.least("mine", "other") + 1).otherwise(0).alias("i"),
-            F.when(large, F.greatest("mine", "other") + 1).otherwise(0).alias("j"),
-            "id", "loose", "component",
-        )
-        texts = self._texts(members.select("id"))
+        zero = F.lit(0).cast("long")
+        code, to = F.xxhash64("id", "t"), lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+        mine, chunk = F.pmod(code, F.col("few")), F.pmod(code, F.col("many")) + F.col("few")
+        upto = lambda n: F.sequence(zero, F.col(n) - 1)
+        meets = F.concat(
+            F.transform(F.filter(upto("few"), lambda o: o != mine), lambda o: to(F.least(o, mine), F.greatest(o, mine))),
+            F.transform(upto("many"), lambda c: to(mine, c + F.col("few"))),
+        )
+        places = F.when(~F.col("large"), F.array(to(zero, zero))).when(F.col("component") == F.col("largest"), F.transform(upto("few"), lambda i: to(i, chunk))).otherwise(meets)
+        dealt = members.join(sizes, "loose").withColumn("place", F.explode(places))
+        bin_ = F.when(F.col("large"), F.col("loose")).otherwise(F.pmod(F.xxhash64("loose"), F.lit(bins)))
+        dealt = dealt.select("large", bin_.alias("bin"), "place.i", "place.j", "id", "t", "loose", "component")
+
+        def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield pa.array([s.tobytes() for part in slices(batch) for s in _sets(part.to_pylist(), rule)], pa.binary())
+            release_memory()
+
+        sets = shelf.put(self._texts(members.select("id", "t")).select("id", "t", F.arrow_udf(packed, "binary")("text").alias("set")))
 
         def run(group: pa.Table) -> pa.Table:
             ids, loose, owner = (group.column(c).to_numpy() for c in ("id", "loose", "component"))
-            texts = group.column("text").to_pylist()
+            sets = group.column("set").to_pylist()
             order = np.lexsort((ids, loose))
             edges: list[tuple[int, int]] = []
             for rows in np.split(order, np.flatnonzero(np.diff(loose[order])) + 1):
-                edges += _joining(ids[rows].tolist(), owner[rows].tolist(), _sets([texts[i] for i in rows], rule), rule)
+                if len(set(owner[rows].tolist())) > 1:
+                    edges += _joining(ids[rows].tolist(), owner[rows].tolist(), [np.frombuffer(sets[i], np.uint64) for i in rows], rule)
             return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
-        return shelf.put(dealt.join(texts, "id").groupBy("bin", "i", "j").applyInArrow(run, "a long, b long"))
+        return shelf.put(dealt.join(sets, ["id", "t"]).groupBy("large", "bin", "i", "j").applyInArrow(run, "a long, b long"))
 
-    def _texts(self, ids: DataFrame) -> DataFrame:
-        """(id, text) of those items, written down."""
-        needed = self.shelf.put(ids.distinct())
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """(id, t, text) of those items, written down."""
+        needed = self.shelf.put(wanted.distinct())
         few = needed.count() <= self.rule.broadcast_ids
-        texts = self.items.join(F.broadcast(needed) if few else needed, "id", "left_semi")
-        out = self.shelf.put(texts.select("id", F.col("text").cast("binary").alias("text")).dropDuplicates(["id"]))
+        items = self.items.select("id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
+        texts = items.join(F.broadcast(needed) if few else needed, ["id", "t"], "left_semi")
+        out = self.shelf.put(texts.dropDuplicates(["id", "t"]))
         self.shelf.drop(needed)
         return out
 
     def labelled(self) -> DataFrame:
         """id, n, component: one row for each item; null ids and empty texts are their own component."""
         _, parts = self.links()
-        named = self.classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
         own = self.sketched.select("id", "n", "h1", "h2")
+        named = self.classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
         return own.join(named, ["h1", "h2"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component"))

@@ -7,8 +7,9 @@ the threshold; the rest is confirmed on full shingle sets (see ``near``).  A pai
 shares no band with probability 8e-7, and fails the sketch with far less.
 
 Defined results: null, empty and wordless texts have an empty set and no links; a text of fewer than
-five words is one shingle; a null id is its own component and kept; rows of one id are one document;
-equal sets are linked whatever their number; whole texts are read; an empty table gives no rows.
+five words is one shingle; a null id is its own component and kept; rows of one id are one document,
+whose links are those of all its texts; equal sets are linked whatever their number; whole texts are
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,9 +35,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component, one for each id; same columns."""
-    again = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """The rows of ``docs`` whose document is the first of its component; same columns.
+
+    Of rows that are equal in id and text one stays; an empty text of an id goes if the id's other texts go.
+    """
+    key = (docs["doc_id"], F.xxhash64(docs["text"]))
+    again = docs.filter(docs["doc_id"].isNotNull()).groupBy(key[0].alias("_id"), key[1].alias("_tag")).count().filter("count > 1").select("_id", "_tag")
     if not again.isEmpty():
-        docs = docs.join(again, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+        same = (docs["doc_id"] == again["_id"]) & (key[1] == again["_tag"])
+        docs = docs.join(again, same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     gone = classes(docs, rule).filter(F.col("id") != F.col("component")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

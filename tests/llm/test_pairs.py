@@ -75,7 +75,22 @@ def test_neardup_edges(spark):
     assert sorted(str(r.doc_id) for r in neardup.deduplicated(df).collect()) == sorted(["1", "2", "3", "4", "None", "7", "9"])
 
 
-def test_hot_group_is_compared_in_blocks(spark):
+def test_neardup_of_ids_with_several_texts(spark):
+    """Links go through all texts of an id; rows equal in id and text count once."""
+    rng = random.Random(4)
+    a, b = prose(rng, 60, 0), prose(rng, 60, 0)
+    rows = [(5, a), (5, b), (7, a + " x"), (9, b + " x"), (9, b + " x"), (11, prose(rng, 60, 0)), (11, "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _gone int")
+    assert sorted({(r.doc_id, r.component_id) for r in neardup.report(df).collect()}) == [(5, 5), (7, 5), (9, 5), (11, 11)]
+    assert sorted((r.doc_id, r.text) for r in neardup.deduplicated(df).collect()) == sorted([rows[0], rows[1], rows[5], rows[6]])
+    many = [(1, " ".join(f"m{(i * 7 + k) % 300}" for k in range(60))) for i in range(40)]  # one id with many texts
+    sets = {i: grams(t) for i, t in enumerate([*(t for _, t in many), a])}
+    assert len({tuple(sorted(s)) for s in sets.values()}) == 41
+    assert {(r.id, r.component) for r in neardup.classes(spark.createDataFrame([*many, (2, many[3][1] + " y"), (0, many[9][1])], "doc_id long, text string")).collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_hot_group_is_compared_in_blocks(spark, block):
     rng = random.Random(1)
     base = [f"b{i}" for i in range(100)]
     docs = []
@@ -87,7 +102,7 @@ def test_hot_group_is_compared_in_blocks(spark):
     sets = {i: grams(t) for i, t in enumerate(docs)}
     want = closure(sets, [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    got = {r.id: r.component for r in neardup.classes(df, Rule(per=85, block_items=16)).collect()}
+    got = {r.id: r.component for r in neardup.classes(df, Rule(per=85, block_items=block, hot_members=20 if block == 16 else 1024)).collect()}
     assert got == want
 
 
