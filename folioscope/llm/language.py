@@ -5,12 +5,14 @@ forwards, one backwards; at every byte a softmax over both states gives the prob
 languages there, and their mean over all bytes is the document's.  The network is trained here, in
 numpy, by backpropagation through time with the label of the document as the target at every byte.
 
-Training takes a bounded sample: about ``SAMPLE_DOCS`` labelled documents of each language, chosen by
-a hash of their ids, and at most ``SAMPLE_WINDOWS`` windows of each.  Everything else covers all rows.
+Training takes a bounded sample: at most ``SAMPLE_DOCS`` labelled texts of each language, chosen by a
+hash of id and text, and at most ``SAMPLE_WINDOWS`` windows of each.  Everything else covers all rows.
+The network's state begins anew every ``STEPS`` bytes, so that windows are read side by side.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every text if
 nothing is labelled; whole texts are read; equal probabilities go to the first language in order;
-repeated rows get equal results; input columns with the names of results are replaced.
+repeated rows get equal results, and are learned from once; null and repeated ids are as good as any;
+input columns with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import release_memory
@@ -30,6 +32,8 @@ STEPS = 64
 HIDDEN = 8
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 4
+#: Languages that are learned at most, the most frequent first.
+LANGUAGES = 256
 #: Optimiser steps and windows in each.
 ROUNDS = 220
 BATCH = 128
@@ -266,22 +270,30 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, docs_each: int = SAMPLE_DOCS, windows_each: int = SAMPLE_WINDOWS) -> list[tuple[str, bytes]]:
-    """Windows of about ``docs_each`` learnable documents of each language."""
+    """Windows of at most ``docs_each`` learnable texts of each of the ``LANGUAGES`` most frequent languages.
+
+    The texts are those whose hash, with their id, is smallest, repeated ones once; so neither null nor
+    repeated ids change the draw.  What is collected is bounded whatever the table holds.
+    """
     may = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r.lang: r.n for r in may.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    seed = F.struct("doc_id", F.xxhash64("text"))
+    draw = F.xxhash64(F.lit("language"), seed).bitwiseAND(F.lit((1 << 62) - 1))
+    counts = may.groupBy("lang").agg(F.approx_count_distinct(draw).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return []
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30))
-    limit = F.create_map(*(F.lit(v) for k, n in sorted(counts.items()) for v in (k, int(min(1.0, docs_each / n) * (1 << 30)))))
+    # four times as many as are wanted go on, so that only few rows are ranked; their number is bounded for any table
+    wide = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 4 * docs_each / r.n) * (1 << 62))) for r in counts], "lang string, most long"))
     data = F.col("text").cast("binary")
     size = F.octet_length(data)
-    place = lambda i: F.pmod(F.xxhash64(F.lit("window"), "doc_id", i), F.greatest(F.lit(1), size - STEPS))
+    place = lambda i: F.pmod(F.xxhash64(F.lit("window"), seed, i), F.greatest(F.lit(1), size - STEPS))
     pieces = F.transform(
         F.sequence(F.lit(1), F.least(F.lit(windows_each), F.greatest(F.lit(1), (size / STEPS).cast("int")))),
         lambda i: F.substring(data, (place(i) + 1).cast("int"), F.lit(STEPS)),
     )
-    rows = may.filter(draw < limit[F.col("lang")]).select("lang", "doc_id", pieces.alias("pieces")).collect()
-    rows.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id, [bytes(p) for p in r.pieces]))
+    drawn = may.select("lang", draw.alias("draw"), pieces.alias("pieces")).join(wide, "lang").filter(F.col("draw") < F.col("most")).dropDuplicates(["lang", "draw"])
+    best = Window.partitionBy("lang").orderBy("draw")
+    rows = drawn.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= docs_each).select("lang", "draw", "pieces").collect()
+    rows.sort(key=lambda r: (r.lang, r.draw))
     return [(r.lang, bytes(p)) for r in rows for p in r.pieces]
 
 

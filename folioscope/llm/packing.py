@@ -16,11 +16,14 @@ occur; whole texts are packed; every id lies in exactly one piece; extra input c
 Tokens: a boundary between a character and a following blank is a boundary of the tokenizer's own
 pre-tokens unless blanks meet other white space, so is one between a letter and a full stop or comma;
 the words between are encoded once and kept in a bounded cache; a text in which a blank stands between white space is encoded as one.
+Strings of the tokenizer's special tokens are those tokens, as the tokenizer itself reads them; with
+``special`` false they are ordinary text.
 """
 
 from __future__ import annotations
 
 import operator
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,7 +39,8 @@ from folioscope.llm.shingles import chunks
 
 WINDOW = 1024
 END = 0
-#: Open windows that a task may hold; beyond that they are joined as at the end.
+#: Open windows that a task may hold, about 30 MB; beyond that they are joined as at the end.  Pieces of
+#: even sizes leave some 400 open whatever the input, so this only bounds memory.
 MAX_OPEN = 8192
 #: Words that a worker keeps encoded, about; 40 bytes each.
 CACHE_WORDS = 800_000
@@ -47,17 +51,21 @@ class Encoder:
     """Token ids of texts by a ``tokenizers`` file.
 
     Each distinct word is encoded once and kept: words in an Arrow array, their ids in one flat array.
-    When ``size`` words are exceeded, those used longest ago go, so memory is bounded.
+    When ``size`` words are exceeded, those used longest ago go, so memory is bounded.  Texts are cut at
+    special tokens first, so none stands in a word.
     """
 
-    def __init__(self, path: str, size: int = CACHE_WORDS):
+    def __init__(self, path: str, size: int = CACHE_WORDS, special: bool = True):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()} if special else {}
+        self.special = {t: np.array([i], np.uint32).tobytes() for t, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.tokenizer.encode_special_tokens = True  # between the cuts, and in joined words, there is none
         self.size, self.round = size, 0
         #: Bytes of each token: byte-level vocabularies spell a byte by a character.
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
@@ -125,6 +133,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
+        parts = [self.cut.split(t) if any(x in t for x in self.special) else [t] for t in texts] if self.cut else [[t] for t in texts]
+        found = iter(self._plain([x for p in parts for x in p[::2]]))
+        return [next(found) if len(p) == 1 else b"".join(self.special[x] if k % 2 else next(found) for k, x in enumerate(p)) for p in parts]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
         self.round += 1

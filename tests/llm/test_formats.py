@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from array import array
 from collections import defaultdict
 
@@ -64,9 +65,7 @@ def test_report_is_native(spark):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_tokenizer())
 
 
 def test_encoder_equals_tokenizer(tokenizer):
@@ -78,6 +77,11 @@ def test_encoder_equals_tokenizer(tokenizer):
         got = encoder.encode(texts[lo : lo + 500])
         assert got == [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts[lo : lo + 500]]
     assert encoder.encode([]) == []
+    assert array("I", encoder.encode(["a <|endoftext|> b"])[0]).tolist() == [64, 220, 50256, 275]
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    plain.encode_special_tokens = True
+    as_text = packing.Encoder(packing.default_tokenizer(), special=False)
+    assert as_text.encode(["a <|endoftext|> b"]) == [array("I", plain.encode("a <|endoftext|> b", add_special_tokens=False).ids).tobytes()]
 
 
 @pytest.mark.parametrize("max_open", [3, 8192])
@@ -126,13 +130,15 @@ def test_sum_of_squares_placement():
 
 
 def test_packed_frames(spark, tokenizer):
-    rows = [(1, None), (2, ""), (3, "word " * 5000), (3, "again"), (3, "again"), (None, "x"), *((i, f"text number {i} " * (i % 9)) for i in range(10, 60))]
+    rows = [(1, None), (2, ""), (3, "word " * 5000), (3, "again"), (3, "again"), (None, "x"), (4, "cut <|endoftext|>here"), (5, "<|endoftext|>" * 1500), *((i, f"text number {i} " * (i % 9)) for i in range(10, 60))]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, offset int")
     got = packing.packed(df, with_ids=True).collect()
     lengths = sorted((r[0] or -1, len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in rows)
     per = defaultdict(int)
+    texts = {d: array("I", [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]) for d, t in rows if d != 3}
     for r in got:
-        assert len(r.ids) == 4 * r.length
+        assert len(r.ids) == 4 * r.length and r.ids_crc32 == zlib.crc32(r.ids)
+        assert r.doc_id == 3 or r.ids == texts[r.doc_id][r.start : r.start + r.length].tobytes() and r.doc_tokens == len(texts[r.doc_id])
         per[r.doc_id or -1] += r.length
     want = defaultdict(int)
     for d, n in lengths:

@@ -314,7 +314,26 @@ def test_topk_prunes():
     assert search.scored < 0.5 * 4 * len(points)
 
 
-def test_topk_of_great_numbers():
+def test_topk_of_great_numbers(spark):
     points = np.array([[2**40, 1], [2**40, 2], [5, 5]], np.int64)
-    got = list(topk._search(np.array([1, 2, 3]), points, np.array([3]), np.array([[2**30, 1]]), (np.zeros(0), np.zeros((0, 2))), 2))
-    assert got == [(3, [(2, 2**70 + 2), (1, 2**70 + 1)])]
+    got = list(topk._search(np.array([1, 2, 3]), points, np.array([3]), np.array([[2**20, 1]]), np.full(1, -np.inf), 2))
+    assert got == [(3, [(2, 2**60 + 2), (1, 2**60 + 1)])]
+    rows = [(20, [1e12, 1e12]), (21, [1e12, 1e12]), (22, [-1e12, -1e12]), (23, [1.0, 2.0]), (24, [1e300, -1e300]), (40, [3.0, 1.0])]
+    got = sorted(tuple(r) for r in topk.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = {i: [clip(int(np.floor(64 * x))) if abs(x) < 1e17 else clip(int(x)) for x in v] for i, v in rows}
+    want = []
+    for q in (20, 40):
+        best = sorted((-clip(sum(a * b for a, b in zip(whole[q], w, strict=True))), i) for i, w in whole.items() if i != q)
+        want += [(q, p + 1, i, -s) for p, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_topk_of_repeated_rows(spark):
+    """Repeated rows are spread over the shards, and later waves start from the k-th score of earlier ones."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(60)] + [(7, [1.0, 2.0, 3.0, 4.0])] * 200
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    base = topk.whole_numbers(df)
+    got = topk.top_k(base, base.filter("id % 20 = 0"), 20, shard_rows=16, block_rows=2)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 20)
