@@ -10,11 +10,14 @@ The base labels are exact phrases of whole words; they are counted over all word
 Defined results: null, empty and wordless texts have no words, no labels and score 0; the word
 offsets are null without a base phrase; rows are independent; whole texts are scanned; input columns
 named like results are replaced.  Where notices overlap, the one with the fewest errors is reported,
-then the longest, then the first.
+then the longest, then the first.  The time grows with the text's length: searches run in
+stretches of bounded length only, and words are counted once.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD_BYTES, text_bytes
+from folioscope.llm.common import WORD_BYTES, slices, text_bytes
 
 #: Exact phrases and their labels.
 PHRASES = (
@@ -79,35 +82,46 @@ def _machine():
     return machine, patterns
 
 
-def fuzzy(text: str) -> list[tuple[int, int, int, int]]:
-    """(notice, start, end, errors) in the normalised text, by start, without overlaps."""
+def _regions(text: str) -> dict[int, list[tuple[int, int]]]:
+    """Where copies of each notice can be: stretches around the starts that its seeds imply.
+
+    Starts within twice the errors of a stretch's first one belong to it, so its length is bounded.
+    """
     machine, patterns = _machine()
-    near: dict[int, list[list[int]]] = {}
+    starts: dict[int, list[int]] = {}
     for end, (size, places) in machine.iter(text):
         for k, at in places:
-            _, errors, length = patterns[k]
-            lo = max(0, end + 1 - size - at - errors)
-            hi = end + 1 - size - at + length + errors
-            spots = near.setdefault(k, [])
-            if spots and lo <= spots[-1][1]:
-                spots[-1][1] = max(hi, spots[-1][1])
+            starts.setdefault(k, []).append(end + 1 - size - at)
+    out: dict[int, list[tuple[int, int]]] = {}
+    for k, found in sorted(starts.items()):
+        _, errors, length = patterns[k]
+        spots: list[list[int]] = []
+        for s in sorted(set(found)):
+            if spots and s <= spots[-1][0] + 2 * errors:
+                spots[-1][1] = s
             else:
-                spots.append([lo, hi])
-    out = []
-    for k, spots in sorted(near.items()):
-        pattern = patterns[k][0]
-        for lo, hi in spots:
-            left = [(lo, min(hi, len(text)))]
+                spots.append([s, s])
+        out[k] = [(max(0, a - errors), min(len(text), b + length + errors)) for a, b in spots]
+    return out
+
+
+def fuzzy(text: str) -> list[tuple[int, int, int, int]]:
+    """(notice, start, end, errors) in the normalised text, by start, without overlaps."""
+    patterns, found = _machine()[1], set()
+    for k, regions in _regions(text).items():
+        for region in regions:
+            left = [region]
             while left:  # the best match comes first, so there may be others on both sides
                 a, b = left.pop()
-                if m := pattern.search(text, a, b):
-                    out.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
+                if m := patterns[k][0].search(text, a, b):
+                    found.add((k, m.start(), m.end(), sum(m.fuzzy_counts)))
                     left += [(a, m.start()), (m.end(), b)]
     kept: list[tuple[int, int, int, int]] = []
-    for x in sorted(out, key=lambda x: (x[3], x[1] - x[2], x[1])):
-        if all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x[1])
+    for x in sorted(found, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):
+        at = bisect_right(kept, x[1], key=lambda y: y[1])  # those kept are apart and in order
+        if (at == 0 or kept[at - 1][2] <= x[1]) and (at == len(kept) or kept[at][1] >= x[2]):
+            kept.insert(at, x)
+    return kept
 
 
 def normalised(data: bytes) -> bytes:
@@ -115,22 +129,27 @@ def normalised(data: bytes) -> bytes:
     return b" " + b" ".join(data.translate(WORD_BYTES).split()) + b" "
 
 
+#: A phrase between blanks; the blank behind it may be the one before the next.
+_BASE = tuple((re.compile(b" " + re.escape(phrase.encode()) + b"(?= )"), label) for phrase, label in PHRASES)
+
+
 def scan_one(data: bytes) -> dict:
     flat = normalised(data)
     n_words = flat.count(b" ") - 1 if len(flat) > 2 else 0
-    starts, base = [], set()
-    for phrase, label in PHRASES:
-        probe = b" " + phrase.encode() + b" "
-        at = flat.find(probe)
-        while at >= 0:
-            starts.append(flat.count(b" ", 0, at))
-            base.add(label)
-            at = flat.find(probe, at + 1)
+    starts, base, place, n = [], set(), 0, 0
+    hits = sorted((m.start(), label) for pattern, label in _BASE for m in pattern.finditer(flat))
+    for at, label in hits:  # words are counted on from hit to hit
+        n += flat.count(b" ", place, at)
+        place = at
+        starts.append(n)
+        base.add(label)
     notices, score = [], 1.0 if starts else 0.0
     if n_words:
-        text = flat.decode("utf-8", "replace")
+        text, place, n = flat.decode("utf-8", "replace"), 0, -1
         for k, a, b, errors in fuzzy(text):
-            notices.append({"label": NOTICES[k][1], "start_word": text.count(" ", 0, a + 1) - 1, "end_word": text.count(" ", 0, b), "errors": errors})
+            n += text.count(" ", place, a + 1)
+            place = a + 1
+            notices.append({"label": NOTICES[k][1], "start_word": n, "end_word": n + 1 + text.count(" ", a + 1, b), "errors": errors})
             score = max(score, 1.0 - errors / len(NOTICES[k][0]))
     return {
         "n_words": n_words,
@@ -156,7 +175,7 @@ _RESULT = (
 
 def _scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield pa.array([scan_one(text.as_py()) for text in batch], _TYPE)
+        yield pa.array([scan_one(text.as_py()) for part in slices(batch) for text in part], _TYPE)
 
 
 def scan(docs: DataFrame, text_col: str = "text", out: str = "license") -> DataFrame:

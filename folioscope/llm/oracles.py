@@ -1,7 +1,8 @@
 """DuckDB SQL of the training-data queries that SQL can express.
 
 Left out, and tested against brute force, round trips or held-out accuracy instead: op2 and op6 (their
-methods add spans and labels by checksums and bounded errors), op4 and op7 (networks), op5 (passages
+methods add spans and labels by checksums and bounded errors; their base columns are queries of their
+own, ``secrets_base`` and ``licenses_base``), op4 and op7 (networks), op5 (passages
 grown around samples), op10 (a tokenizer), and the pipeline made of them.
 """
 
@@ -34,6 +35,34 @@ r(doc_id, top) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.top FROM r J
 c AS (SELECT doc_id, min(top) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
 
+_ANY_CASE = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+_KEYWORDS = "|".join([*map(_ANY_CASE, ("password", "passwd", "secret", "token")), _ANY_CASE("api") + "_?" + _ANY_CASE("key")])
+
+
+def _matches(kind: str, place: int, pattern: str, group: int, least: int) -> str:
+    """Places of a pattern's leftmost non-overlapping matches: text between them and their own lengths add up."""
+    pieces = f"string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS found, regexp_extract_all(t, '{pattern}', {group}) AS said"
+    ends = "sum(len(gaps[i]) + len(found[i])) OVER (PARTITION BY r ORDER BY i)"
+    rows = f"SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT r, {pieces} FROM d)"
+    return f"SELECT r, '{kind}' AS kind, {place} AS place, e - len(found[i]) AS s, e FROM (SELECT *, {ends} AS e FROM ({rows})) WHERE len(said[i]) >= {least}"
+
+
+_ASSIGN = rf"""({_KEYWORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+SQL["secrets_base"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_matches("assign", 0, _ASSIGN, 2, 6)} UNION ALL {_matches("access", 1, "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_matches("hex", 2, "[0-9a-f]+", 0, 24)}),
+g AS (SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, place) AS said FROM m GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256 FROM d LEFT JOIN g USING (r)"""
+
+SQL["licenses_base"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+p(phrase, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+x AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+m AS (SELECT r, i - 1 AS place, label FROM x JOIN p ON w[i] = phrase[1] AND w[i:i + len(phrase) - 1] = phrase),
+g AS (SELECT r, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM m GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (r)"""
+
 SQL["op8_topk"] = """
 WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS e FROM embeddings)
 SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score

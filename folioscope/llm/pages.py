@@ -10,16 +10,17 @@ The network is trained here by backpropagation through time on made-up pages (``
 combine containers, menus, notices, adverts, forms, comments and articles of many shapes; no row of
 any table is used.  Training is seeded and takes seconds; a process keeps the result.
 
-Defined results: null and empty pages give an empty text; scripts, styles, titles, templates and
-comments of the markup are no blocks; white space (also no-break) inside a block becomes one blank,
-line breaks of the markup too; character references are decoded once; whole pages are read; rows are
-independent; input columns with the names of results are replaced.
+Defined results: null and empty pages give an empty text; scripts, styles, the head and comments of the
+markup are no blocks, all other elements' text is; white space (also no-break) inside a block becomes one blank,
+line breaks of the markup too; character references are decoded once; whole pages are read, in
+time that grows with their length; rows are independent; input columns with the names of results are replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD_BYTES
+from folioscope.llm.common import WORD_BYTES, slices
 from folioscope.llm.shingles import words
 
 #: Elements that end a block where they begin and end.
@@ -38,28 +39,102 @@ BLOCK = frozenset(
     "table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements whose content is no text of the page.
-SKIP = frozenset("script style title template noscript iframe svg math object textarea head audio video canvas".split())
-RAW = frozenset("script style title iframe textarea noscript".split())
+#: Elements whose content is no text of the page; those of ``RAW`` end at their own end tag only.
+SKIP = frozenset("script style title head".split())
+RAW = frozenset("script style title".split())
 #: Elements that close an open one of the same group.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 #: Elements inside which nothing outside is closed unasked.
 HOLDS = frozenset("table ul ol dl select article div section".split())
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: No part gives back what it took, so a tag is read in time that grows with its length.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
+_NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _BLANKS = re.compile(r"\s+")
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*+>", re.I) for name in RAW}
+#: Elements at which a search for an open one to close may end; the stack keeps their places.
+_STOPS = HOLDS | HEADINGS | frozenset().union({"p"}, *CLOSES.values())
 
+PATH_SIZE, WORD_SIZE, FIGURES = 64, 24, 8
+
+
+@lru_cache(50_000)
+def _hashed(token: str) -> tuple[int, float]:
+    code = zlib.crc32(token.encode())
+    return code % PATH_SIZE, 1.0 if code & 0x10000 else -1.0
+
+
+@lru_cache(50_000)
+def _element(name: str, marks: str) -> np.ndarray:
+    """Hashed name and marks of one element."""
+    out = np.zeros(PATH_SIZE, np.float32)
+    for token in (name, *(f".{w}" for w in marks.split(",") if w)):
+        slot, sign = _hashed(token)
+        out[slot] += sign
+    return out
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters inside links) of a page's blocks, in order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []
+
+class _Stack:
+    """Open elements: names, the sum of their vectors, how many of each name, places of stops."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.sums: list[np.ndarray] = [np.zeros(PATH_SIZE, np.float32)]
+        self.open: dict[str, int] = {}
+        self.stops: list[int] = []
+
+    def push(self, name: str, marks: str) -> None:
+        if name in _STOPS:
+            self.stops.append(len(self.names))
+        self.names.append(name)
+        self.sums.append(self.sums[-1] + _element(name, marks))
+        self.open[name] = self.open.get(name, 0) + 1
+
+    def cut(self, depth: int) -> list[str]:
+        """Closes all from that depth on."""
+        gone = self.names[depth:]
+        for name in gone:
+            self.open[name] -= 1
+        del self.names[depth:], self.sums[depth + 1 :]
+        while self.stops and self.stops[-1] >= depth:
+            self.stops.pop()
+        return gone
+
+    def last(self, names: frozenset[str] | set[str]) -> int:
+        """Depth of the innermost open element of these names, or -1."""
+        if not any(self.open.get(n) for n in names):
+            return -1
+        return next(i for i in range(len(self.names) - 1, -1, -1) if self.names[i] in names)
+
+    def shut(self, names: frozenset[str] | set[str]) -> int:
+        """Depth of the innermost open element of these names that nothing holds, or -1."""
+        for i in reversed(self.stops):
+            if self.names[i] in names:
+                return i
+            if self.names[i] in HOLDS:
+                break
+        return -1
+
+    def vector(self) -> np.ndarray:
+        out = self.sums[-1].copy()
+        slot, sign = _hashed(f"^{self.names[-1]}" if self.names else "^")
+        out[slot] += sign
+        if not self.names:
+            slot, sign = _hashed("")
+            out[slot] += sign
+        return np.clip(out, -3, 3)
+
+
+def blocks(page: str) -> list[tuple[np.ndarray, str, int]]:
+    """(hashed path, text, characters inside links) of a page's blocks, in order."""
+    out: list[tuple[np.ndarray, str, int]] = []
+    stack = _Stack()
     buffer: list[str] = []
     linked = at = skipping = 0
-    path = ""
+    path = None
+    last = page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
@@ -74,12 +149,12 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         nonlocal linked, path
         if piece and not skipping:
             if not buffer:
-                path = " ".join(f"{n}:{c}" if c else n for n, c in stack)
+                path = stack.vector()
             buffer.append(piece)
-            if any(n == "a" for n, _ in stack):
+            if stack.open.get("a"):
                 linked += len(piece)
 
-    while m := _TAG.search(page, at):
+    while at <= last and (m := _TAG.search(page, at)):  # behind the last ">" no tag ends
         text(page[at : m.start()])
         at = m.end()
         close, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -87,14 +162,11 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             continue
         name = name.lower()
         if close:
-            same = HEADINGS if name in HEADINGS else {name}
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in same), -1)
+            depth = stack.last(HEADINGS if name in HEADINGS else {name})
             if depth >= 0:
-                gone = [n for n, _ in stack[depth:]]
-                if any(n in BLOCK for n in gone):
+                if any(n in BLOCK for n in stack.names[depth:]):
                     flush()
-                skipping -= sum(n in SKIP for n in gone)
-                del stack[depth:]
+                skipping -= sum(n in SKIP for n in stack.cut(depth))
             continue
         if name == "br":
             text(" ")
@@ -102,56 +174,38 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if name in BLOCK:
             flush()
             shut = CLOSES.get(name) or (HEADINGS if name in HEADINGS else {"p"})
-            while (last := max((i for i, (n, _) in enumerate(stack) if n in shut), default=-1)) >= 0:
-                if any(n in HOLDS for n, _ in stack[last + 1 :]):
-                    break
-                skipping -= sum(n in SKIP for n, _ in stack[last:])
-                del stack[last:]
+            while (depth := stack.shut(shut)) >= 0:
+                skipping -= sum(n in SKIP for n in stack.cut(depth))
         if name in VOID or rest.endswith("/"):
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            end = _RAW_END[name].search(page, at, last + 1)
             at = end.end() if end else len(page)
             continue
         if name == "body":
-            stack.clear()
+            stack.cut(0)
             skipping = 0
         skipping += name in SKIP
         marks = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)) if rest else ""
-        stack.append((name, ",".join(w.lower() for w in _CAMEL.findall(marks))))
-    text(page[at:])
+        stack.push(name, ",".join(w.lower() for w in _CAMEL.findall(marks)))
+    rest = page[at:]
+    text(rest[: rest.index("<!--")] if "<!--" in rest else rest)
     flush()
     return out
 
 
-PATH_SIZE, WORD_SIZE, FIGURES = 64, 24, 8
 SIZE = PATH_SIZE + WORD_SIZE + FIGURES
 HIDDEN = 16
 
 
-@lru_cache(50_000)
-def _path_vector(path: str) -> np.ndarray:
-    import zlib
-
-    out = np.zeros(PATH_SIZE, np.float32)
-    elements = path.split(" ")
-    for depth, element in enumerate(elements):
-        name, _, marks = element.partition(":")
-        tokens = [name, *(f".{w}" for w in marks.split(",") if w), *([f"^{name}"] if depth == len(elements) - 1 else [])]
-        for token in tokens:
-            code = zlib.crc32(token.encode())
-            out[code % PATH_SIZE] += 1.0 if code & 0x10000 else -1.0
-    return np.clip(out, -3, 3)
-
-
-def vectors(pages: list[list[tuple[str, str, int]]]) -> np.ndarray:
+def vectors(pages: list[list[tuple[np.ndarray, str, int]]]) -> np.ndarray:
     """One row for each block of all pages."""
     texts = [b[1].encode() for p in pages for b in p]
     n = len(texts)
     out = np.zeros((n, SIZE), np.float32)
     if not n:
         return out
-    out[:, :PATH_SIZE] = [_path_vector(b[0]) for p in pages for b in p]
+    out[:, :PATH_SIZE] = [b[0] for p in pages for b in p]
     hashes, first = words(texts, WORD_BYTES)
     counts = np.diff(first)
     slot = (hashes % np.uint64(WORD_SIZE)).astype(np.int64) + WORD_SIZE * np.repeat(np.arange(n), counts)
@@ -239,12 +293,30 @@ class Labeller:
         return forward, backward, active, step, page, back
 
     def scores(self, rows: np.ndarray, sizes: list[int]) -> np.ndarray:
-        """Log-odds of being article text, for each row; ``sizes`` are the pages' numbers of rows."""
-        if not len(rows):
-            return np.zeros(0, np.float32)
-        forward, backward, active, step, page, back = self.pack(rows, sizes)
-        a, b = self._side(0, forward, active)[0], self._side(1, backward, active)[0]
-        return (np.concatenate((a[step, page], b[back, page], rows), 1) @ self.out)[:, 0] + self.level[0]
+        """Log-odds of being article text, for each row; ``sizes`` are the pages' numbers of rows.
+
+        Pages go side by side, longest first, each step for those that still have a row; nothing is padded.
+        """
+        out = (rows @ self.out[2 * self.h :])[:, 0] + self.level[0]
+        order = np.argsort(-np.array(sizes, np.int64), kind="stable")
+        long = np.array(sizes, np.int64)[order]
+        ends = np.cumsum(sizes)[order] if len(order) else long
+        h, half = self.h, np.ones(4 * self.h, np.float32)
+        half[: 3 * h] = 0.5
+        active = np.searchsorted(-long, -np.arange(int(long.max(initial=0))))
+        for k in range(2):
+            given, u = (rows @ self.w[k] + self.b[k]) * half, self.u[k] * half
+            given[:, h : 2 * h] += 0.5
+            mine = np.ascontiguousarray(self.out[k * h : (k + 1) * h, 0])
+            state, cell = np.zeros((len(order), h), np.float32), np.zeros((len(order), h), np.float32)
+            for t, m in enumerate(active.tolist()):
+                at = ends[:m] - long[:m] + t if k == 0 else ends[:m] - 1 - t
+                g = np.tanh(given[at] + state[:m] @ u)
+                gates = 0.5 * g[:, : 3 * h] + 0.5
+                cell = gates[:, h : 2 * h] * cell[:m] + gates[:, :h] * g[:, 3 * h :]
+                state = gates[:, 2 * h :] * np.tanh(cell)
+                out[at] += state @ mine
+        return out
 
     def gradients(self, rows: np.ndarray, sizes: list[int], y: np.ndarray):
         forward, backward, active, step, page, back = self.pack(rows, sizes)
@@ -377,7 +449,7 @@ def specimen(rng: np.random.Generator) -> list[tuple[str, bool]]:
 _INK, _MARK = "", ""
 
 
-def labelled(rng: np.random.Generator) -> tuple[list[tuple[str, str, int]], list[bool]]:
+def labelled(rng: np.random.Generator) -> tuple[list[tuple[np.ndarray, str, int]], list[bool]]:
     """Blocks of a made-up page and whether each is article text; told by marks put into the text."""
     page = "".join(re.sub(r">([^<]*[^<\s][^<]*)|^([^<]*[^<\s][^<]*)", lambda m: (">" if m[0].startswith(">") else "") + (m[1] or m[2] or "") + (_INK if wanted else _MARK), part) for part, wanted in specimen(rng))
     found = blocks(page)
@@ -407,21 +479,36 @@ def trained(pages: int = 1500, rounds: int = 400, batch: int = 48, seed: int = 1
     return net
 
 
-#: Pages that go through the network together.
+#: Pages, and blocks unless one page has more, that go through the network together.
 GROUP = 256
+GROUP_BLOCKS = 50_000
 _RESULT = "struct<text:string,blocks:int,kept:int>"
 
 
 def extract(pages: list[str], net: Labeller) -> list[tuple[str, int, int]]:
     """(text, blocks, blocks kept) of each page."""
-    found = [blocks(p) for p in pages]
-    filled = [b for b in found if b]
-    scores = net.scores(vectors(filled), [len(b) for b in filled]) if filled else np.zeros(0)
-    out, at = [], 0
-    for b in found:
-        keep = [text for (_, text, _), s in zip(b, scores[at : at + len(b)].tolist(), strict=True) if s > 0]
-        out.append(("\n\n".join(keep), len(b), len(keep)))
-        at += len(b)
+    out: list[tuple[str, int, int]] = []
+    found: list[list[tuple[np.ndarray, str, int]]] = []
+
+    def label() -> None:
+        scores = net.scores(vectors(found), [len(b) for b in found])
+        at = 0
+        for b in found:
+            keep = [text for (_, text, _), s in zip(b, scores[at : at + len(b)].tolist(), strict=True) if s > 0]
+            out.append(("\n\n".join(keep), len(b), len(keep)))
+            at += len(b)
+        found.clear()
+
+    held = 0
+    for page in pages:
+        own = blocks(page)
+        if found and (held + len(own) > GROUP_BLOCKS or len(found) == GROUP):
+            label()
+            held = 0
+        found.append(own)
+        held += len(own)
+    if found:
+        label()
     return out
 
 
@@ -431,8 +518,7 @@ def main_text(pages: DataFrame, net: Labeller | None = None, html_col: str = "ht
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            data = [x or "" for x in batch.to_pylist()]
-            rows = [r for at in range(0, len(data), GROUP) for r in extract(data[at : at + GROUP], shared.value)]
+            rows = [r for part in slices(batch) for r in extract([x or "" for x in part.to_pylist()], shared.value)]
             yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], ["text", "blocks", "kept"])
 
     return pages.withColumn(out, F.arrow_udf(run, _RESULT)(F.col(html_col)))

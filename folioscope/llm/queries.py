@@ -50,6 +50,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op2, which SQL can express."""
+    return op2_secrets(spark, sf_dir).drop("spans")
+
+
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op6, which SQL can express."""
+    return op6_licenses(spark, sf_dir).drop("labels", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,5 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_topk,
         op9_chat,
         op10_packing,
+        secrets_base,
+        licenses_base,
     )
 }

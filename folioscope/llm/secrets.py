@@ -10,6 +10,9 @@ neighbours are digits too, so a strided look at the bytes takes the keyword's pl
 Offsets are code points, end exclusive: the scan works on a copy of the text in which every
 non-ASCII character is one ``?``, which no pattern accepts.
 
+Every pattern is tried at hits alone and reads on from there; a signed token that fails gives up all of
+its run of characters, where no later start can do better, so the time grows with the text's length.
+
 Defined results: null and empty texts have no spans; rows are independent, repeated rows get equal
 results; whole texts are scanned, however long; input columns named like results are replaced.
 """
@@ -40,6 +43,7 @@ _HEX = re.compile(r"[0-9a-f]+")
 _HOSTING = re.compile(r"gh[pousr]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])", re.A)
 _REGISTRY = re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])", re.A)
 _JWT = re.compile(r"(eyJ[0-9A-Za-z_-]+)\.(eyJ[0-9A-Za-z_-]+)\.[0-9A-Za-z_-]{16,}", re.A)
+_JWT_RUN = re.compile(r"[0-9A-Za-z_-]+")
 _IBAN = re.compile(r"(?i:iban)[:\x20]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?)(?![0-9A-Za-z])", re.A)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[^-]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----", re.A)
 
@@ -128,10 +132,14 @@ def find(text: str, machine=None) -> list[tuple[str, int, int]]:
     hits = sorted((end + 1 - size, k) for end, (size, k) in machine.iter(plain.lower()))
     for start, k in hits:
         _, kind, pattern, accept = RULES[k]
-        if start >= ends.get(kind, 0) and (m := pattern.match(plain, start)):
+        if start < ends.get(kind, 0):
+            continue
+        if m := pattern.match(plain, start):
             ends[kind] = m.end()
             if accept(m):
                 found.append((kind, start, m.end()))
+        elif kind == "jwt" and plain.startswith("eyJ", start):
+            ends[kind] = _JWT_RUN.match(plain, start).end()
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

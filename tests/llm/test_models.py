@@ -74,6 +74,18 @@ def test_language_edges(spark, documents):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} <= {None, 5}
 
 
+def test_language_sample_needs_no_ids(spark, documents):
+    """Null or repeated ids change neither the languages nor the bound of the sample."""
+    for ids in ("CAST(NULL AS LONG)", "10", "doc_id"):
+        found = language.sample(documents.selectExpr(f"{ids} AS doc_id", "text", "lang"), 20)
+        assert {lang for lang, _ in found} == {"en", "fr", "de", "es"}
+        assert len(found) <= 4 * 20 * language.SAMPLE_WINDOWS
+    copies = documents.filter("lang = 'en'").limit(1).crossJoin(spark.range(3000)).select(documents.columns)
+    assert {lang for lang, _ in language.sample(documents.unionByName(copies), 20)} == {"en", "fr", "de", "es"}
+    many = spark.range(2000).selectExpr("id AS doc_id", "'some text' AS text", "CAST(id AS STRING) AS lang")
+    assert len({lang for lang, _ in language.sample(many, 5)}) == language.LANGUAGES
+
+
 def test_labeller_gradients():
     rng = np.random.default_rng(0)
     net = pages.Labeller(rng, 6, 3)
@@ -114,6 +126,33 @@ def test_blocks(page, want):
     assert [t for _, t, _ in pages.blocks(page)] == want
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<div>x", "<b>", "</x><div>", "<script></script", "<aaaa", "<!--", "<a \"'>", "<p><b>", "<td>x", "&amp;", "<li><ul>"])
+def test_pages_take_time_by_their_length(piece):
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        pages.blocks(piece * n)
+        return time.perf_counter() - start
+
+    unit = 30_000 // len(piece)
+    assert min(seconds(8 * unit) for _ in range(2)) < 30 * max(0.02, min(seconds(unit) for _ in range(2)))
+
+
+def test_page_of_very_many_blocks():
+    """A long page beside short ones needs memory for its own blocks only."""
+    net, long = pages.Labeller(np.random.default_rng(0)), "<p>Some words here, and more.</p>" * 60_000
+    short = [f"<article><p>Page {i} says this.</p></article>" for i in range(300)]
+    got = pages.extract([*short[:100], long, *short[100:]], net)
+    assert got[100][1] == 60_000 and got[:100] + got[101:] == pages.extract(short, net)
+
+
+def test_nothing_but_furniture_is_dropped():
+    page = "<article><p>The total is <math>x + y</math> for this sentence, as was said.</p><noscript><p>A caption of the picture, in a few words.</p></noscript><p>Then the <svg><text>drawing</text></svg> follows, and more is said.</p></article>"
+    text = pages.extract([page], pages.trained())[0][0]
+    assert text == "The total is x + y for this sentence, as was said.\n\nA caption of the picture, in a few words.\n\nThen the drawing follows, and more is said."
+
+
 def test_pages_of_the_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(60)
     import html

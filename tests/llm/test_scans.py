@@ -160,3 +160,37 @@ def test_license_frame(spark):
 def test_licenses_worse_copy_before_a_better_one():
     found = licenses.scan_one(b"relased under the mit license released under the mit license")["notices"]
     assert [(n["start_word"], n["end_word"], n["errors"]) for n in found] == [(0, 5, 1), (5, 10, 0)]
+
+
+def seconds(f, *args):
+    import time
+
+    start = time.perf_counter()
+    f(*args)
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "eyJa.", "EYJeyJ", "password ", "token=abc ", "AKIAAKIA", "-----BEGIN A ", "IBAN GB82 ", "ghp_", "0123456789abcdef", "api_key=\"", "secret:secret:"])
+def test_secrets_of_very_long_texts(piece):
+    """Time grows with the length, not with its square; a text of many megabytes is scanned whole."""
+    unit = 200_000 // len(piece)
+    short, long = (min(seconds(secrets.find, piece * n) for _ in range(2)) for n in (unit, 8 * unit))
+    assert long < 30 * max(short, 0.02)
+    tail = " token=abcdef99"
+    assert secrets.find(piece * unit + tail)[-1] == ("assign", len(piece) * unit + 1, len(piece) * unit + len(tail))
+
+
+@pytest.mark.parametrize("piece", ["released under the mit license ", "relased under the mit licence ", "mit license ", "mit ", "license version 2 0 ", "free software "])
+def test_licenses_of_very_long_texts(piece):
+    unit = 60_000 // len(piece)
+    short, long = (min(seconds(licenses.scan_one, piece.encode() * n) for _ in range(2)) for n in (unit, 8 * unit))
+    assert long < 30 * max(short, 0.02)
+    found = licenses.scan_one(piece.encode() * unit + b"apache license")
+    assert found["last_word"] == found["n_words"] - 2 and found["n_words"] == len((piece * unit).split()) + 2
+    if "under" in piece:
+        assert len(found["notices"]) == unit and found["notices"][-1]["start_word"] == 5 * (unit - 1)
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert secrets.report(df).count() == secrets.redact(df).count() == licenses.report(df).count() == 0
