@@ -3,16 +3,52 @@
 Every step is a minimum per node and a join.  The minima are pre-aggregated before the shuffle and
 written down, so both sides of the join have exchanges of their own and adaptive execution can split
 a hot node's partition.  The links are written to shared storage after each round too, so lineage stays
-short and a lost executor costs no more than a round.
+short and a lost executor costs no more than a round.  As soon as no more than ``TASK_LINKS`` links are
+left, one task finishes them; it holds 16 bytes a link.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import Shelf
 
+#: Links that one task may finish.
+TASK_LINKS = 500_000
+
+
+def folded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, component) of all nodes of the links, by hooking roots to smaller ones and halving paths."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        x, y, low = x[apart], y[apart], np.minimum(rx, ry)[apart]
+        np.minimum.at(root, rx[apart], low)
+        np.minimum.at(root, ry[apart], low)
+        while len(x) and (root != (up := root[root])).any():
+            root = up
+    while (root != (up := root[root])).any():
+        root = up
+    return nodes, nodes[root]
+
+
+def _finished(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if held:
+            node, component = folded(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "component": pa.array(component, pa.int64())})
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
+
 
 def _stars(links: DataFrame, shelf: Shelf) -> DataFrame:
     """Connects every greater neighbour of a node to its smallest neighbour, itself included."""
@@ -37,6 +73,8 @@ def components(links: DataFrame, shelf: Shelf) -> DataFrame:
     now = shelf.put(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     digest = None
     while True:
+        if now.count() <= TASK_LINKS:
+            return _finished(now)
         stars = _stars(now, shelf)
         shelf.drop(now)
         now = _fold(stars, shelf)

@@ -136,16 +136,19 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     owner, starts = owner[order], np.concatenate(([0], np.cumsum(count)))[:-1]
     out = np.zeros(n * n, np.int64)
-    few = min(n, 32)
+    few, codes, held = min(n, 32), [], 0
     for c in range(2, few + 1):
         at = starts[count == c]
-        if len(at):
-            held = owner[at[:, None] + np.arange(c)[None, :]]
-            for x in range(c):
-                for y in range(x + 1, c):
-                    out += np.bincount(held[:, x] * n + held[:, y], minlength=n * n) if len(at) > 64 else 0
-                    if len(at) <= 64:
-                        np.add.at(out, held[:, x] * n + held[:, y], 1)
+        x, y = np.triu_indices(c, 1)
+        for lo in range(0, len(at), 1 + (1 << 20) // len(x)):
+            part = owner[at[lo : lo + 1 + (1 << 20) // len(x), None] + np.arange(c)[None, :]]
+            codes.append((part[:, x] * n + part[:, y]).ravel())
+            held += len(codes[-1])
+            if held > 1 << 22:
+                out += np.bincount(np.concatenate(codes), minlength=n * n)
+                codes, held = [], 0
+    if held:
+        out += np.bincount(np.concatenate(codes), minlength=n * n)
     out = out.reshape(n, n)
     often = np.flatnonzero(count > few)
     for lo in range(0, len(often), 4096):
@@ -163,8 +166,10 @@ def _joining(ids: list[int], owner: list[int], sets: list[np.ndarray], rule: Rul
     both = _overlaps(sets)
     union = size[:, None] + size[None, :] - both
     linked = (both > 0) & (both * rule.of >= rule.per * union)
-    own = np.asarray(owner)
+    names, own = np.unique(owner, return_inverse=True)
     linked &= own[:, None] != own[None, :]
+    x, y = np.nonzero(linked)
+    first = np.unique(own[x] * len(names) + own[y], return_index=True)[1]  # one pair for each two components
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -174,11 +179,11 @@ def _joining(ids: list[int], owner: list[int], sets: list[np.ndarray], rule: Rul
         return x
 
     out = []
-    for x, y in zip(*np.nonzero(linked), strict=True):
-        a, b = find(owner[x]), find(owner[y])
+    for i, j in zip(x[first].tolist(), y[first].tolist(), strict=True):
+        a, b = find(int(own[i])), find(int(own[j]))
         if a != b:
             root[a] = b
-            out.append((ids[x], ids[y]))
+            out.append((ids[i], ids[j]))
     return out
 
 

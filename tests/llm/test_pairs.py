@@ -140,9 +140,11 @@ def test_odd_sketch_estimates_high_similarity():
     assert np.mean(errors) < 0.03
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed", range(4))
+def test_components(spark, seed, monkeypatch):
+    """By rounds alone, by one task alone, and by rounds until one task can finish."""
     rng = random.Random(seed)
+    monkeypatch.setattr("folioscope.llm.components.TASK_LINKS", (0, 500_000, 60, 500_000)[seed])
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 130)]
     nodes = {x for e in links if e[0] != e[1] for x in e}
     want = closure(nodes, [e for e in links if e[0] != e[1]])
