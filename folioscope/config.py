@@ -45,7 +45,7 @@ class Options:
     typo_ratio: int = 5
     min_cosine: float = 0.25
     #: Query language.
-    translate: bool = False
+    translate: bool = True
     snippet_tokens: int = 18
     snippet_chars: int = 160
     stable_seconds: float = 2.0

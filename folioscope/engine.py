@@ -114,8 +114,9 @@ class Engine:
         if not hybrid:
             return found.withColumn("tier", F.lit(0))
         asked = self.embed(querylang.semantic_text(q, self.lexicon))
-        near = vectors.top_k(self.tables.vectors, asked, o.vector_pool)
-        near = self._filtered(self._placed(near), collection, ymin, ymax)
+        # filters come before the choice of neighbours, so a narrow one still gets as many
+        allowed = self._filtered(self._placed(self.tables.vectors.select("rowid")), collection, ymin, ymax) if collection or ymin or ymax else None
+        near = self._placed(vectors.top_k(self.tables.vectors, asked, o.vector_pool, allowed))
         if query.excluded:  # what must not occur is no neighbour either
             terms = [t for t in (querylang.python_terms(p, self.index.analyser) for p in query.excluded) if t]
             near = near.join(phrase_counts(self.index, terms).select("rowid"), "rowid", "left_anti")
@@ -134,30 +135,39 @@ class Engine:
         use_vectors = hybrid and sort == "relevance" and not any_words and self._hybrid_ready()
         rows = self.ranked(query, q, collection, ymin, ymax, use_vectors)
         keyword = self._filtered(self._placed(matched(self.index, query, o)), collection, ymin, ymax)
-        total = keyword.count()
+        # a row for each collection; their sum is the total
+        counted = ranking.facets(keyword, "collection").collect()
+        total = sum(r.n for r in counted)
         order = sort_order(sort)
         stream = ranking.capped(rows, ["title", "path"], o.per_work, *order) if sort == "relevance" else rows
         page = ranking.paged(stream, offset, limit, *order)
         mode = ("hybrid" if offset < o.fused_pool else "hybrid-tail") if use_vectors else "keyword" if sort == "relevance" else sort
         hits = self.hits(page, [p for g in query.groups for p in g], order)
-        facets = ranking.facets(keyword, "collection") if offset == 0 else None
+        facets = self.spark.createDataFrame(counted, "collection string, n long") if offset == 0 else None
         return Result(hits, total, facets, mode, query.text(), querylang.describe(q, self.lexicon), use_vectors and total == 0, offset, limit)
 
     def hits(self, page: DataFrame, phrases: list[str], order: list[Column]) -> DataFrame:
-        """Display columns and snippets of the rows of one page of results."""
-        small = F.broadcast(page)  # a page of results
-        rows = self.tables.pages.select("rowid", "text").join(small, "rowid")
+        """Display columns and snippets of the rows of one page of results.
+
+        The page is collected, so its few ids reach the scans of the texts as a filter.
+        """
+        shown = page.collect()
+        ids = [r.rowid for r in shown]
+        small = F.broadcast(self.spark.createDataFrame(shown, page.schema))
+        rows = self.tables.pages.select("rowid", "text").filter(F.col("rowid").isin(ids)).join(small, "rowid")
         if self.tables.files is not None:
-            rows = rows.join(self.tables.files.select("rowid", "pdf_path"), "rowid", "left")
+            rows = rows.join(self.tables.files.select("rowid", "pdf_path").filter(F.col("rowid").isin(ids)), "rowid", "left")
         else:
             rows = rows.withColumn("pdf_path", F.lit(None).cast("string"))
         if self.tables.sources is not None:
-            pubs = self.tables.sources.groupBy(library.path_key(F.col("path")).alias("_key")).agg(F.max(F.struct("pub", "pub_src")).alias("_pub"))
+            keyed = self.tables.sources.withColumn("_key", library.path_key(F.col("path")))
+            wanted = small.select(library.path_key(F.col("path")).alias("_key")).distinct()
+            pubs = keyed.join(F.broadcast(wanted), "_key", "left_semi").groupBy("_key").agg(F.max(F.struct("pub", "pub_src")).alias("_pub"))
             rows = rows.join(pubs, library.path_key(F.col("path")) == F.col("_key"), "left")
         else:
             rows = rows.withColumn("_pub", F.lit(None).cast("struct<pub:string,pub_src:string>"))
-        shown = ranking.snippets(rows, phrases, self.index.analyser, self.options.snippet_tokens, self.options.snippet_chars).orderBy(*order)
-        return shown.select(
+        out = ranking.snippets(rows, phrases, self.index.analyser, self.options.snippet_tokens, self.options.snippet_chars).orderBy(*order)
+        return out.select(
             "rowid", display_title(F.col("_pub.pub"), F.col("title")).alias("title"), F.col("title").alias("file_title"), F.coalesce("_pub.pub_src", F.lit("keep")).alias("pub_src"),
             F.col("path").alias("file"), "collection", "page", F.col("pdf_path").isNotNull().alias("pdf"), "year", "score", "snippet",
         )
@@ -291,13 +301,13 @@ class Engine:
         return {"rows": self.index.rows, "mean_length": self.index.mean, "analyser": self.index.analyser, "options": self.options}
 
 
-def build_index(pages: DataFrame, path: str, attributes: list[str] | None = None, analyser: str = "porter") -> Index:
+def build_index(pages: DataFrame, path: str, attributes: list[str] | None = None, analyser: str = "porter", fields: tuple[str, ...] = ("text",)) -> Index:
     """Writes the index of a library's pages below ``path`` and opens it."""
-    postings.save(pages, path, attributes or [], analyser)
+    postings.save(pages, path, attributes or [], analyser, fields=fields)
     return postings.load(pages.sparkSession, path, analyser)
 
 
 def article_index(articles: DataFrame, path: str, analyser: str = "porter") -> Index:
     """The index of articles: headline, subhead, abstract and taxonomy, apart by a break in positions."""
-    text = F.concat_ws(" ", "headline", "subhead", "abstract", "taxonomy")
-    return build_index(articles.select("rowid", text.alias("text")), path, [], analyser)
+    fields = ("headline", "subhead", "abstract", "taxonomy")
+    return build_index(articles.select("rowid", *fields), path, [], analyser, fields)

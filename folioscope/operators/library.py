@@ -169,17 +169,19 @@ def spellings(sources: DataFrame, path: str) -> DataFrame:
     return sources.filter(path_key(F.col("path")) == path_key(F.lit(path))).select("path").distinct()
 
 
-def delete_cascade(gone: DataFrame, tables: dict[str, DataFrame], pages: str = "pages") -> tuple[dict[str, DataFrame], DataFrame]:
+def delete_cascade(gone: DataFrame, tables: dict[str, DataFrame], pages: str = "pages", exact: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
     """What is left of each table without the books of ``gone`` (path), and a row of counts.
 
-    Tables with a path lose its rows; tables keyed by rowid lose those of the deleted pages.
+    Tables with a path lose its rows; tables keyed by rowid lose those of the deleted pages.  With
+    ``exact`` only rows of that very spelling go, else all that name the same file.
     """
-    keys = gone.select(path_key(F.col("path")).alias("_key")).distinct()
-    ids = tables[pages].withColumn("_key", path_key(F.col("path"))).join(keys, "_key", "left_semi").select("rowid")
+    key = (lambda: F.col("path")) if exact else (lambda: path_key(F.col("path")))
+    keys = gone.select(key().alias("_key")).distinct()
+    ids = tables[pages].withColumn("_key", key()).join(keys, "_key", "left_semi").select("rowid")
     left, counts = {}, None
     for name, table in tables.items():
         if "path" in table.columns:
-            keyed = table.withColumn("_key", path_key(F.col("path")))
+            keyed = table.withColumn("_key", key())
             left[name], lost = keyed.join(keys, "_key", "left_anti").drop("_key"), keyed.join(keys, "_key", "left_semi")
         else:
             left[name], lost = table.join(ids, "rowid", "left_anti"), table.join(ids, "rowid", "left_semi")

@@ -8,9 +8,10 @@ and nothing that ranks reads the texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.analysis import ANALYSERS, stemmed
@@ -30,25 +31,41 @@ class Index:
     analyser: str = "simple"
 
 
-def postings_of(texts: DataFrame, analyser: str = "simple", text: str = "text") -> DataFrame:
-    """(term, rowid, pos, doc_len) of every token; rowid as given."""
-    terms, stems = ANALYSERS[analyser]
-    listed = texts.select("rowid", terms(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    out = listed.select("rowid", F.size("t").alias("doc_len"), F.posexplode("t").alias("pos", "term"))
-    if stems:
+def _field_terms(analyser: str, fields: tuple[str, ...]) -> list[Column]:
+    terms = ANALYSERS[analyser][0]
+    return [terms(F.coalesce(F.col(c), F.lit(""))) for c in fields]
+
+
+def _placed_from(begin: Column) -> Callable[[Column, Column], Column]:
+    return lambda t, i: F.struct((begin + i).alias("pos"), t.alias("term"))
+
+
+def postings_of(texts: DataFrame, analyser: str = "simple", *fields: str) -> DataFrame:
+    """(term, rowid, pos, doc_len) of every token of the fields (``text``); rowid as given.
+
+    Between fields a position is left free, so no phrase goes over the end of one.
+    """
+    fields = fields or ("text",)
+    listed = texts.select("rowid", *(t.alias(f"t{k}") for k, t in enumerate(_field_terms(analyser, fields))))
+    begin, parts = F.lit(0), []
+    for k in range(len(fields)):
+        parts.append(F.transform(f"t{k}", _placed_from(begin)))
+        begin = begin + F.size(f"t{k}") + 1
+    out = listed.select("rowid", (begin - len(fields)).alias("doc_len"), F.inline(F.concat(*parts)))
+    if ANALYSERS[analyser][1]:
         out = out.join(stemmed(out), "term").withColumn("term", F.col("stem"))
     return out.select("term", "rowid", "pos", "doc_len")
 
 
-def save(texts: DataFrame, path: str, attributes: list[str], analyser: str = "simple", files: int | None = None) -> None:
-    """Writes the index of texts(rowid, text, attributes...) below ``path``."""
+def save(texts: DataFrame, path: str, attributes: list[str], analyser: str = "simple", files: int | None = None, fields: tuple[str, ...] = ("text",)) -> None:
+    """Writes the index of texts(rowid, fields..., attributes...) below ``path``."""
     spark = texts.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = postings_of(texts, analyser)
+    postings = postings_of(texts, analyser, *fields)
     salted = postings.repartition(files, F.col("term"), (F.col("rowid") / SALT_ROWS).cast("long"))
     salted.sortWithinPartitions("term", "rowid", "pos").write.mode("overwrite").parquet(f"{path}/postings")
-    terms, stems = ANALYSERS[analyser]
-    lengths = texts.select("rowid", *attributes, F.size(terms(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("doc_len"))
+    size = sum((F.size(t) for t in _field_terms(analyser, fields)), F.lit(0))
+    lengths = texts.select("rowid", *attributes, size.cast("long").alias("doc_len"))
     lengths.write.mode("overwrite").parquet(f"{path}/docs")
     read_docs = spark.read.parquet(f"{path}/docs")
     read_docs.agg(F.count("*").alias("rows"), F.avg("doc_len").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")

@@ -16,14 +16,16 @@ from folioscope.operators.library import applied, head_tail, path_key
 def year_plan(pages: DataFrame, stored: DataFrame, head: int = 12, tail: int = 8) -> DataFrame:
     """(path, title, year, confidence, why, old, new, action) for each book.
 
-    pages(path, title, page, text), stored(path, year): the year that each page of a book has now; a
-    book's stored year is the most frequent one, the first by page at a tie.  Books of at most ``tail``
+    pages(path, title, page, text), stored(path, year, page): the year that each page of a book has now; a
+    book's stored year is the most frequent one, at a tie the one that a page names first (the earlier
+    year, where ``stored`` has no page).  Books of at most ``tail``
     pages have no tail text, since their head holds it all.
     """
     texts = head_tail(pages, head, tail)
     books = pages.groupBy("path").agg(F.min("title").alias("title"), F.count("*").alias("n"))
-    counts = stored.filter(F.col("year").isNotNull()).groupBy("path", "year").agg(F.count("*").alias("c"))
-    now = counts.groupBy("path").agg(F.max_by("year", F.struct(F.col("c"), -F.col("year"))).alias("old"))
+    place = F.min(F.expr("try_cast(page AS long)")) if "page" in stored.columns else F.min(F.lit(0).cast("long"))
+    counts = stored.filter(F.col("year") > 0).groupBy("path", "year").agg(F.count("*").alias("c"), F.coalesce(place, F.lit(10**9).cast("long")).alias("first"))
+    now = counts.groupBy("path").agg(F.max_by("year", F.struct(F.col("c"), -F.col("first"), -F.col("year"))).alias("old"))
     rows = books.join(texts, "path").join(now, "path", "left")
     tail_text = F.when(F.col("n") > tail, F.col("tail")).otherwise(F.lit(""))
     found = rows.withColumn("f", years.detected(F.col("title"), F.col("head"), tail_text))

@@ -57,6 +57,31 @@ def build(texts: DataFrame, vectors: DataFrame, model: Callable, model_id: str,
     return held.select("rowid", "vec", "model_id").unionByName(embed(pending(texts, held, least), model, model_id, chars))
 
 
+def build_in_batches(texts: DataFrame, table, model: Callable, model_id: str, least: int = 40, chars: int = 1200, rows: int = 1_000_000, stop: Callable[[], bool] = lambda: False) -> Iterator[tuple[int, int]]:
+    """An incremental build that is committed batch by batch: yields (rows embedded, rows in all) after each.
+
+    ``table`` is a ``Versioned`` table of vectors; each batch is one appended version, so a build that was
+    stopped, by ``stop`` or a lost job, goes on with what is still pending.
+    """
+    spark = texts.sparkSession
+    held = table.read() if table.exists() else spark.createDataFrame([], f"rowid {texts.schema['rowid'].dataType.simpleString()}, vec array<float>, model_id string")
+    own = prune(held.filter(F.col("model_id") == model_id), texts).select("rowid", "vec", "model_id")
+    table.write(own)
+    total = pending(texts, table.read(), least).count()
+    parts = max(1, -(-total // rows))
+    for k in range(parts if total else 0):
+        if stop():
+            return
+        todo = pending(texts.filter(F.pmod(F.xxhash64("rowid"), F.lit(parts)) == k), table.read(), least)
+        table.append(embed(todo, model, model_id, chars))
+        yield total - pending(texts, table.read(), least).count(), total
+
+
+def reset(table, dim_schema: str = "rowid long, vec array<float>, model_id string") -> None:
+    """Empties a table of vectors; the next build makes all anew."""
+    table.write(table.spark.createDataFrame([], dim_schema))
+
+
 def prune(vectors: DataFrame, texts: DataFrame, key: str = "rowid") -> DataFrame:
     """Vectors whose row still exists."""
     return vectors.join(texts.select(key), key, "left_semi")

@@ -69,7 +69,9 @@ SQL["folded_text"] = "SELECT doc_id AS rowid, md5(lower(translate(text, 'ıİş
 SQL["unmarked_text"] = "SELECT doc_id AS rowid, md5(strip_accents(lower(text))) AS digest FROM documents"
 SQL["query_language"] = """SELECT * FROM (VALUES
 ('mitre "band saw" -plywood', '"band saw" AND ("mitre" OR "miter") NOT "plywood"'), ('half-blind dovetail', '"half-blind" AND "dovetail"'),
-('colour centre', '("colour" OR "color") AND ("centre" OR "center")'), ('"quoted only"', '"quoted only"'), ('-nothing', NULL), ('', NULL), ('ahşap zıvana nasıl', '"wood" AND ("tenon" OR "mortise")')) v(typed, match)"""
+('colour centre', '("colour" OR "color") AND ("centre" OR "center")'), ('"quoted only"', '"quoted only"'), ('-nothing', NULL), ('', NULL), ('ahşap zıvana nasıl', '"wood" AND "tenon" AND ("mortise" OR "mortice")'),
+('gönye', '("miter" OR "mitre")'), ('gönyeli', '("miter" OR "square")'), ('vidalar nasıl sıkılır', '"screw" AND "tighten"'), ('bant testere', '"tape measure" AND "saw"'), ('meşe cila', '"oak" AND "finish" AND "polish"'),
+('Kırlangıç Kuyruğu', '"dovetail"'), ('tornada ceviz oyma', '"lathe" AND "walnut" AND "carving"'), ('nasıl yapılır', NULL)) v(typed, match)"""
 
 _NEAR = "v AS (SELECT a.vec_id AS rowid, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cos FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b)"
 SQL["vector_topk"] = f"WITH {_NEAR} SELECT rowid, round(cos, 6) AS score FROM v ORDER BY cos DESC, rowid LIMIT 20"
@@ -145,7 +147,7 @@ u AS (SELECT rowid, sum(1.0::DOUBLE / (60 + r)) AS s FROM (SELECT rowid, r FROM
 k AS (SELECT u.rowid, title, s FROM u JOIN d ON d.rowid = u.rowid QUALIFY row_number() OVER (PARTITION BY title ORDER BY s DESC, u.rowid) <= 2)
 SELECT rowid, title, round(s, 8) AS score FROM k ORDER BY s DESC, rowid LIMIT 15"""
 
-SQL["year_repair_plan"] = "SELECT * FROM (VALUES ('/a', NULL, 1855, 'assign', 1855), ('/b', 1924, 1912, 'replace', 1912), ('/c', 1950, 1950, 'keep', 1950)) v(path, old, new, action, written)"
+SQL["year_repair_plan"] = "SELECT * FROM (VALUES ('/a', NULL, 1855, 'assign', 1855), ('/b', 1924, 1912, 'replace', 1912), ('/c', 1950, 1950, 'keep', 1950), ('/d', 1931, 1931, 'keep', 1931)) v(path, old, new, action, written)"
 SQL["title_repair_plan"] = """SELECT * FROM (VALUES ('/l/7.pdf', NULL, 'Popular Mechanics No. 7', 'change', 'Popular Mechanics No. 7'), ('/l/Tool Chest.pdf', NULL, NULL, 'same', NULL),
 ('/l/9.pdf', 'Old Name', 'Woodsmith No. 9', 'change', 'Woodsmith No. 9')) v(path, old, new, action, written)"""
 SQL["merged_copies"] = f"WITH {_JOBS}, n AS (SELECT * FROM j {_LAST}) SELECT path, CASE WHEN title::INT < 20 THEN 'duplicate' ELSE status END AS status FROM n WHERE path <> '/lib/3.pdf'"
@@ -153,7 +155,8 @@ SQL["bulk_outcome"] = "SELECT * FROM (VALUES ('done', 2), ('not found', 1)) v(ou
 SQL["jobs_with_titles"] = f"WITH {_JOBS}, n AS (SELECT * FROM j {_LAST}) SELECT path, status, CASE path WHEN '/lib/1.pdf' THEN 'One Title' WHEN '/lib/2.pdf' THEN 'A Journal No. 2' ELSE title END AS shown FROM n"
 SQL["tokenize_table_function"] = "SELECT generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS term FROM (SELECT regexp_extract_all(lower('Café-crème, don''t 12'), '[\\p{L}\\p{N}]+') AS t)"
 SQL["year_detect"] = """SELECT * FROM (VALUES ('1871-Of-Stairs', 1871, 78, 1871, 'assign'), ('Carpentry', 1912, 88, 1912, 'replace'), ('Chairs', 1931, 96, 1931, 'keep'),
-('Tools', NULL, 0, NULL, 'none'), ('T-1810 Manual', 1810, 62, 1810, 'assign'), ('Old book', 1999, 26, 1950, 'keep')) v(title, year, confidence, new_year, action)"""
+('Tools', NULL, 0, NULL, 'none'), ('T-1810 Manual', 1810, 62, 1810, 'assign'), ('Old book', 1999, 26, 1950, 'keep'),
+('Vol 3 Oak 1920', NULL, 0, NULL, 'none'), ('Joints', NULL, 0, NULL, 'none'), ('Turning', NULL, 0, NULL, 'none'), ('Inlay', NULL, 0, NULL, 'none')) v(title, year, confidence, new_year, action)"""
 SQL["concept_profiles"] = f"""WITH {_TAGS}, h AS (SELECT tag, o FROM t QUALIFY row_number() OVER (PARTITION BY tag ORDER BY o) <= 8)
 SELECT tag, substring(tag || '. ' || string_agg('Order ' || o, '. ' ORDER BY o), 1, 700) AS profile FROM h GROUP BY tag"""
 

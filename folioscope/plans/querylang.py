@@ -1,8 +1,8 @@
 """The query language: what was typed becomes a small tree of phrases.
 
 A query is a conjunction of groups, each a disjunction of phrases, with excluded phrases.  The box
-takes "quoted phrases", -exclusions (after white space) and words; words gain their spelling variants,
-and, if asked for, translations.  The fields all, phrase, any and none add to it.
+takes "quoted phrases", -exclusions (after white space) and words; words gain their spelling variants
+and, unless it is switched off, Turkish ones are read in English.  The fields all, phrase, any and none add to it.
 """
 
 from __future__ import annotations
@@ -20,16 +20,48 @@ VARIANTS = (
     ("fibre", "fiber"), ("metre", "meter"), ("jewellery", "jewelry"), ("catalogue", "catalog"), ("draught", "draft"),
 )
 
-# Readings of Turkish terms, keyed by their folded form; a longer dictionary is a parameter.
-READINGS = {
-    "kirlangic kuyrugu": ("dovetail",), "kirlangickuyrugu": ("dovetail",), "zivana": ("tenon", "mortise"), "gonye": ("miter", "square"), "zimpara": ("sandpaper",),
-    "yapistirici": ("glue",), "cekmece": ("drawer",), "mentese": ("hinge",), "marangozluk": ("woodworking",), "marangoz": ("woodworker",),
-    "cerceve": ("frame",), "cekic": ("hammer",), "testere": ("saw",), "sandalye": ("chair",), "sandik": ("chest",),
-    "ahsap": ("wood",), "vernik": ("varnish",), "dolap": ("cabinet", "cupboard"), "tezgah": ("bench", "workbench"), "pencere": ("window",),
-    "tabure": ("stool",), "tutkal": ("glue",), "yuzey": ("surface",), "kapi": ("door",), "masa": ("table",),
-    "cila": ("polish",), "vida": ("screw",), "rende": ("plane",), "torna": ("lathe",), "matkap": ("drill",),
-    "mese": ("oak",), "ceviz": ("walnut",), "keski": ("chisel",), "boya": ("paint",), "bant testere": ("band saw",),
-}
+# Turkish terms that are replaced by English words before a query is cut into words.
+SEEDS = (
+    ("kırlangıç kuyruğu", "dovetail"), ("kirlangic kuyrugu", "dovetail"), ("kırlangıçkuyruğu", "dovetail"), ("zıvana", "tenon mortise"), ("zivana", "tenon mortise"),
+    ("gönye", "miter"), ("gonye", "miter"), ("zımpara", "sandpaper"), ("zimpara", "sandpaper"), ("yapıştırıcı", "glue"), ("yapistirici", "glue"),
+    ("çekmece", "drawer"), ("cekmece", "drawer"), ("menteşe", "hinge"), ("mentese", "hinge"), ("marangozluk", "woodworking"), ("marangoz", "woodworking"),
+    ("çerçeve", "frame"), ("cerceve", "frame"), ("çekiç", "hammer"), ("cekic", "hammer"), ("testere", "saw"), ("sandalye", "chair"), ("sandık", "chest"),
+    ("sandik", "chest"), ("ahşap", "wood"), ("ahsap", "wood"), ("vernik", "varnish"), ("dolap", "cabinet"), ("tezgah", "bench"), ("pencere", "window"),
+    ("tabure", "stool"), ("tutkal", "glue"), ("yüzey", "surface"), ("yuzey", "surface"), ("kapı", "door"), ("kapi", "door"), ("masa", "table"), ("cila", "finish polish"),
+)
+
+# Readings of Turkish words.
+DICTIONARY = (
+    ("testere", ["saw"]), ("bant testere", ["band saw"]), ("daire testere", ["circular saw"]), ("el testere", ["hand saw"]), ("testere diski", ["saw blade"]), ("zincir testere", ["chain saw"]),
+    ("keski", ["chisel"]), ("balta", ["axe"]), ("kazma", ["adze"]), ("kumpas", ["caliper", "vernier caliper"]), ("cetvel", ["ruler", "rule"]), ("gönye", ["miter", "square"]),
+    ("su terazisi", ["spirit level"]), ("pervaz", ["jig"]), ("kalip", ["template"]), ("bant", ["tape measure"]), ("vida", ["screw"]), ("vidalar", ["screw"]), ("vida agzi", ["screwdriver"]),
+    ("bulon", ["bolt"]), ("percin", ["rivet"]), ("somun", ["nut"]), ("kose", ["bracket"]), ("menteşe", ["hinge"]), ("ray", ["rail"]), ("cekic", ["hammer"]), ("pense", ["pliers"]),
+    ("makas", ["shears", "scissors"]), ("anahtar", ["wrench", "spanner"]), ("tornavida", ["screwdriver"]), ("rende", ["plane"]), ("duzlem", ["plane"]), ("kaziyici", ["chisel"]),
+    ("zirh", ["rasp", "file"]), ("ege", ["rasp"]), ("zimpara", ["sandpaper"]), ("zımpara", ["sandpaper"]), ("zımpara kâğıdı", ["sandpaper"]), ("kum", ["sand"]), ("taşlama", ["grinding"]),
+    ("taslama", ["grinding"]), ("cila", ["polish"]), ("cıla", ["polish"]), ("boya", ["paint"]), ("vernik", ["varnish"]), ("lak", ["lacquer"]), ("mum", ["wax"]), ("balmum", ["beeswax"]),
+    ("yağ", ["oil"]), ("macun", ["paste"]), ("dolgu", ["filler"]), ("zivana", ["tenon", "mortise"]), ("zıvana", ["tenon", "mortise"]), ("gecme", ["tenon joint"]),
+    ("kirlangic kuyrugu", ["dovetail"]), ("kırlangıç kuyruğu", ["dovetail"]), ("gezmeli", ["mortise"]), ("mahfaza", ["housing"]), ("kazik", ["mortise"]), ("sokma", ["mortise"]),
+    ("yapistirma", ["glued joint"]), ("yapıştırma", ["glued joint"]), ("tırtıklı", ["finger joint"]), ("tirtikli", ["finger joint"]), ("torna", ["lathe"]), ("planya", ["planer"]),
+    ("freze", ["router"]), ("matkap", ["drill"]), ("burgu", ["drill bit"]), ("vida takimi", ["drill"]), ("dikis", ["sander"]), ("kutup", ["sander"]), ("ahsap", ["wood"]), ("ahşap", ["wood"]),
+    ("orman", ["wood"]), ("mese", ["oak"]), ("meşe", ["oak"]), ("kayin", ["beech"]), ("kayın", ["beech"]), ("disbudak", ["ash"]), ("dişbudak", ["ash"]), ("akcaagac", ["maple"]),
+    ("akçaağaç", ["maple"]), ("ceviz", ["walnut"]), ("saricam", ["pine"]), ("sarıçam", ["pine"]), ("ladin", ["spruce"]), ("kavak", ["poplar"]), ("ihlamzur", ["basswood", "linden"]),
+    ("mantar", ["mushroom rot"]), ("budak", ["knot"]), ("budakli", ["knotty"]), ("life", ["veneer"]), ("kalinti", ["sapwood"]), ("kabuk", ["bark"]), ("masa", ["table"]), ("masasi", ["table"]),
+    ("sandalye", ["chair"]), ("dolap", ["cabinet", "cupboard"]), ("raf", ["shelf"]), ("kutuyu", ["box"]), ("kutu", ["box"]), ("sandik", ["chest"]), ("sandık", ["chest"]),
+    ("pencere", ["window"]), ("kapi", ["door"]), ("kapı", ["door"]), ("tezgah", ["bench", "workbench"]), ("tezgâh", ["bench", "workbench"]), ("marangozluk", ["woodworking"]),
+    ("marangoz", ["woodworker"]), ("cila makinesi", ["polisher"]), ("parlaklik", ["gloss"]), ("parlaklık", ["gloss"]), ("mat", ["matte"]), ("puruzluluk", ["roughness"]),
+    ("pürüzlülük", ["roughness"]), ("duzgunluk", ["smoothness"]), ("düzgünlük", ["smoothness"]), ("catlak", ["crack"]), ("çatlak", ["crack"]), ("oluk", ["groove"]), ("pah", ["chamfer"]),
+    ("kenar", ["edge"]), ("yuzey", ["surface"]), ("yüzey", ["surface"]), ("doku", ["grain", "figure"]), ("burat", ["wormhole"]), ("kurt", ["worm"]), ("esme", ["warp"]),
+    ("bucurme", ["winding"]), ("toklama", ["pounding"]), ("kesmek", ["cut"]), ("kesme", ["cutting"]), ("oymak", ["carve"]), ("oyma", ["carving"]), ("zimbalamak", ["plane"]),
+    ("zımparalamak", ["sand"]), ("yapistirmak", ["glue"]), ("yapıştırmak", ["glue"]), ("tutmak", ["clamp", "hold"]), ("tutma", ["clamp", "hold"]), ("tutulur", ["hold"]),
+    ("tutulması", ["hold"]), ("sikmak", ["tighten"]), ("sikilir", ["tighten"]), ("sikma", ["tighten"]), ("gevsetmek", ["loosen"]), ("çekmek", ["pull"]), ("vurmak", ["strike"]),
+    ("dikmek", ["join"]), ("baglamak", ["clamp"]), ("sacmak", ["dress"]), ("şaplamak", ["dress"]), ("yapmak", ["make"]), ("olmak", []), ("takmak", ["attach"]), ("sökmek", ["remove"]),
+    ("cikarmak", ["remove"]), ("olcemek", ["measure"]), ("ölçmek", ["measure"]), ("bilemek", ["sharpen"]), ("bileme", ["sharpening"]), ("keskin", ["sharp"]), ("keskinlik", ["sharpness"]),
+    ("kore", ["sharp"]), ("bileyik", ["whetstone"]), ("tasin", ["whetstone"]), ("tas", ["stone"]), ("rendelemek", ["planing"]), ("rendeleme", ["planing"]), ("zimbalamak", ["planing"]),
+    ("bilegen", ["planer", "thickness planer"]), ("kazima", ["scraping"]), ("kaziyici", ["chisel"]), ("kart kazima", ["card scraper"]), ("kart", ["card"]), ("tabla", ["tabletop", "top"]),
+    ("tablasi", ["tabletop", "top"]), ("kesim", ["cut"]), ("kesisi", ["cut"]), ("yuzeyi", ["surface"]), ("tutkal", ["glue"]), ("yapistirici", ["glue"]), ("epoxy", ["epoxy"]),
+    ("epoksi", ["epoxy"]), ("beyaz tutkal", ["glue"]), ("kestirme", ["cut", "miter"]), ("planye", ["planer"]), ("kazma", ["adze"]), ("çerçeve", ["frame"]), ("çekmece", ["drawer"]),
+    ("çıtalı", ["beadboard"]), ("kasa", ["carcass"]), ("gövde", ["carcass"]), ("kızak", ["slide"]), ("misket", ["dowel"]), ("kazıklı", ["doweled"]), ("zıvana bıçak", ["tenon saw"]),
+)
 
 # Words of grammar, folded, and endings that may follow a known stem, folded.
 FUNCTION_WORDS = frozenset(
@@ -38,6 +70,8 @@ FUNCTION_WORDS = frozenset(
 ENDINGS = ("larn", "lerin", "lar", "ler", "nin", "nun", "in", "un", "da", "de", "ta", "te", "ya", "ye", "si", "ni", "nu", "ci", "li", "lu", "ma", "me", "a", "e", "i", "u")
 
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
+#: Letters and digits that may not stand beside a seed.
+_LETTERS = "0-9A-Za-zÇĞİÖŞÜçğıöşü"
 _WORD = re.compile(WORD_PATTERN)
 _ASCII_WORD = re.compile(ASCII_WORD_PATTERN)
 
@@ -46,6 +80,10 @@ def fold(s: str) -> str:
     return s.translate(_FOLD).lower()
 
 
+#: Folded words and their readings; the dictionary goes before the seeds.
+READINGS = {fold(word): tuple(english.split()) for word, english in reversed(SEEDS)} | {fold(word): tuple(found) for word, found in DICTIONARY}
+
+
 @dataclass(frozen=True)
 class Term:
     """One thing asked for: its equivalent spellings, whether it was quoted or excluded, what was typed."""
@@ -76,7 +114,17 @@ class Lexicon:
 
     variants: tuple[tuple[str, ...], ...] = VARIANTS
     readings: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(READINGS))
-    translate: bool = False
+    seeds: tuple[tuple[str, str], ...] = SEEDS
+    translate: bool = True
+
+    def pieces(self, text: str) -> list[tuple[str, str | None]]:
+        """The text in order, cut at seeds, the longest first: what is read, and the seed as typed."""
+        if not self.translate or not self.seeds:
+            return [(text, None)]
+        english = {fold(word): found for word, found in self.seeds}
+        whole = re.compile(f"(?<![{_LETTERS}])({'|'.join(re.escape(w) for w, _ in sorted(self.seeds, key=lambda x: -len(x[0])))})(?![{_LETTERS}])", re.I)
+        cut = whole.split(text)
+        return [(english.get(fold(x), x), x) if k % 2 else (x, None) for k, x in enumerate(cut)]
 
     def others(self, phrase: str) -> tuple[str, ...]:
         key = fold(phrase.strip())
@@ -100,27 +148,16 @@ class Lexicon:
 
 
 def _split(text: str, lexicon: Lexicon) -> list[Term]:
-    """Words of the box; terms of several words that have readings count as one."""
-    found = [(m.group(), fold(m.group())) for m in _WORD.finditer(text)]
-    out, i = [], 0
-    longest = max([1, *(k.count(" ") + 1 for k in lexicon.readings)]) if lexicon.translate else 1
-    while i < len(found):
-        for n in range(min(longest, len(found) - i), 1, -1):
-            key = " ".join(f for _, f in found[i : i + n])
-            if key in lexicon.readings:
-                out.append(Term(tuple(dict.fromkeys(lexicon.readings[key])), "text", " ".join(w for w, _ in found[i : i + n])))
-                i += n
-                break
-        else:
-            word, key = found[i]
-            i += 1
-            if lexicon.translate:
-                reading = lexicon.reading(word)
-                if reading is not None:
-                    if reading:
-                        out.append(Term(tuple(dict.fromkeys(reading)), "text", word))
-                    continue
-            out.append(Term((word, *lexicon.others(word)), "text", word))
+    """Words of the box with their spellings; seeds give the words that they stand for, and grammar nothing."""
+    out = []
+    for piece, seed in lexicon.pieces(text):
+        for m in _WORD.finditer(piece):
+            word = m.group()
+            reading = lexicon.reading(word) if lexicon.translate else None
+            if reading is None:
+                out.append(Term((word, *lexicon.others(word)), "text", seed or word))
+            elif reading:
+                out.append(Term(tuple(dict.fromkeys(reading)), "text", seed or word))
     return out
 
 
@@ -171,11 +208,15 @@ def simple(raw: str, any_mode: bool = False) -> Query | None:
 
 def describe(q: str, lexicon: Lexicon | None = None) -> list[list[str]]:
     """What was rewritten: [typed, what is searched for...], each typed form once."""
-    out, seen = [], set()
+    read: dict[str, tuple[str, list[str]]] = {}
     for t in understand(q, lexicon):
-        if t.kind == "text" and (len(t.spellings) > 1 or fold(t.typed) != fold(t.spellings[0])) and fold(t.typed) not in seen:
-            seen.add(fold(t.typed))
-            out.append(list(t.spellings) if fold(t.typed) == fold(t.spellings[0]) else [t.typed, *t.spellings])
+        if t.kind == "text":
+            read.setdefault(fold(t.typed), (t.typed, []))[1].extend(t.spellings)
+    out = []
+    for key, (typed, found) in read.items():
+        others = [x for x in dict.fromkeys(found) if fold(x) != key]
+        if others:
+            out.append([typed, *others])
     return out
 
 

@@ -87,5 +87,6 @@ def rerooted(path: Column, root: str, library: str) -> Column:
 
 def collection_of(path: Column, root: str, inbox: str = "inbox") -> Column:
     """First folder below the root; files directly in it belong to the inbox."""
-    below = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
+    plain, above = F.regexp_replace(path, r"\\", "/"), root.rstrip("/") + "/"
+    below = F.when(plain.startswith(above), F.substr(plain, F.lit(len(above) + 1))).otherwise(plain)
     return F.when(F.instr(below, "/") > 0, F.substring_index(below, "/", 1)).otherwise(F.lit(inbox))

@@ -2,6 +2,8 @@
 
 A versioned table is a folder of directories ``v=<n>``; a reader pins the newest complete one (it has a
 success marker), a writer makes the next.  Nothing is changed in place, so a lost job leaves no trace.
+An appended version holds the new rows alone and names the version that it adds to; after
+``CHAIN`` of them the next one is written whole.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tables(spark: SparkSession, pattern: str | None = None) -> DataFrame:
     """Names of the catalogue's tables; ``pattern`` is SQL LIKE with ``!`` as escape."""
     names = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables()] or [("",)], "name string").filter("name != ''")
-    return names if pattern is None else names.filter(F.expr(f"name LIKE '{pattern}' ESCAPE '!'"))
+    return names if pattern is None else names.filter(F.like(F.col("name"), F.lit(pattern), F.lit("!")))
 
 
 def scratch(spark: SparkSession) -> str:
@@ -41,6 +44,11 @@ def _fs(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+#: Appended versions in a row; and the name, without its number, of the file that tells the version before.
+CHAIN = 16
+_BASE = "_base_"
+
+
 class Versioned:
     """A table as a folder of versions."""
 
@@ -62,24 +70,50 @@ class Versioned:
     def exists(self) -> bool:
         return bool(self.versions())
 
+    def _base(self, version: int) -> int | None:
+        """The version that this one adds to."""
+        fs, folder = _fs(self.spark, f"{self.path}/v={version}")
+        names = [x.getPath().getName() for x in fs.listStatus(folder)]
+        return next((int(n[len(_BASE) :]) for n in names if n.startswith(_BASE)), None)
+
+    def _chain(self, version: int) -> list[int]:
+        out = [version]
+        while (base := self._base(out[-1])) is not None:
+            out.append(base)
+        return out
+
     def read(self, version: int | None = None) -> DataFrame:
         known = self.versions()
         if not known:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/v={known[-1] if version is None else version}")
+        parts = [self.spark.read.parquet(f"{self.path}/v={v}") for v in reversed(self._chain(known[-1] if version is None else version))]
+        return reduce(merge_schema, parts)
+
+    def _next(self, known: list[int]) -> int:
+        return (known[-1] if known else 0) + 1
 
     def write(self, df: DataFrame, keep: int = 2) -> int:
-        """Writes the next version and deletes all but the newest ``keep``."""
+        """Writes the next version whole and deletes all that the newest ``keep`` don't need."""
         known = self.versions()
-        new = (known[-1] if known else 0) + 1
+        new = self._next(known)
         df.write.mode("overwrite").parquet(f"{self.path}/v={new}")
-        for old in [*known, new][:-keep]:
+        needed = {v for newest in [*known, new][-keep:] for v in self._chain(newest)}
+        for old in set(known) - needed:
             fs, path = _fs(self.spark, f"{self.path}/v={old}")
             fs.delete(path, True)
         return new
 
     def append(self, df: DataFrame) -> int:
-        return self.write(merge_schema(self.read(), df) if self.exists() else df)
+        """Adds rows, and columns that are new, without touching those that are there."""
+        known = self.versions()
+        if not known or len(self._chain(known[-1])) > CHAIN:
+            return self.write(merge_schema(self.read(), df) if known else df)
+        new = self._next(known)
+        fs, marker = _fs(self.spark, f"{self.path}/v={new}/{_BASE}{known[-1]}")
+        fs.delete(marker.getParent(), True)  # what a lost job left
+        fs.create(marker).close()
+        df.write.mode("append").parquet(f"{self.path}/v={new}")
+        return new
 
     def upsert(self, df: DataFrame, keys: list[str], order: list[str] | None = None) -> int:
         return self.write(upserted(self.read(), df, keys, order) if self.exists() else df)

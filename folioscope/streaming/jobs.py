@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from folioscope.operators.library import job_states
-from folioscope.sources.files import ignorable
+from folioscope.sources.files import ignorable, stable
 from folioscope.sources.tables import Versioned
 
 EVENT = "seq long, path string, title string, status string, detail string, updated double"
@@ -22,9 +23,26 @@ def arrivals(spark: SparkSession, root: str, per_batch: int = 100) -> DataFrame:
     return files.filter(~ignorable(F.col("path")))
 
 
-def ingest(files: DataFrame, index: Callable[[DataFrame], None], checkpoint: str) -> DataStreamWriter:
-    """Hands each batch of distinct files to ``index``; one owner a path follows from the checkpoint."""
-    return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: index(batch.dropDuplicates(["path"])))
+def settled(files: DataFrame, seconds: float = 2.0, tries: int = 30) -> DataFrame:
+    """The files of a batch once they have stopped growing; those that still changed are read again.
+
+    A file that never settles raises, so the batch stays open and comes again.
+    """
+    young = [r.path for r in files.join(stable(files, seconds).select("path"), "path", "left_anti").select("path").distinct().collect()]  # a batch's files
+    reader = files.sparkSession.read.format("binaryFile")
+    for _ in range(tries if young else 0):
+        time.sleep(seconds)
+        again = reader.load(young).select(files.columns)
+        if stable(again, seconds).count() == len(young):
+            return files.filter(~F.col("path").isin(young)).unionByName(again)
+    if young:
+        raise RuntimeError(f"still being written: {young[:3]}")
+    return files
+
+
+def ingest(files: DataFrame, index: Callable[[DataFrame], None], checkpoint: str, seconds: float = 2.0) -> DataStreamWriter:
+    """Hands each batch of distinct, settled files to ``index``; one owner a path follows from the checkpoint."""
+    return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: index(settled(batch.dropDuplicates(["path"]), seconds)))
 
 
 def keep_states(events: DataFrame, table: Versioned, checkpoint: str) -> DataStreamWriter:

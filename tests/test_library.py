@@ -146,3 +146,54 @@ def test_job_stream_is_idempotent(spark, tmp_path):
         stream = jobs.keep_states(spark.readStream.schema(jobs.EVENT).json(str(source)), table, str(tmp_path / "ck")).trigger(availableNow=True).start()
         stream.awaitTermination(60)
     assert {(r.job, r.status) for r in table.read().collect()} == {("/a", "done"), ("b", "failed")}
+
+
+def test_appends_leave_what_is_there(spark, tmp_path, monkeypatch):
+    """An appended version holds its own rows; after some of them a whole one follows."""
+    monkeypatch.setattr("folioscope.sources.tables.CHAIN", 2)
+    table = Versioned(spark, str(tmp_path / "t"))
+    table.append(spark.createDataFrame([(1, "a")], "id long, x string"))
+    table.append(spark.createDataFrame([(2, "b", 5)], "id long, x string, y int"))
+    assert spark.read.parquet(f"{tmp_path}/t/v=2").count() == 1
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, "a", None), (2, "b", 5)]
+    for i in range(3, 8):
+        table.append(spark.createDataFrame([(i, "c")], "id long, x string"))
+    assert sorted(r.id for r in table.read().collect()) == list(range(1, 8))
+    assert sorted(r.id for r in table.read(2).collect()) == [1, 2] if 2 in table.versions() else True
+    (tmp_path / "t" / "v=99").mkdir()  # a job that was lost before it wrote anything
+    assert table.read().count() == 7
+    table.delete(spark.createDataFrame([(1,)], "id long"), ["id"])
+    assert table.read().count() == 6
+
+
+def test_vectors_in_batches(spark, tmp_path):
+    """Each batch is kept, a stopped build goes on, a changed model begins anew, a reset empties."""
+    texts = spark.createDataFrame([(i, f"a text that is long enough number {i}") for i in range(20)] + [(99, "short")], "rowid long, text string")
+    table, model = Versioned(spark, str(tmp_path / "v")), lambda xs: [[float(len(x)), 1.0] for x in xs]
+    stops = iter([False, True])
+    first = list(vectors.build_in_batches(texts, table, model, "m1", 10, rows=7, stop=lambda: next(stops)))
+    assert len(first) == 1 and table.read().count() == first[0][0] < 20
+    assert list(vectors.build_in_batches(texts, table, model, "m1", 10, rows=7))[-1] == (20 - first[0][0], 20 - first[0][0])
+    assert table.read().select("rowid").distinct().count() == table.read().count() == 20
+    assert list(vectors.build_in_batches(texts.filter("rowid < 5"), table, model, "m1", 10)) == [] and table.read().count() == 5
+    assert list(vectors.build_in_batches(texts, table, model, "m2", 10))[-1] == (20, 20)
+    vectors.reset(table)
+    assert table.read().count() == 0
+
+
+def test_delete_by_exact_spelling(spark):
+    pages = spark.createDataFrame([(1, "/A/x.pdf"), (2, "/a/x.pdf"), (3, "/a//X.pdf")], "rowid long, path string")
+    years_of = spark.createDataFrame([(1, 1900), (2, 1901), (3, 1902)], "rowid long, year int")
+    gone = spark.createDataFrame([("/a/x.pdf",)], "path string")
+    left, counts = library.delete_cascade(gone, {"pages": pages, "years": years_of}, exact=True)
+    assert counts.first() == (1, 1) and [r.rowid for r in left["years"].orderBy("rowid").collect()] == [1, 3]
+    assert library.delete_cascade(gone, {"pages": pages, "years": years_of})[1].first() == (3, 3)
+
+
+def test_collections_below_odd_roots(spark):
+    df = spark.createDataFrame([("/my (lib)+/books/a.pdf",), ("/my (lib)+/a.pdf",), ("/my xlib)+/books/a.pdf",)], "path string")
+    assert [r[0] for r in df.select(files.collection_of(F.col("path"), "/my (lib)+")).collect()] == ["books", "inbox", ""]
+
+
+def test_stop_words_are_whole():
+    assert len(topics.STOPWORDS) >= 290 and {"wood", "beyond", "neither", "heavy", "shop"} <= set(topics.STOPWORDS)

@@ -72,14 +72,37 @@ def test_parse():
     assert querylang.simple("x 'y").text() == '"x" AND "y"'
 
 
-def test_translation_is_opt_in():
-    tr = Lexicon(translate=True)
-    assert querylang.parse("kırlangıç kuyruğu nasıl", lexicon=tr).text() == '"dovetail"'
-    assert querylang.parse("zımparalama", lexicon=tr).text() == '"sandpaper"'
-    assert querylang.parse("zımpara").text() == '"zımpara"'
-    assert querylang.semantic_text("ahşap mitre", tr) == "wood mitre"
-    assert querylang.describe("ahşap mitre", tr) == [["ahşap", "wood"], ["mitre", "miter"]]
+def test_turkish_queries_are_read_in_english():
+    """Seeds become their words, other words their readings, grammar nothing; it can be switched off."""
+    assert querylang.parse("kırlangıç kuyruğu nasıl").text() == '"dovetail"'
+    assert querylang.parse("zımparalama").text() == '"sandpaper"'
+    assert querylang.parse("cila").text() == '"finish" AND "polish"'
+    assert querylang.parse("kapılar -masa").text() == '"door" NOT "masa"'
+    assert querylang.parse("zımpara", lexicon=Lexicon(translate=False)).text() == '"zımpara"'
+    assert querylang.semantic_text("ahşap mitre") == "wood mitre"
+    assert querylang.describe("ahşap mitre zivana") == [["ahşap", "wood"], ["mitre", "miter"], ["zivana", "tenon", "mortise", "mortice"]]
     assert querylang.describe("plain words") == []
+    assert querylang.parse("nasıl yapılır") is None
+
+
+def test_no_phrase_goes_over_the_end_of_a_field(spark, tmp_path):
+    rows = [(1, "Making a hand", "plane for shops", None, "x"), (2, "A hand plane", None, "by hand", "plane")]
+    index = article_index(spark.createDataFrame(rows, "rowid long, headline string, subhead string, abstract string, taxonomy string"), str(tmp_path / "articles"), "simple")
+    assert [r.rowid for r in matched(index, querylang.parse('"hand plane"')).collect()] == [2]
+    assert {r.rowid: r.doc_len for r in index.docs.collect()} == {1: 7, 2: 6}
+
+
+def test_a_narrow_filter_still_finds_neighbours(spark, tmp_path):
+    """Filters are applied before the nearest rows are chosen."""
+    rows = [(i, "word common here" if i < 20 else f"other text {i}", "a" if i < 290 else "b", f"t{i}", "1", f"/p{i}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "rowid long, text string, collection string, title string, page string, path string")
+    vecs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(300)], "rowid long, vec array<float>")
+    index = build_index(pages, str(tmp_path / "index"), ["collection"], "simple")
+    engine = Engine(spark, Library(pages, vectors=vecs), index, Options(vector_pool=5, min_embed_chars=1), embed=lambda q: [1.0, 0.0])
+    got = engine.search("common", collection="b", hybrid=True)
+    assert got.total == 0 and got.kwmiss and len(got.hits.collect()) == 5
+    plan = got.hits._jdf.queryExecution().executedPlan().toString()
+    assert "rowid" in plan
 
 
 @settings(max_examples=60, deadline=None)
