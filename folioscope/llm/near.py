@@ -202,7 +202,7 @@ class Linker:
         self.rows = self._buckets()
 
     def _buckets(self) -> DataFrame:
-        """key, id, t, centre, centre_t: the members of all buckets with several."""
+        """key, id, t, centre, centre_t, hot: the members of all buckets with several."""
         rule = self.rule
         rows = self.reps.select(F.explode(F.array_distinct("bands")).alias("key"), "id", "t")
         shared = rows.groupBy("key").agg(F.min("id").alias("centre"), F.min_by("t", "id").alias("centre_t"), F.count("*").alias("members")).filter("members > 1")
@@ -210,9 +210,14 @@ class Linker:
         # at most total / limit buckets have more than limit members, so the hot ones are few enough to be sent to all
         total = shared.agg(F.sum("members")).first()[0] or 0
         limit = max(rule.hot_members, total // rule.hot_keys)
-        hot, cool = F.broadcast(shared.filter(F.col("members") > limit)), shared.filter(F.col("members") <= limit)
-        both = rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(cool, "key"))
-        return self.shelf.put(both.select("key", "id", "t", "centre", "centre_t"))
+        shared = shared.withColumn("hot", F.col("members") > limit)
+        hot, self.hot = F.broadcast(shared.filter("hot")), F.broadcast(shared.filter("hot").select("key"))
+        both = rows.join(hot, "key").unionByName(rows.join(self.hot, "key", "left_anti").join(shared.filter("not hot"), "key"))
+        return self.shelf.put(both.select("key", "id", "t", "centre", "centre_t", "hot"))
+
+    def _with(self, rows: DataFrame, by_key: DataFrame) -> DataFrame:
+        """Members joined with one row for each bucket; that of a hot one is sent to all, so no task gets its members."""
+        return rows.filter("hot").join(F.broadcast(by_key.join(self.hot, "key", "left_semi")), "key").unionByName(rows.filter("not hot").join(by_key, "key"))
 
     def _same_id(self) -> DataFrame | None:
         """Links (a, b) between an id of several texts and the nodes of their classes; None where there is none."""
@@ -242,7 +247,7 @@ class Linker:
     def _placed(self, parts: DataFrame) -> DataFrame:
         """The members of the buckets with their components, ids without links being their own."""
         named = parts.withColumnRenamed("node", "id")
-        return self.shelf.put(self.rows.join(named, "id", "left").select("key", "id", "t", "centre", F.coalesce("component", "id").alias("component")))
+        return self.shelf.put(self.rows.join(named, "id", "left").select("key", "id", "t", "centre", "hot", F.coalesce("component", "id").alias("component")))
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links that hold the components together, and the components (node, component)."""
@@ -257,12 +262,12 @@ class Linker:
         last = shelf.put(last.filter(F.col("lo") != F.col("top.component")).select("key", F.col("top.component").alias("other"), F.col("top.id").alias("far"), F.col("top.t").alias("far_t")))
         if last.isEmpty():
             return links, parts
-        apart = placed.join(last, "key").filter(F.col("component") != F.col("other"))
+        apart = self._with(placed, last).filter(F.col("component") != F.col("other"))
         links = shelf.put(links.unionByName(self._checked(apart.select(*pair("far", "far_t")).distinct())))
         parts = shelf.put(components(links, shelf))
         placed = self._placed(parts)
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-        loose = shelf.put(placed.join(mixed, "key").filter("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
+        mixed = shelf.put(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key"))
+        loose = shelf.put(self._with(placed, mixed).filter("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
         if loose.isEmpty():
             return links, parts
         more = self._blocks(components(loose, shelf), parts.withColumnRenamed("node", "id"))
