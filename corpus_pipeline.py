@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread
 as the next one's docs.  All but the last return the columns of ``documents``.
 
-1. language: documents without a letter, or in no learned language, go.
+1. language: documents without a letter, or with a probability below 0.3 for every learned language, go.
 2. near_duplicates: the document with the smallest id of each near-duplicate group (similarity 0.8) stays.
 3. decontaminate: benchmark passages are cut out; documents with passages of two items or more, or hit
    in over half of their words, go.
