@@ -254,6 +254,7 @@ def passages(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     both = around.join(keepers, "digest")
     compare = F.arrow_udf(_compared, "struct<l:long,r:long>")("before", "after", "k_before", "k_after")
     agreed = shelf.put(both.select("digest", "own", "doc_id", "tag", "at", compare.alias("c"), "keeper").select("digest", "own", "doc_id", "tag", "at", "c.l", "c.r", "keeper"))
+    shelf.drop(around, keepers)
     # the keeper's own places reach as far as the best of the others does
     best = agreed.filter("not own").groupBy("digest").agg(F.max("l").alias("best_l"), F.max("r").alias("best_r"))
     nobody = F.lit(None).cast("long").alias("keeper")
