@@ -72,7 +72,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 class Shelf:
     """Intermediate tables, written to the shared folder so that lineage ends there.
 
-    ``put`` writes and rereads a frame; ``drop`` deletes a table that is no longer read, ``clear`` all.
+    ``put`` writes and rereads a frame; ``drop`` deletes a table that is no longer read, ``sweep`` the
+    shuffle files of queries that are over, ``clear`` all.
     """
 
     def __init__(self, spark: SparkSession):
@@ -95,12 +96,15 @@ class Shelf:
                 hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
                 hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
-    def clear(self) -> None:
-        """Deletes all tables, and lets Spark delete the shuffle files of queries that are over."""
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of queries that are over; it does so as their plans are collected."""
         import gc
 
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         gc.collect()
-        jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def clear(self) -> None:
+        """Deletes all tables, and lets Spark delete the shuffle files of queries that are over."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.sweep()

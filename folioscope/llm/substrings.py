@@ -231,10 +231,14 @@ def _gathered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     spans = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
     kind = pa.struct([("repeated", spans), ("lost", spans), ("links", pa.list_(pa.int64()))])
     for batch in batches:
-        count, flat = batch.value_lengths().to_numpy(), batch.flatten()
-        rows = list(zip(*(flat.field(c).to_pylist() for c in ("at", "l", "r", "keeper")), strict=True))
-        ends = np.cumsum(count).tolist()
-        yield pa.array([_found(rows[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)], kind)
+        parts = []
+        for part in slices(batch):
+            count, flat = part.value_lengths().to_numpy(), part.flatten()
+            rows = list(zip(*(flat.field(c).to_pylist() for c in ("at", "l", "r", "keeper")), strict=True))
+            ends = np.cumsum(count).tolist()
+            parts.append(pa.array([_found(rows[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)], kind))
+        yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+    release_memory()
 
 
 def passages(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
@@ -246,8 +250,10 @@ def passages(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     sample = F.struct("at", "digest", (F.col("doc_id") == F.col("first")).alias("own"))
     hits = shelf.put(own.join(shared, "digest").groupBy("doc_id", "tag").agg(F.collect_set(sample).alias("u")))
     shelf.drop(own, shared)
+    shelf.sweep()
     around = shelf.put(hits.join(_keyed(docs), ["doc_id", "tag"]).select("doc_id", "tag", "text", "u").mapInArrow(_contexts, _CONTEXT))
     shelf.drop(hits)
+    shelf.sweep()
     place = F.struct("tag", "at")
     first = {"doc_id": "keeper", "before": "k_before", "after": "k_after"}
     keepers = shelf.put(around.filter("own").groupBy("digest").agg(*(F.min_by(c, place).alias(n) for c, n in first.items())))
@@ -255,6 +261,7 @@ def passages(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     compare = F.arrow_udf(_compared, "struct<l:long,r:long>")("before", "after", "k_before", "k_after")
     agreed = shelf.put(both.select("digest", "own", "doc_id", "tag", "at", compare.alias("c"), "keeper").select("digest", "own", "doc_id", "tag", "at", "c.l", "c.r", "keeper"))
     shelf.drop(around, keepers)
+    shelf.sweep()
     # the keeper's own places reach as far as the best of the others does
     best = agreed.filter("not own").groupBy("digest").agg(F.max("l").alias("best_l"), F.max("r").alias("best_r"))
     nobody = F.lit(None).cast("long").alias("keeper")
