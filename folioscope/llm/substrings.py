@@ -9,9 +9,9 @@ words of similarity 0.8 (one changed word in about 45), collide for certain; twe
 collisions rare however large the corpus is.
 
 Paragraphs that share a band are joined with the one of the smallest document, the keeper, never with
-each other.  Both sides carry ``REACH`` words around the shingle, which are compared word by word: the
-equal stretch is found exactly, and past a gap of ``GAP`` differing words at most a second one of five
-words or more.  Stretches of a document that touch, or have ``GAP`` words or fewer between them, are a
+each other.  Samples that follow the keeper's without a hole make up a run of equal words.  Both sides of
+a run carry ``REACH`` words around it, which are compared word by word: the equal stretch is found
+exactly, and past a gap of ``GAP`` differing words at most a second one of five words or more.  Stretches of a document that touch, or have ``GAP`` words or fewer between them, are a
 passage if they are ``PASSAGE`` words long together and their five-word shingles have a Jaccard
 similarity of 0.8 to the other side's.
 
@@ -112,11 +112,37 @@ def bands(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc_id long, tag long, at int, digest long")
 
 
-_CONTEXT = "digest long, own boolean, doc_id long, tag long, at int, before binary, after binary"
+def _merged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Samples of a text that follow its keeper's without a hole between them, as runs (lo, hi, keeper, k_tag, k_lo).
+
+    Their shingles touch, so all words of a run are equal, and only its two ends are left to compare.
+    """
+    for batch in batches:
+        parts = []
+        for part in slices(batch):
+            flat, row = part.flatten(), np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
+            at, keeper, k_tag, k_at = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "keeper", "k_tag", "k_at"))
+            order = np.lexsort((at, at - k_at, k_tag, keeper, row))
+            keys = [c[order] for c in (row, keeper, k_tag, at - k_at)]
+            at = at[order]
+            begins = np.ones(len(at), bool)
+            begins[1:] = np.any([c[1:] != c[:-1] for c in keys], 0) | (np.diff(at) > SHINGLE)
+            first = np.flatnonzero(begins)
+            last = np.append(first[1:], len(at))[: len(first)] - 1
+            runs = [at[first], at[last] + np.int32(SHINGLE), keys[1][first], keys[2][first], k_at[order][first]]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(keys[0][first], minlength=len(part)))))
+            parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in runs], ["lo", "hi", "keeper", "k_tag", "k_lo"])))
+        if parts:
+            yield pa.concat_arrays(parts)
+    release_memory()
+
+
+_RUN = "lo:int,hi:int,keeper:long,k_tag:long,k_lo:int"
+_CONTEXT = "doc_id long, tag long, lo int, hi int, keeper long, k_tag long, k_lo int, before binary, after binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``REACH`` words before (nearest first) and behind the samples ``u`` (at, digest, own) of each text.
+    """``REACH`` words before (nearest first) and behind the runs ``u`` of each text.
 
     A word is four bytes of its hash; zero stands for no word.
     """
@@ -128,16 +154,16 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code = np.append((hashes.astype(np.uint32) | np.uint32(1)).astype("<u4"), np.zeros(1, "<u4"))
             part = found.slice(lo, hi - lo)
             count, flat = part.value_lengths().to_numpy(), part.flatten()
-            at = flat.field("at").to_numpy()
+            begin, end = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
             text = np.repeat(np.arange(hi - lo), count)
-            start, n = first[text] + at, np.diff(first)[text]
+            start, n = first[text], np.diff(first)[text]
             sides = []
-            for room, place in ((at, start[:, None] - 1 - steps), (n - at - SHINGLE, start[:, None] + SHINGLE + steps)):
+            for room, place in ((begin, (start + begin)[:, None] - 1 - steps), (n - end, (start + end)[:, None] + steps)):
                 around = code[np.where(steps < room[:, None], place, len(code) - 1)]
-                ends = pa.py_buffer(np.arange(0, 4 * REACH * len(at) + 1, 4 * REACH, dtype=np.int32))
-                sides.append(pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(around.tobytes())]))
+                ends = pa.py_buffer(np.arange(0, 4 * REACH * len(begin) + 1, 4 * REACH, dtype=np.int32))
+                sides.append(pa.Array.from_buffers(pa.binary(), len(begin), [None, ends, pa.py_buffer(around.tobytes())]))
             take = lambda c, lo=lo, hi=hi, text=text: b.column(c).slice(lo, hi - lo).take(pa.array(text))  # noqa: E731, B023
-            columns = [flat.field("digest"), flat.field("own"), take("doc_id"), take("tag"), pa.array(at, pa.int32()), *sides]
+            columns = [take("doc_id"), take("tag"), *(flat.field(c) for c in ("lo", "hi", "keeper", "k_tag", "k_lo")), *sides]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _CONTEXT.split(", ")])
     release_memory()
 
@@ -166,13 +192,13 @@ def _compared(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(_agreement(rows[0], rows[2])), pa.array(_agreement(rows[1], rows[3]))], ["l", "r"])
 
 
-def _pieces(at: int, left: int, right: int) -> list[tuple[int, int]]:
-    """Word ranges that agree around a sample."""
-    out = [(at - (left >> 16 & 0xFFFF), at + SHINGLE + (right >> 16 & 0xFFFF))]
+def _pieces(lo: int, hi: int, left: int, right: int) -> list[tuple[int, int]]:
+    """Word ranges that agree in and around a run."""
+    out = [(lo - (left >> 16 & 0xFFFF), hi + (right >> 16 & 0xFFFF))]
     if m := left & 0xFFFF:
-        out.append((at - (left >> 32), at - (left >> 32) + m))
+        out.append((lo - (left >> 32), lo - (left >> 32) + m))
     if m := right & 0xFFFF:
-        end = at + SHINGLE + (right >> 32)
+        end = hi + (right >> 32)
         out.append((end - m, end))
     return out
 
@@ -214,10 +240,21 @@ def _within(spans: list[tuple[int, int]], parts: list[tuple[int, int]]) -> list[
     return out
 
 
-def _found(rows: list[tuple[int, int, int, int | None]]) -> dict:
-    """Repeated and lost stretches of one text, and the earlier documents that hold the lost ones."""
-    found = [(_pieces(at, left, right), keeper) for at, left, right, keeper in rows]
-    repeated = passages_of([p for pieces, _ in found for p in pieces])
+def _common(spans: list[tuple[int, int]], parts: list[tuple[int, int]], shift: int) -> list[tuple[int, int]]:
+    """The words of the spans that are in the parts when they are moved by ``shift``."""
+    cut = ((max(lo, a + shift), min(hi, b + shift)) for lo, hi in spans for a, b in parts)
+    return [(lo, hi) for lo, hi in cut if lo < hi]
+
+
+def _found(rows: list[tuple[int, int, int, int, int | None, int | None]]) -> dict:
+    """Repeated and lost stretches of one text, and the earlier documents that hold the lost ones.
+
+    A row with ``k_lo`` is a second place in the keeper itself; it counts as far as the first one is shared.
+    """
+    found = [(_pieces(lo, hi, left, right), keeper) for lo, hi, left, right, keeper, k_lo in rows if k_lo is None]
+    shared = _union([p for pieces, _ in found for p in pieces])
+    again = [p for lo, hi, left, right, _, k_lo in rows if k_lo is not None for p in _common(_pieces(lo, hi, left, right), shared, lo - k_lo)]
+    repeated = passages_of(shared + again)
     lost = _within(_union([p for pieces, keeper in found if keeper is not None for p in pieces]), repeated)
     links = {keeper for pieces, keeper in found if keeper is not None and _within(sorted(pieces), repeated)}
     pack = lambda spans: [{"lo": lo, "hi": hi} for lo, hi in spans]
@@ -234,7 +271,7 @@ def _gathered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parts = []
         for part in slices(batch):
             count, flat = part.value_lengths().to_numpy(), part.flatten()
-            rows = list(zip(*(flat.field(c).to_pylist() for c in ("at", "l", "r", "keeper")), strict=True))
+            rows = list(zip(*(flat.field(c).to_pylist() for c in ("lo", "hi", "l", "r", "keeper", "k_lo")), strict=True))
             ends = np.cumsum(count).tolist()
             parts.append(pa.array([_found(rows[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)], kind))
         yield pa.concat_arrays(parts) if parts else pa.array([], kind)
@@ -247,27 +284,40 @@ def passages(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     own = shelf.put(bands(docs))
     # written down, so that joins with them have exchanges of their own, which adaptive execution can split
     shared = shelf.put(own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first != last").drop("last"))
-    sample = F.struct("at", "digest", (F.col("doc_id") == F.col("first")).alias("own"))
-    hits = shelf.put(own.join(shared, "digest").groupBy("doc_id", "tag").agg(F.collect_set(sample).alias("u")))
+    hits = shelf.put(own.join(shared, "digest"))
     shelf.drop(own, shared)
     shelf.sweep()
-    around = shelf.put(hits.join(_keyed(docs), ["doc_id", "tag"]).select("doc_id", "tag", "text", "u").mapInArrow(_contexts, _CONTEXT))
-    shelf.drop(hits)
+    first = hits.filter("doc_id = first").groupBy("digest").agg(F.min(F.struct("tag", "at")).alias("k"))
+    keepers = shelf.put(first.select("digest", F.col("k.tag").alias("k_tag"), F.col("k.at").alias("k_at")))
+    others = hits.join(keepers, "digest").filter("doc_id != first or tag != k_tag or at != k_at")
+    sample = F.struct("at", F.col("first").alias("keeper"), "k_tag", "k_at")
+    merged = F.arrow_udf(_merged, f"array<struct<{_RUN}>>")
+    runs = shelf.put(others.groupBy("doc_id", "tag").agg(F.collect_set(sample).alias("u")).select("doc_id", "tag", F.inline(merged("u"))))
+    shelf.drop(hits, keepers)
+    shelf.sweep()
+    # the keepers' places are asked for in the same reading of the texts
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("keeper", "long"), ("k_tag", "long"), ("k_lo", "int"))]
+    places = runs.select(F.col("keeper").alias("doc_id"), F.col("k_tag").alias("tag"), F.col("k_lo").alias("lo"), (F.col("k_lo") + F.col("hi") - F.col("lo")).alias("hi")).distinct()
+    asked = shelf.put(runs.unionByName(places.select("*", *nothing)).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "hi", "keeper", "k_tag", "k_lo")).alias("u")))
+    shelf.drop(runs)
+    around = shelf.put(asked.join(_keyed(docs), ["doc_id", "tag"]).select("doc_id", "tag", "text", "u").mapInArrow(_contexts, _CONTEXT))
+    shelf.drop(asked)
     shelf.sweep()
-    place = F.struct("tag", "at")
-    first = {"doc_id": "keeper", "before": "k_before", "after": "k_after"}
-    keepers = shelf.put(around.filter("own").groupBy("digest").agg(*(F.min_by(c, place).alias(n) for c, n in first.items())))
-    both = around.join(keepers, "digest")
+    renamed = {"doc_id": "keeper", "tag": "k_tag", "lo": "k_lo", "hi": "k_hi", "before": "k_before", "after": "k_after"}
+    kept = shelf.put(around.filter("keeper is null").dropDuplicates(["doc_id", "tag", "lo", "hi"]).select(*(F.col(c).alias(n) for c, n in renamed.items())))
+    mine = around.filter("keeper is not null").withColumn("k_hi", F.col("k_lo") + F.col("hi") - F.col("lo"))
     compare = F.arrow_udf(_compared, "struct<l:long,r:long>")("before", "after", "k_before", "k_after")
-    agreed = shelf.put(both.select("digest", "own", "doc_id", "tag", "at", compare.alias("c"), "keeper").select("digest", "own", "doc_id", "tag", "at", "c.l", "c.r", "keeper"))
-    shelf.drop(around, keepers)
+    keys = ["doc_id", "tag", "lo", "hi", "keeper", "k_tag", "k_lo", "k_hi"]
+    agreed = shelf.put(mine.join(kept, ["keeper", "k_tag", "k_lo", "k_hi"]).select(*keys, compare.alias("c")).select(*keys, "c.l", "c.r"))
+    shelf.drop(around, kept)
     shelf.sweep()
-    # the keeper's own places reach as far as the best of the others does
-    best = agreed.filter("not own").groupBy("digest").agg(F.max("l").alias("best_l"), F.max("r").alias("best_r"))
-    nobody = F.lit(None).cast("long").alias("keeper")
-    kept = agreed.filter("own").join(best, "digest").select("doc_id", "tag", "at", F.least("l", "best_l").alias("l"), F.least("r", "best_r").alias("r"), nobody)
-    given = agreed.filter("not own").select("doc_id", "tag", "at", "l", "r", "keeper")
-    grouped = given.unionByName(kept).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "l", "r", "keeper")).alias("u"))
+    # the keeper's places reach as far as the best of the others does, its own second ones as far as the first
+    own_place, same_text = F.col("keeper") == F.col("doc_id"), F.col("tag") == F.col("k_tag")
+    reach = lambda c: F.when(own_place & ~same_text, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c)
+    given = agreed.select("doc_id", "tag", "lo", "hi", reach("l"), reach("r"), F.when(~own_place, F.col("keeper")).alias("keeper"), F.when(own_place & same_text, F.col("k_lo")).alias("k_lo"))
+    best = agreed.filter(~own_place).groupBy("keeper", "k_tag", "k_lo", "k_hi").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    firsts = best.select(F.col("keeper").alias("doc_id"), F.col("k_tag").alias("tag"), F.col("k_lo").alias("lo"), F.col("k_hi").alias("hi"), "l", "r", *nothing[:1], *nothing[2:])
+    grouped = given.unionByName(firsts).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi", "l", "r", "keeper", "k_lo")).alias("u"))
     found = grouped.withColumn("x", F.arrow_udf(_gathered, f"struct<repeated:{_SPANS},lost:{_SPANS},links:array<long>>")("u"))
     return found.select("doc_id", "tag", "x.*").filter(F.size("repeated") > 0)
 
