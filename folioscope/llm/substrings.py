@@ -315,8 +315,12 @@ def passages(docs: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     own_place, same_text = F.col("keeper") == F.col("doc_id"), F.col("tag") == F.col("k_tag")
     reach = lambda c: F.when(own_place & ~same_text, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c)
     given = agreed.select("doc_id", "tag", "lo", "hi", reach("l"), reach("r"), F.when(~own_place, F.col("keeper")).alias("keeper"), F.when(own_place & same_text, F.col("k_lo")).alias("k_lo"))
-    best = agreed.filter(~own_place).groupBy("keeper", "k_tag", "k_lo", "k_hi").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    firsts = best.select(F.col("keeper").alias("doc_id"), F.col("k_tag").alias("tag"), F.col("k_lo").alias("lo"), F.col("k_hi").alias("hi"), "l", "r", *nothing[:1], *nothing[2:])
+    exact = lambda c: F.shiftright(c, 16).bitwiseAND(0xFFFF)
+    plain = lambda c: F.max(exact(c) * (2**32 + 2**16)).alias(f"plain_{c}")
+    best = agreed.filter(~own_place).groupBy("keeper", "k_tag", "k_lo", "k_hi").agg(F.max("l").alias("l"), F.max("r").alias("r"), plain("l"), plain("r"))
+    # the one that reaches furthest may have its gap where another one has none
+    reached = F.inline(F.array(F.struct("l", "r"), F.struct(F.col("plain_l").alias("l"), F.col("plain_r").alias("r"))))
+    firsts = best.select("keeper", "k_tag", "k_lo", "k_hi", reached).select(F.col("keeper").alias("doc_id"), F.col("k_tag").alias("tag"), F.col("k_lo").alias("lo"), F.col("k_hi").alias("hi"), "l", "r", *nothing[:1], *nothing[2:])
     grouped = given.unionByName(firsts).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "hi", "l", "r", "keeper", "k_lo")).alias("u"))
     found = grouped.withColumn("x", F.arrow_udf(_gathered, f"struct<repeated:{_SPANS},lost:{_SPANS},links:array<long>>")("u"))
     return found.select("doc_id", "tag", "x.*").filter(F.size("repeated") > 0)
