@@ -173,3 +173,28 @@ c AS (SELECT term, count(*) AS df FROM g GROUP BY term HAVING count(*) >= 4),
 f AS (SELECT term, df FROM c WHERE term NOT IN ('with', 'with with') AND (term LIKE '% %' OR left(term, 4) <> 'with'))
 SELECT term, df FROM (SELECT term, df, CASE WHEN term LIKE '% %' THEN term ELSE {_light_stem('term')} END AS family FROM f) QUALIFY row_number() OVER (PARTITION BY family ORDER BY df DESC, len(term) DESC, term) = 1
 ORDER BY df DESC, len(term) DESC, term LIMIT 30"""
+
+SQL["search_form"] = _best([["with"], ["from"], ["of the"], ["this", "that"]], ["which"])
+SQL["search_simple"] = _best([["of the"], ["with"]])
+SQL["search_simple_any"] = _best([["with", "from"]])
+SQL["search_expanded"] = _best([["colour", "color", "with"]])
+SQL["rewritten_queries"] = """SELECT * FROM (VALUES ('colour chart', 'colour > color', 'colour chart'), ('plain words', '', 'plain words'), ('gönye', 'gönye > miter > mitre', 'miter')) v(typed, rewritten, asked)"""
+SQL["page_text"] = "SELECT source AS title, lang AS collection, CAST(doc_id AS VARCHAR) AS page, md5(text) AS digest FROM documents WHERE doc_id = 42"
+SQL["page_terms"] = "SELECT source AS title, CAST(doc_id AS VARCHAR) AS page, array_to_string(regexp_extract_all(text, '[0-9A-Za-zÇĞİÖŞÜçğıöşüÂâÎîÛû][0-9A-Za-zÇĞİÖŞÜçğıöşüÂâÎîÛû''\\-]*')[1:12], ' ') AS terms FROM documents WHERE doc_id = 42"
+SQL["ascii_tokens"] = "SELECT doc_id AS rowid, CAST(len(regexp_extract_all(lower(text), '[0-9A-Za-z][0-9A-Za-z''\\-]*')) AS INTEGER) AS n FROM documents"
+_NAMES = """n AS (SELECT doc_id AS id, '/Lib/' || lang || CASE WHEN doc_id % 2 = 0 THEN '\\' ELSE '//' END || source || CASE WHEN doc_id % 3 = 0 THEN ' (1)' ELSE '' END || '.pdf' AS path FROM documents),
+k AS (SELECT id, path, lower(replace(replace(path, '\\', '/'), '//', '/')) AS key FROM n)"""
+SQL["stored_paths"] = f"WITH {_NAMES} SELECT DISTINCT path, key FROM k"
+SQL["hybrid_readiness"] = """SELECT n >= 100 AND floor(100.0 * n / greatest(p, 1)) >= 20 AS usable, false AS without_model, false AS with_too_few
+FROM (SELECT count(*) FILTER (WHERE length(text) >= 40) AS p, count(*) FILTER (WHERE doc_id IN (SELECT vec_id FROM embeddings)) AS n FROM documents)"""
+SQL["new_files"] = """SELECT '/Lib/' || c_custkey || '.PDF' AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+AND c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 50 = 0)"""
+SQL["one_source_per_file"] = f"""WITH {_NAMES} SELECT path, id FROM k
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY path NOT IN (SELECT path FROM n WHERE id % 5 = 0), path, CAST(id AS VARCHAR)) = 1"""
+SQL["path_spellings"] = f"WITH {_NAMES} SELECT DISTINCT path FROM k WHERE key = '/lib/en/src1.pdf'"
+SQL["exact_delete_counts"] = "SELECT count(*) AS pages, count(*) AS pyear FROM documents WHERE source = 'src7'"
+SQL["collection_of_path"] = "SELECT doc_id AS id, lang AS collection FROM documents"
+SQL["decision_tally"] = """SELECT status, count(*) AS n FROM (SELECT source, CASE WHEN avg(CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) >= 400 THEN 1 ELSE 0 END) < 0.9 THEN 'image-only' ELSE 'indexed' END AS status
+FROM documents GROUP BY source) GROUP BY status"""
+SQL["leading_years"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS year FROM orders"
+SQL["embedded_pages"] = "SELECT doc_id AS rowid, round(CAST(CAST(3 / sqrt(m * m + 25) AS FLOAT) AS DOUBLE), 4) AS second, 'lengths' AS model_id FROM (SELECT doc_id, least(length(text), 1200) % 7 AS m FROM documents)"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.engine import Engine, Library
 from folioscope.functions import titles, udtf, years
-from folioscope.functions.analysis import fold, light_stems, unmark
+from folioscope.functions.analysis import ascii_words, fold, light_stems, unmark
 from folioscope.operators import library, postings, ranking, repairs, topics, vectors
 from folioscope.operators.postings import Index
 from folioscope.plans import querylang
@@ -585,3 +585,121 @@ def engine_hybrid(spark, sf_dir):
     vector = one_vector(spark, sf_dir)
     engine = Engine(spark, Library(own.drop("year"), years=own.select("rowid", "year"), vectors=stored_vectors(spark, sf_dir)), index_of(spark, sf_dir), embed=lambda q: vector)
     return engine.search("with", hybrid=True, limit=15).hits.select("rowid", "title", F.round("score", 8).alias("score"))
+
+
+# ---- queries as typed, single pages ----------------------------------------------------------------------------
+
+@query
+def search_form(spark, sf_dir):
+    """The fields of the search form together: all words, a phrase, any words and none."""
+    parsed = querylang.parse("", all_words="with from", phrase="of the", any_words="this that", none_words="which")
+    return best(matched(index_of(spark, sf_dir), parsed))
+
+
+@query
+def search_simple(spark, sf_dir):
+    return best(matched(index_of(spark, sf_dir), querylang.simple('"of the" with')))
+
+
+@query
+def search_simple_any(spark, sf_dir):
+    return best(matched(index_of(spark, sf_dir), querylang.simple("with from", any_mode=True)))
+
+
+@query
+def search_expanded(spark, sf_dir):
+    return best(matched(index_of(spark, sf_dir), querylang.expanded("colour with", any_mode=True)))
+
+
+@query
+def rewritten_queries(spark, sf_dir):
+    """What a typed query is said to have become, and what the vector side is asked."""
+    typed = ["colour chart", "plain words", "gönye"]
+    rows = [(q, "; ".join(" > ".join(x) for x in querylang.describe(q)), querylang.semantic_text(q)) for q in typed]
+    return spark.createDataFrame(rows, "typed string, rewritten string, asked string")
+
+
+@query
+def page_text(spark, sf_dir):
+    """The text of one page, and no row for a page that isn't there."""
+    engine = Engine(spark, Library(pages(spark, sf_dir)), None)
+    return engine.text(42).unionByName(engine.text(-1)).select("title", "collection", "page", F.md5("text").alias("digest"))
+
+
+@query
+def page_terms(spark, sf_dir):
+    out = Engine(spark, Library(pages(spark, sf_dir)), None).terms(42)
+    return out.select("title", "page", F.array_join("terms", " ").alias("terms"))
+
+
+@query
+def ascii_tokens(spark, sf_dir):
+    return pages(spark, sf_dir).select("rowid", F.size(ascii_words(F.lower("text"))).alias("n"))
+
+
+@query
+def stored_paths(spark, sf_dir):
+    return Engine(spark, Library(pages(spark, sf_dir), sources=_paths(spark, sf_dir)), None).paths()
+
+
+@query
+def hybrid_readiness(spark, sf_dir):
+    """Whether the vector layer covers enough pages to take part in ranking."""
+    row = vectors.coverage(pages(spark, sf_dir), stored_vectors(spark, sf_dir)).first()
+    return spark.createDataFrame([(vectors.ready(row, 64), vectors.ready(row, 0), vectors.ready(row, 64, 10**9))], "usable boolean, without_model boolean, with_too_few boolean")
+
+
+# ---- upkeep of a library ---------------------------------------------------------------------------------------
+
+@query
+def new_files(spark, sf_dir):
+    """Customers' files without orders' books and without copies that were merged away."""
+    file = lambda c: F.concat(F.lit("/Lib/"), F.col(c).cast("string"), F.lit(".PDF")).alias("path")
+    book = F.concat(F.lit("\\lib\\\\"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("path")
+    jobs = events_as_jobs(spark, sf_dir).filter("id % 50 = 0").select("path", F.when(F.col("status") == "purchase", "duplicate").otherwise("failed").alias("status"))
+    return library.new_files(read(spark, sf_dir, "customer").select(file("c_custkey")), read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(book), jobs)
+
+
+@query
+def one_source_per_file(spark, sf_dir):
+    own = _paths(spark, sf_dir).withColumn("title", F.col("id").cast("string"))
+    return library.fix_duplicates(own, own.filter(F.col("id") % 5 == 0).select("path")).select("path", "id")
+
+
+@query
+def path_spellings(spark, sf_dir):
+    return library.spellings(_paths(spark, sf_dir), "/LIB//en/SRC1.pdf")
+
+
+@query
+def exact_delete_counts(spark, sf_dir):
+    """Only rows of that very spelling go."""
+    own = pages(spark, sf_dir)
+    gone = spark.createDataFrame([("SRC3",), ("src7",)], "path string")
+    return library.delete_cascade(gone, {"pages": own.select("rowid", "path"), "pyear": own.select("rowid", "year")}, exact=True)[1]
+
+
+@query
+def collection_of_path(spark, sf_dir):
+    return _paths(spark, sf_dir).select("id", sources_files.collection_of(F.regexp_replace("path", r"[\\/]+", "/"), "/Lib").alias("collection"))
+
+
+@query
+def decision_tally(spark, sf_dir):
+    return library.tally(library.classify(pages(spark, sf_dir), 400, 0.9), "status")
+
+
+@query
+def leading_years(spark, sf_dir):
+    """Years at the front of names, over all orders."""
+    own = read(spark, sf_dir, "orders")
+    name = F.concat(F.year("o_orderdate").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, F.lit(" Plain ")).otherwise(F.lit("Plain")), F.col("o_orderkey").cast("string"))
+    return own.select("o_orderkey", titles.leading_year(name).alias("year"))
+
+
+@query
+def embedded_pages(spark, sf_dir):
+    """Vectors of a model that counts characters, at unit length."""
+    model = lambda texts: [[float(len(t) % 7), 3.0, 4.0] for t in texts]
+    out = vectors.embed(pages(spark, sf_dir).select("rowid", "text"), model, "lengths", 1200)
+    return out.select("rowid", F.round(F.col("vec")[1].cast("double"), 4).alias("second"), "model_id")
