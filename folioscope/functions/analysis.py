@@ -10,8 +10,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The letters that fold to ASCII in queries, and the word patterns of the query box.
@@ -113,6 +112,7 @@ _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
 
+@lru_cache(None)
 def _rules(text: str) -> list[tuple[str, str]]:
     return sorted((tuple(r.split(":")) for r in text.split(" ")), key=lambda r: -len(r[0]))
 
@@ -164,14 +164,6 @@ def porter(w: str) -> str:
     return w
 
 
-def stemmed(terms: DataFrame, term: str = "term", out: str = "stem") -> DataFrame:
-    """Distinct terms with their stems; join it back by term."""
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(porter)
-
-    return terms.select(term).distinct().withColumn(out, F.pandas_udf(run, "string")(term))
-
-
 #: Analyser name -> expression for terms of a text, and the function that a query's words go through.
 ANALYSERS: dict[str, tuple[Callable[[Column], Column], bool]] = {"simple": (simple_terms, False), "porter": (unmarked_terms, True)}
 

@@ -1,34 +1,42 @@
 """The inverted index: postings, document figures, corpus figures.
 
-Postings are written once, spread by a hash of the term and sorted by term and row, so a query reads
-only the row groups that its few terms lie in and never tokenises a text.  A frequent term's postings
-are spread over several files by a salt.  Each posting has its row's length, so scoring joins nothing,
-and nothing that ranks reads the texts.
+A posting is one term's positions in one row.  Postings are written in segments: each task inverts the
+rows that it reads, a few million tokens at a time, and writes every segment sorted by term and row, so
+building the index moves no token between tasks and sorts nothing beyond a segment.  A query reads only
+the pages that its few terms lie in and never tokenises a text.  Each posting has its row's length, so
+scoring joins nothing, and nothing that ranks reads the texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioscope.functions.analysis import ANALYSERS, stemmed
+from folioscope.functions.analysis import ANALYSERS, porter
 
-#: Rows whose postings of one term may meet in one file, by their ids.
-SALT_ROWS = 4_000_000
+#: Tokens that are inverted at once, but for a longer row; and rows of an Arrow batch that is handed back.
+SEGMENT_TOKENS = 2_000_000
+BATCH_ROWS = 50_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, rowid, pos, doc_len), docs(rowid, doc_len, ...), and the number and mean length of rows."""
+    """postings(term, rowid, pos, doc_len), docs(rowid, doc_len, ...), and the number and mean length of rows.
+
+    ``pos`` lists a term's positions in a row, ascending.  ``unique``: no id is that of two rows, so a term
+    and an id have one posting.
+    """
 
     postings: DataFrame
     docs: DataFrame
     rows: int
     mean: float
     analyser: str = "simple"
+    unique: bool = True
 
 
 def _field_terms(analyser: str, fields: tuple[str, ...]) -> list[Column]:
@@ -36,44 +44,105 @@ def _field_terms(analyser: str, fields: tuple[str, ...]) -> list[Column]:
     return [terms(F.coalesce(F.col(c), F.lit(""))) for c in fields]
 
 
-def _placed_from(begin: Column) -> Callable[[Column, Column], Column]:
-    return lambda t, i: F.struct((begin + i).alias("pos"), t.alias("term"))
+def _inverter(fields: int, attributes: list[str], stems: bool) -> Callable[[Iterator], Iterator]:
+    """Arrow batches of (rowid, t0, ..., attributes...) to batches of (term, rowid, pos, doc_len, attributes...)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known: dict[str, str] = {}
+
+        def stem(w: str) -> str:
+            if w not in known:
+                if len(known) >= 500_000:
+                    known.clear()
+                known[w] = porter(w)
+            return known[w]
+
+        def inverted(part: pa.RecordBatch) -> pa.Table:
+            n, begin = part.num_rows, np.zeros(part.num_rows, np.int64)
+            values, rows, places = [], [], []
+            for k in range(fields):
+                listed = part.column(f"t{k}")
+                size = np.asarray(pc.list_value_length(listed), np.int64)
+                values.append(listed.flatten())
+                rows.append(np.repeat(np.arange(n), size))
+                places.append(np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size))
+                begin += size + 1
+            length = (begin - fields).astype(np.int32)
+            coded = pa.concat_arrays(values).dictionary_encode()
+            terms, code = coded.dictionary, np.asarray(coded.indices)
+            if stems:
+                again = pa.array([stem(w) for w in terms.to_pylist()], terms.type).dictionary_encode()
+                terms, code = again.dictionary, np.asarray(again.indices)[code]
+            order = np.asarray(pc.sort_indices(terms))
+            rank = np.empty(len(terms), np.int64)
+            rank[order] = np.arange(len(terms))
+            key = rank[code] * n + np.concatenate(rows)
+            by = np.argsort(key, kind="stable")  # fields follow one another, so positions stay in order
+            key = key[by]
+            at = np.flatnonzero(np.diff(key, prepend=-1))
+            row = key[at] % n
+            first, whole = pa.nulls(n, terms.type), np.arange(n)
+            ends = np.concatenate([np.zeros(n, np.int32), at, [len(key)]]).astype(np.int32)
+            columns = {
+                "term": pa.concat_arrays([first, terms.take(pa.array(order[key[at] // n]))]),
+                "rowid": part.column("rowid").take(pa.array(np.concatenate([whole, row]))),
+                "pos": pa.ListArray.from_arrays(ends, np.concatenate(places)[by].astype(np.int32)),
+                "doc_len": pa.array(length[np.concatenate([whole, row])]),
+            }
+            for c in attributes:
+                own = part.column(f"a_{c}")
+                columns[f"a_{c}"] = pa.concat_arrays([own, pa.nulls(len(at), own.type)])
+            return pa.table(columns)
+
+        for batch in batches:
+            size = sum(np.asarray(pc.list_value_length(batch.column(f"t{k}")), np.int64) for k in range(fields))
+            segment, begin = np.cumsum(size) // SEGMENT_TOKENS, 0
+            for end in [*np.flatnonzero(np.diff(segment)) + 1, batch.num_rows]:
+                if end > begin:
+                    yield from inverted(batch.slice(begin, end - begin)).to_batches(BATCH_ROWS)
+                begin = end
+
+    return run
+
+
+def _inverted(texts: DataFrame, attributes: list[str], analyser: str, fields: tuple[str, ...]) -> DataFrame:
+    """Postings, and for each row one with a null term that has its attributes (as ``a_<name>``)."""
+    listed = texts.select("rowid", *(t.alias(f"t{k}") for k, t in enumerate(_field_terms(analyser, fields))), *(F.col(c).alias(f"a_{c}") for c in attributes))
+    own = [T.StructField(f"a_{c}", texts.schema[c].dataType) for c in attributes]
+    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("rowid", texts.schema["rowid"].dataType), T.StructField("pos", T.ArrayType(T.IntegerType())), T.StructField("doc_len", T.IntegerType()), *own])
+    return listed.mapInArrow(_inverter(len(fields), attributes, ANALYSERS[analyser][1]), out)
 
 
 def postings_of(texts: DataFrame, analyser: str = "simple", *fields: str) -> DataFrame:
-    """(term, rowid, pos, doc_len) of every token of the fields (``text``); rowid as given.
+    """(term, rowid, pos, doc_len) of every term of each row's fields (``text``); rowid as given.
 
     Between fields a position is left free, so no phrase goes over the end of one.
     """
-    fields = fields or ("text",)
-    listed = texts.select("rowid", *(t.alias(f"t{k}") for k, t in enumerate(_field_terms(analyser, fields))))
-    begin, parts = F.lit(0), []
-    for k in range(len(fields)):
-        parts.append(F.transform(f"t{k}", _placed_from(begin)))
-        begin = begin + F.size(f"t{k}") + 1
-    out = listed.select("rowid", (begin - len(fields)).alias("doc_len"), F.inline(F.concat(*parts)))
-    if ANALYSERS[analyser][1]:
-        out = out.join(stemmed(out), "term").withColumn("term", F.col("stem"))
-    return out.select("term", "rowid", "pos", "doc_len")
-
-
-def save(texts: DataFrame, path: str, attributes: list[str], analyser: str = "simple", files: int | None = None, fields: tuple[str, ...] = ("text",)) -> None:
+    return _inverted(texts, [], analyser, fields or ("text",)).filter("term IS NOT NULL")
+
+
+def save(texts: DataFrame, path: str, attributes: list[str], analyser: str = "simple", fields: tuple[str, ...] = ("text",)) -> None:
     """Writes the index of texts(rowid, fields..., attributes...) below ``path``."""
     spark = texts.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = postings_of(texts, analyser, *fields)
-    salted = postings.repartition(files, F.col("term"), (F.col("rowid") / SALT_ROWS).cast("long"))
-    salted.sortWithinPartitions("term", "rowid", "pos").write.mode("overwrite").parquet(f"{path}/postings")
-    size = sum((F.size(t) for t in _field_terms(analyser, fields)), F.lit(0))
-    lengths = texts.select("rowid", *attributes, size.cast("long").alias("doc_len"))
-    lengths.write.mode("overwrite").parquet(f"{path}/docs")
-    read_docs = spark.read.parquet(f"{path}/docs")
-    read_docs.agg(F.count("*").alias("rows"), F.avg("doc_len").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+    if texts.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        texts = texts.select("rowid", *dict.fromkeys([*fields, *attributes])).repartition("rowid")  # a single file is read by one task
+    # texts are tokenised once: the rows of docs are written with the postings and copied from there
+    _inverted(texts, attributes, analyser, fields).write.mode("overwrite").parquet(f"{path}/postings")
+    whole = spark.read.parquet(f"{path}/postings").filter("term IS NULL")
+    whole.select("rowid", *(F.col(f"a_{c}").alias(c) for c in attributes), F.col("doc_len").cast("long").alias("doc_len")).write.mode("overwrite").parquet(f"{path}/docs")
+    by_id = spark.read.parquet(f"{path}/docs").groupBy("rowid").agg(F.count("*").alias("n"), F.sum("doc_len").alias("len"))
+    figures = by_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), (F.sum("len") / F.sum("n")).alias("mean"), F.coalesce(F.max("n") <= 1, F.lit(True)).alias("unique"))
+    figures.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
 def load(spark: SparkSession, path: str, analyser: str = "simple") -> Index:
     figures = spark.read.parquet(f"{path}/corpus").first()
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), figures.rows, figures.mean or 0.0, analyser)
+    postings = spark.read.parquet(f"{path}/postings").filter("term IS NOT NULL").select("term", "rowid", "pos", "doc_len")
+    return Index(postings, spark.read.parquet(f"{path}/docs"), figures.rows, figures.mean or 0.0, analyser, figures.unique)
 
 
 def term_df(index: Index, terms: list[str] | None = None) -> DataFrame:

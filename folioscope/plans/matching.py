@@ -1,12 +1,14 @@
 """A query tree compiled to a DataFrame plan over postings: matched rows with BM25 scores.
 
 Postings are first cut down to the query's terms, a filter that reaches the Parquet scan.  Each distinct
-phrase becomes (phrase, rowid, f): a count for one term, a positional self-join for several.  One
-aggregate per row then yields the score and tests the tree, so rows meet in one shuffle.
+phrase becomes (phrase, rowid, f): the length of a posting for one term, a join of postings by row for
+several, which keeps the positions that follow one another.  One aggregate per row then yields the score
+and tests the tree, so rows meet in one shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,17 +28,39 @@ def phrase_counts(index: Index, phrases: list[list[str]]) -> DataFrame:
     single = {p[0]: i for i, p in enumerate(phrases) if len(p) == 1}
     if single:
         number = F.create_map(*(x for t, i in single.items() for x in (F.lit(t), F.lit(i))))
-        parts.append(hits.filter(F.col("term").isin(list(single))).groupBy("term", "rowid").agg(F.count("*").alias("f"), F.max("doc_len").alias("doc_len")).select(number[F.col("term")].alias("phrase"), "rowid", "f", "doc_len"))
+        own = hits.filter(F.col("term").isin(list(single)))
+        if index.unique:
+            own = own.select("term", "rowid", F.size("pos").cast("long").alias("f"), "doc_len")
+        else:
+            own = own.groupBy("term", "rowid").agg(F.sum(F.size("pos")).alias("f"), F.max("doc_len").alias("doc_len"))
+        parts.append(own.select(number[F.col("term")].alias("phrase"), "rowid", "f", "doc_len"))
     for i, p in enumerate(phrases):
         if len(p) > 1:
-            at = hits.filter(F.col("term") == p[0]).select("rowid", "pos", "doc_len")
-            for k, term in enumerate(p[1:], 1):
-                nxt = hits.filter(F.col("term") == term).select("rowid", (F.col("pos") - k).alias("pos"))
-                at = at.join(nxt, ["rowid", "pos"])
-            parts.append(at.groupBy("rowid").agg(F.count("*").alias("f"), F.max("doc_len").alias("doc_len")).select(F.lit(i).alias("phrase"), "rowid", "f", "doc_len"))
+            parts.append(_phrase(index, hits, p).select(F.lit(i).alias("phrase"), "rowid", "f", "doc_len"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _phrase(index: Index, hits: DataFrame, terms: list[str]) -> DataFrame:
+    """(rowid, f, doc_len): where the terms stand one after another."""
+    if not index.unique:  # rows that share an id count as one row whose positions repeat
+        hits = hits.withColumn("pos", F.explode("pos"))
+    at = hits.filter(F.col("term") == terms[0]).select("rowid", "pos", "doc_len")
+    for k, term in enumerate(terms[1:], 1):
+        nxt = hits.filter(F.col("term") == term)
+        if index.unique:
+            begins = F.array_intersect("pos", F.transform("next", _back(k)))
+            at = at.join(nxt.select("rowid", F.col("pos").alias("next")), "rowid").select("rowid", begins.alias("pos"), "doc_len").filter(F.size("pos") > 0)
+        else:
+            at = at.join(nxt.select("rowid", (F.col("pos") - k).alias("pos")), ["rowid", "pos"])
+    if index.unique:
+        return at.select("rowid", F.size("pos").cast("long").alias("f"), "doc_len")
+    return at.groupBy("rowid").agg(F.count("*").alias("f"), F.max("doc_len").alias("doc_len"))
+
+
+def _back(k: int) -> Callable[[Column], Column]:
+    return lambda x: x - k
+
+
 def idf(rows: int, n: Column) -> Column:
     raw = F.log((F.lit(float(rows)) - n + 0.5) / (n + 0.5))
     return F.when(raw > 0, raw).otherwise(F.lit(1e-6))

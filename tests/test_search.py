@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from folioscope.config import Options
 from folioscope.engine import Engine, Library, article_index, build_index
-from folioscope.operators import ranking
+from folioscope.operators import postings, ranking
 from folioscope.plans import querylang
-from folioscope.plans.matching import matched
+from folioscope.plans.matching import matched, phrase_counts
 from folioscope.plans.querylang import Lexicon, Query
 
 CORPUS = [
@@ -160,3 +160,38 @@ def test_options(tmp_path):
     path.write_text('{"per_work": 3, "rrf_k": 10}')
     got = Options.load(str(path), {"FOLIOSCOPE_RRF_K": "20", "FOLIOSCOPE_TRANSLATE": "yes"})
     assert (got.per_work, got.rrf_k, got.translate, got.b) == (3, 20, True, 0.75)
+
+
+@pytest.mark.parametrize("analyser", ["simple", "porter"])
+def test_an_index_moves_no_tokens(spark, analyser):
+    """One posting for each term and row, made where the row is read, in segments of few tokens."""
+    texts = spark.createDataFrame([(i, "saws saw the saw " * i) for i in range(5)], "rowid long, text string")
+    made = postings.postings_of(texts, analyser)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.term, r.rowid): r.pos for r in made.collect()}
+    assert made.count() == len(got) == (8 if analyser == "porter" else 12)
+    assert got["the", 2] == [2, 6] and got["saw", 1] == ([0, 1, 3] if analyser == "porter" else [1, 3])
+
+
+def test_segments_of_an_index_end_between_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "SEGMENT_TOKENS", 3)
+    rows = [(i, f"of the w{i} of the", "x") for i in range(20)] + [(20, None, "y"), (21, "", None)]
+    index = build_index(spark.createDataFrame(rows, "rowid long, text string, title string").coalesce(1), str(tmp_path / "index"), ["title"], "simple")
+    assert {(r.rowid, r.f) for r in phrase_counts(index, [["of", "the"]]).collect()} == {(i, 2) for i in range(20)}
+    assert {(r.rowid, r.title, r.doc_len) for r in index.docs.collect()} == {(i, t, 5 if i < 20 else 0) for i, _, t in rows}
+    assert index.rows == 22 and math.isclose(index.mean, 100 / 22) and index.unique
+    assert {r.term: r.df for r in postings.term_df(index, ["of", "w3"]).collect()} == {"of": 20, "w3": 1}
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    """They count as one row, in frequencies, phrases and document figures alike."""
+    rows = [(1, "of the saw"), (1, "of the the"), (2, "the of the"), (None, "of the")]
+    index = build_index(spark.createDataFrame(rows, "rowid long, text string"), str(tmp_path / "index"), [], "simple")
+    assert not index.unique and index.rows == 4
+    counts = {(r.phrase, r.rowid): r.f for r in phrase_counts(index, [["the"], ["of", "the"]]).collect()}
+    assert counts == {(0, 1): 3, (0, 2): 2, (0, None): 1, (1, 1): 4, (1, 2): 1}
+
+
+def test_an_empty_library(spark, tmp_path):
+    index = build_index(spark.createDataFrame([], "rowid long, text string"), str(tmp_path / "index"), [], "porter")
+    assert index.rows == 0 and matched(index, Query((("saw",),))).count() == 0 and postings.term_df(index).count() == 0
