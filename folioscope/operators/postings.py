@@ -148,4 +148,5 @@ def load(spark: SparkSession, path: str, analyser: str = "simple") -> Index:
 def term_df(index: Index, terms: list[str] | None = None) -> DataFrame:
     """Rows in which each term occurs."""
     found = index.postings if terms is None else index.postings.filter(F.col("term").isin(terms))
-    return found.select("term", "rowid").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    pairs = found.select("term", "rowid")
+    return (pairs if index.unique else pairs.distinct()).groupBy("term").agg(F.count("rowid").alias("df"))

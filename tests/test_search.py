@@ -190,6 +190,7 @@ def test_rows_that_share_an_id(spark, tmp_path):
     assert not index.unique and index.rows == 4
     counts = {(r.phrase, r.rowid): r.f for r in phrase_counts(index, [["the"], ["of", "the"]]).collect()}
     assert counts == {(0, 1): 3, (0, 2): 2, (0, None): 1, (1, 1): 4, (1, 2): 1}
+    assert {r.term: r.df for r in postings.term_df(index, ["the", "saw"]).collect()} == {"the": 2, "saw": 1}  # an id that is null is none
 
 
 def test_an_empty_library(spark, tmp_path):
