@@ -1,6 +1,7 @@
 """Query language, matching, ranking, the facade; on hand-made corpora and against brute force."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.config import Options
 from folioscope.engine import Engine, Library, article_index, build_index
-from folioscope.operators import postings, ranking
+from folioscope.operators import postings, ranking, topics
 from folioscope.plans import querylang
 from folioscope.plans.matching import matched, phrase_counts
 from folioscope.plans.querylang import Lexicon, Query
@@ -196,3 +197,34 @@ def test_rows_that_share_an_id(spark, tmp_path):
 def test_an_empty_library(spark, tmp_path):
     index = build_index(spark.createDataFrame([], "rowid long, text string"), str(tmp_path / "index"), [], "porter")
     assert index.rows == 0 and matched(index, Query((("saw",),))).count() == 0 and postings.term_df(index).count() == 0
+
+
+def _counted(texts, q, min_df):
+    """Words and pairs of neighbours by brute force, in order, families of one word each."""
+    df = Counter(t for x in texts for w in [x.split()] for t in {*w, *map(" ".join, zip(w, w[1:], strict=False))})
+    kept = [(t, n) for t, n in df.items() if n >= min_df and set(t.split()) - {q} and not (" " not in t and t.startswith(q[:5]))]
+    return sorted(kept, key=lambda x: (-x[1], -len(x[0]), x[0]))
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 12, 2_000])
+@pytest.mark.parametrize("cap", [4, 60])
+def test_mined_terms_equal_a_whole_count(spark, monkeypatch, frequent, cap):
+    """However many words are sent along with the scan of pairs; ties at the last place included."""
+    monkeypatch.setattr(topics, "FREQUENT", frequent)
+    pool = random.Random(5)
+    names = ["zaba", "zabu", "zico", "zicu", "zido", "zidu", "zofa", "zofu", "zuga", "zugo"]
+    texts = [" ".join(pool.choices(names, range(10, 0, -1), k=pool.randint(0, 9))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (60, None)], "rowid long, text string")
+    got = [(r.term, r.df) for r in topics.candidate_terms(docs, ["zaba"], 2, cap).collect()]
+    assert got == _counted(texts, "zaba", 2)[:cap]
+
+
+def test_pairs_of_rare_words_are_not_counted(spark):
+    """Only words as frequent as the last of the best terms make up pairs."""
+    docs = spark.createDataFrame([(i, f"zaba zico rare{chr(97 + i)}x other{chr(97 + i)}x") for i in range(20)] * 2, "rowid long, text string")
+    made = topics.candidate_terms(docs, ["none"], 2, 2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.term, r.df) for r in made.collect()] == [("zaba zico", 40), ("zaba", 40)]
+    assert "zaba" in plan and "rareax" not in plan
+    rows = spark.createDataFrame([(["a", "b", "x", "b", "a", "b"],), ([],)], "w array<string>")
+    assert [r.terms for r in topics.neighbours(rows, ["a", "b"]).collect()] == [["a b", "b a"], []]
