@@ -7,10 +7,11 @@ Two analysers turn text into terms.  ``simple`` lower-cases and takes runs of le
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The letters that fold to ASCII in queries, and the word patterns of the query box.
@@ -84,17 +85,27 @@ _VOWELS = frozenset("aeiou")
 
 
 def _vowel(w: str, i: int) -> bool:
-    return w[i] in _VOWELS or (w[i] == "y" and i > 0 and not _vowel(w, i - 1))
+    if w[i] != "y":
+        return w[i] in _VOWELS
+    k = i  # of a run of y the letters are vowels and consonants in turn
+    while k > 0 and w[k - 1] == "y":
+        k -= 1
+    return (k > 0 and w[k - 1] not in _VOWELS) == ((i - k) % 2 == 0)
 
 
 def _measure(stem: str) -> int:
     """Number of vowel-consonant sequences."""
-    shape = [_vowel(stem, i) for i in range(len(stem))]
-    return sum(a and not b for a, b in zip(shape, shape[1:], strict=False))
+    n, before = 0, False
+    for i, c in enumerate(stem):
+        vowel = c in _VOWELS or (c == "y" and i > 0 and not before)
+        n += before and not vowel
+        before = vowel
+    return n
 
 
 def _has_vowel(stem: str) -> bool:
-    return any(_vowel(stem, i) for i in range(len(stem)))
+    """A y is one, but for the first letter: it follows a consonant, or else a vowel."""
+    return not _VOWELS.isdisjoint(stem) or "y" in stem[1:]
 
 
 def _double(w: str) -> bool:
@@ -112,13 +123,19 @@ _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
 
-@lru_cache(None)
-def _rules(text: str) -> list[tuple[str, str]]:
-    return sorted((tuple(r.split(":")) for r in text.split(" ")), key=lambda r: -len(r[0]))
+def _rules(text: str) -> dict[str, list[tuple[str, str]]]:
+    """Suffixes and what stands in their place, the longest first, by their last two letters."""
+    out: dict[str, list[tuple[str, str]]] = {}
+    for suffix, _, other in sorted((r.partition(":") for r in text.split(" ")), key=lambda r: -len(r[0])):
+        out.setdefault(suffix[-2:], []).append((suffix, other))
+    return out
+
 
+_RULES2, _RULES3, _RULES4 = map(_rules, (_STEP2, _STEP3, _STEP4))
 
-def _replace(w: str, rules: list[tuple[str, str]], least: int) -> str:
-    for suffix, other in rules:
+
+def _replace(w: str, rules: dict[str, list[tuple[str, str]]], least: int) -> str:
+    for suffix, other in rules.get(w[-2:], ()):
         if w.endswith(suffix):
             stem = w[: len(w) - len(suffix)]
             return stem + other if _measure(stem) > least else w
@@ -129,10 +146,11 @@ def porter(w: str) -> str:
     """The stem of a lower-cased word; words of other scripts and of two letters stay."""
     if len(w) < 3 or not w.isascii() or not w.isalpha():
         return w
-    if w.endswith("sses") or w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
-        w = w[:-1]
+    if w[-1] == "s":
+        if w.endswith(("sses", "ies")):
+            w = w[:-2]
+        elif not w.endswith("ss"):
+            w = w[:-1]
     if w.endswith("eed"):
         if _measure(w[:-3]) > 0:
             w = w[:-1]
@@ -149,25 +167,79 @@ def porter(w: str) -> str:
                 break
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    w = _replace(w, _rules(_STEP2), 0)
-    w = _replace(w, _rules(_STEP3), 0)
-    for suffix in sorted(_STEP4.split(), key=lambda s: -len(s)):
+    w = _replace(w, _RULES2, 0)
+    w = _replace(w, _RULES3, 0)
+    for suffix, _ in _RULES4.get(w[-2:], ()):
         if w.endswith(suffix):
             stem = w[: -len(suffix)]
             if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
                 w = stem
             break
-    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _cvc(w[:-1]))):
+    if w.endswith("e") and (n := _measure(w[:-1])) > 0 and (n > 1 or not _cvc(w[:-1])):
         w = w[:-1]
-    if _measure(w) > 1 and _double(w) and w.endswith("l"):
+    if w.endswith("ll") and _measure(w) > 1:
         w = w[:-1]
     return w
 
 
+@lru_cache(200_000)
+def stem(w: str) -> str:
+    """``porter`` of the words met last; a Python worker keeps them from task to task."""
+    return porter(w)
+
+
 #: Analyser name -> expression for terms of a text, and the function that a query's words go through.
 ANALYSERS: dict[str, tuple[Callable[[Column], Column], bool]] = {"simple": (simple_terms, False), "porter": (unmarked_terms, True)}
 
 
+class Letters(dict):
+    """For ``str.translate``: what an analyser makes of a single character; letters are entered as they are met."""
+
+    def __init__(self, changed: dict[int, str], kept: list[tuple[int, int]]):
+        super().__init__(changed)
+        self.changed, self.kept = changed, kept
+
+    def __missing__(self, c: int) -> str:
+        i = bisect_right(self.kept, (c, 0x110000)) - 1
+        self[c] = chr(c) if i >= 0 and c <= self.kept[i][1] else " "
+        return self[c]
+
+    def __reduce__(self):
+        return Letters, (self.changed, self.kept)
+
+    def terms(self, run: str) -> list[str]:
+        return [t for t in run.translate(self).split(" ") if t]
+
+
+#: Characters that are looked up at once; planes of Unicode that have letters or marks; and the one letter whose lower
+#: case depends on its neighbours.
+_BLOCK = 4_096
+_PLANES = (range(0x80, 0xD800), range(0xE000, 0x40000), range(0xE0000, 0xE0200))
+FINAL_FORM = "Σ"
+
+
+@lru_cache(None)
+def letters(analyser: str) -> Letters:
+    """An analyser's expression as a table of characters beyond ASCII, read off from the expression itself.
+
+    In both analysers each character but ``FINAL_FORM`` is treated alike wherever it stands, and A-Z, a-z and 0-9
+    are the terms' characters within ASCII.
+    """
+    spark, terms = SparkSession.active(), ANALYSERS[analyser][0]
+    blocks = [(r[i], "\n".join(f"a{chr(c)}a" for c in r[i : i + _BLOCK])) for r in _PLANES for i in range(0, len(r), _BLOCK)]
+    made = F.array_join(F.transform(F.split("x", "\n"), lambda x: F.concat_ws(" ", terms(x))), "\n")
+    changed: dict[int, str] = {}
+    kept = [(ord("0"), ord("9")), (ord("a"), ord("z"))]
+    for first, found in sorted(spark.createDataFrame(blocks, "first int, x string").select("first", made).collect()):
+        for c, own in enumerate(found.split("\n"), first):
+            if own[1:-1] == chr(c):
+                joined = kept[-1][1] == c - 1
+                kept[-1:] = [(kept[-1][0], c)] if joined else [kept[-1], (c, c)]
+            elif own[1:-1] != " ":
+                changed[c] = own[1:-1]
+    return Letters(changed, kept)
+
+
 def python_terms(text: str, analyser: str = "simple") -> list[str]:
     """The same terms on the driver, for the few words of a query."""
     import regex

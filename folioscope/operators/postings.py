@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.functions.analysis import ANALYSERS, porter
+from folioscope.functions.analysis import ANALYSERS, FINAL_FORM, Letters, letters, stem
 
-#: Tokens that are inverted at once, but for a longer row; and rows of an Arrow batch that is handed back.
+#: Tokens that are inverted at once, about, but for a longer row; a token's bytes with what follows it; and rows of an
+#: Arrow batch that is handed back.
 SEGMENT_TOKENS = 2_000_000
+TOKEN_BYTES = 6
 BATCH_ROWS = 50_000
 
 
@@ -39,56 +41,106 @@ class Index:
     unique: bool = True
 
 
-def _field_terms(analyser: str, fields: tuple[str, ...]) -> list[Column]:
-    terms = ANALYSERS[analyser][0]
-    return [terms(F.coalesce(F.col(c), F.lit(""))) for c in fields]
+def _runs(texts) -> tuple:
+    """Runs of ASCII letters and digits and of all characters beyond ASCII: their number in each text, and all of them.
 
-
-def _inverter(fields: int, attributes: list[str], stems: bool) -> Callable[[Iterator], Iterator]:
-    """Arrow batches of (rowid, t0, ..., attributes...) to batches of (term, rowid, pos, doc_len, attributes...)."""
+    Letters A-Z are lower-cased; runs are byte strings.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(texts) or offsets[0] == offsets[-1]:
+        return np.zeros(len(texts), np.int64), pa.array([], pa.binary())
+    kept = np.zeros(256, np.uint8)
+    for c in (*range(48, 58), *range(97, 123), *range(128, 256)):
+        kept[c] = c
+    kept[65:91] = kept[97:123]
+    own = kept[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]]
+    inside = own != 0
+    at = offsets - offsets[0]
+    heads = at[:-1][at[:-1] < at[1:]]  # runs end with their text
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[heads] = inside[heads]
+    ends[:-1] &= ~inside[1:]
+    ends[heads[1:] - 1] = inside[heads[1:] - 1]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+    places = np.concatenate([[0], np.cumsum(ends + 1 - begins)]).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(places), pa.py_buffer(own[inside])])
+    return np.diff(np.searchsorted(begins, at)), found
+
+
+def _order(key):
+    """A stable order of numbers from 0, by 16 bits at a time."""
+    import numpy as np
+
+    by = np.argsort(key.astype(np.uint16), kind="stable")
+    for bits in range(16, int(key.max(initial=0)).bit_length(), 16):
+        by = by[np.argsort((key >> bits).astype(np.uint16)[by], kind="stable")]
+    return by
+
+
+def _inverter(fields: int, attributes: list[str], table: Letters, stems: bool) -> Callable[[Iterator], Iterator]:
+    """Arrow batches of (rowid, t0, ..., attributes...), t0 a text, to batches of (term, rowid, pos, doc_len, attributes...)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        known: dict[str, str] = {}
-
-        def stem(w: str) -> str:
-            if w not in known:
-                if len(known) >= 500_000:
-                    known.clear()
-                known[w] = porter(w)
-            return known[w]
+        import pyarrow.compute  # noqa: F401
+
+        def terms_of(runs: pa.Array) -> tuple:
+            """Distinct terms of distinct runs; each run's number of terms, the first one's place, and codes by place."""
+            size, first = np.ones(len(runs), np.int64), np.arange(len(runs))
+            offsets = np.frombuffer(runs.buffers()[1], np.int32)[runs.offset : runs.offset + len(runs) + 1]
+            data = np.frombuffer(runs.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+            odd = np.zeros(len(runs), bool)
+            odd[np.searchsorted(offsets, np.flatnonzero(data >= 128), "right") - 1] = True
+            parts = [table.terms(x.decode("utf-8", "replace")) for x in runs.filter(pa.array(odd)).to_pylist()]
+            plain = runs.filter(pa.array(~odd)).cast(pa.string())
+            size[odd] = [len(x) for x in parts]
+            first[~odd] = np.arange(len(plain))
+            first[odd] = len(plain) + np.cumsum(size[odd]) - size[odd]
+            words = pa.concat_arrays([plain, pa.array([t for x in parts for t in x], pa.string())])
+            if stems:
+                words = pa.array([stem(w) for w in words.to_pylist()], pa.string())
+            coded = words.dictionary_encode()
+            return coded.dictionary, size, first, np.asarray(coded.indices)
 
         def inverted(part: pa.RecordBatch) -> pa.Table:
             n, begin = part.num_rows, np.zeros(part.num_rows, np.int64)
-            values, rows, places = [], [], []
-            for k in range(fields):
-                listed = part.column(f"t{k}")
-                size = np.asarray(pc.list_value_length(listed), np.int64)
-                values.append(listed.flatten())
-                rows.append(np.repeat(np.arange(n), size))
-                places.append(np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size))
-                begin += size + 1
+            found = [_runs(part.column(f"t{k}")) for k in range(fields)]
+            coded = pa.concat_arrays([x for _, x in found]).dictionary_encode()
+            terms, number, first, codes = terms_of(coded.dictionary)
+            code = np.asarray(coded.indices)
+            rows = np.concatenate([np.repeat(np.arange(n), size) for size, _ in found])
+            times = number[code]
+            ends = np.cumsum(times)
+            cuts = np.concatenate([[0], ends])[np.cumsum([0, *(len(x) for _, x in found)])]
+            if (times != 1).any():
+                rows = np.repeat(rows, times)
+                code = codes[np.repeat(first[code] - (ends - times), times) + np.arange(len(rows))]
+            else:
+                code = codes[first[code]]
+            places = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                size = np.bincount(rows[a:b], minlength=n)
+                places.append(np.arange(b - a) + np.repeat(begin - (np.cumsum(size) - size), size))
+                begin = begin + size + 1
             length = (begin - fields).astype(np.int32)
-            coded = pa.concat_arrays(values).dictionary_encode()
-            terms, code = coded.dictionary, np.asarray(coded.indices)
-            if stems:
-                again = pa.array([stem(w) for w in terms.to_pylist()], terms.type).dictionary_encode()
-                terms, code = again.dictionary, np.asarray(again.indices)[code]
-            order = np.asarray(pc.sort_indices(terms))
+            order = np.asarray(pa.compute.sort_indices(terms))
             rank = np.empty(len(terms), np.int64)
             rank[order] = np.arange(len(terms))
-            key = rank[code] * n + np.concatenate(rows)
-            by = np.argsort(key, kind="stable")  # fields follow one another, so positions stay in order
+            key = rank[code] * n + rows
+            by = _order(key)  # fields follow one another, so positions stay in order
             key = key[by]
             at = np.flatnonzero(np.diff(key, prepend=-1))
             row = key[at] % n
-            first, whole = pa.nulls(n, terms.type), np.arange(n)
+            empty, whole = pa.nulls(n, terms.type), np.arange(n)
             ends = np.concatenate([np.zeros(n, np.int32), at, [len(key)]]).astype(np.int32)
             columns = {
-                "term": pa.concat_arrays([first, terms.take(pa.array(order[key[at] // n]))]),
+                "term": pa.concat_arrays([empty, terms.take(pa.array(order[key[at] // n]))]),
                 "rowid": part.column("rowid").take(pa.array(np.concatenate([whole, row]))),
                 "pos": pa.ListArray.from_arrays(ends, np.concatenate(places)[by].astype(np.int32)),
                 "doc_len": pa.array(length[np.concatenate([whole, row])]),
@@ -99,8 +151,8 @@ def _inverter(fields: int, attributes: list[str], stems: bool) -> Callable[[Iter
             return pa.table(columns)
 
         for batch in batches:
-            size = sum(np.asarray(pc.list_value_length(batch.column(f"t{k}")), np.int64) for k in range(fields))
-            segment, begin = np.cumsum(size) // SEGMENT_TOKENS, 0
+            size = sum(np.asarray(pa.compute.binary_length(batch.column(f"t{k}")), np.int64) for k in range(fields))
+            segment, begin = np.cumsum(size) // (TOKEN_BYTES * SEGMENT_TOKENS), 0
             for end in [*np.flatnonzero(np.diff(segment)) + 1, batch.num_rows]:
                 if end > begin:
                     yield from inverted(batch.slice(begin, end - begin)).to_batches(BATCH_ROWS)
@@ -109,12 +161,18 @@ def _inverter(fields: int, attributes: list[str], stems: bool) -> Callable[[Iter
     return run
 
 
+def _text(field: str) -> Column:
+    """A field as it is tokenised; where lower case depends on neighbours, lower-cased already."""
+    own = F.coalesce(F.col(field), F.lit(""))
+    return F.when(F.contains(own, F.lit(FINAL_FORM)), F.lower(own)).otherwise(own)
+
+
 def _inverted(texts: DataFrame, attributes: list[str], analyser: str, fields: tuple[str, ...]) -> DataFrame:
     """Postings, and for each row one with a null term that has its attributes (as ``a_<name>``)."""
-    listed = texts.select("rowid", *(t.alias(f"t{k}") for k, t in enumerate(_field_terms(analyser, fields))), *(F.col(c).alias(f"a_{c}") for c in attributes))
+    listed = texts.select("rowid", *(_text(c).alias(f"t{k}") for k, c in enumerate(fields)), *(F.col(c).alias(f"a_{c}") for c in attributes))
     own = [T.StructField(f"a_{c}", texts.schema[c].dataType) for c in attributes]
     out = T.StructType([T.StructField("term", T.StringType()), T.StructField("rowid", texts.schema["rowid"].dataType), T.StructField("pos", T.ArrayType(T.IntegerType())), T.StructField("doc_len", T.IntegerType()), *own])
-    return listed.mapInArrow(_inverter(len(fields), attributes, ANALYSERS[analyser][1]), out)
+    return listed.mapInArrow(_inverter(len(fields), attributes, letters(analyser), ANALYSERS[analyser][1]), out)
 
 
 def postings_of(texts: DataFrame, analyser: str = "simple", *fields: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.config import Options
 from folioscope.engine import Engine, Library, article_index, build_index
+from folioscope.functions import analysis
 from folioscope.operators import postings, ranking, topics
 from folioscope.plans import querylang
 from folioscope.plans.matching import matched, phrase_counts
@@ -174,6 +175,25 @@ def test_an_index_moves_no_tokens(spark, analyser):
     assert got["the", 2] == [2, 6] and got["saw", 1] == ([0, 1, 3] if analyser == "porter" else [1, 3])
 
 
+@pytest.mark.parametrize("analyser", ["simple", "porter"])
+def test_an_index_has_the_analysers_terms(spark, analyser):
+    """Texts are sent to be inverted as they are; the terms are those of the analyser's expression, whatever the letters."""
+    pool = random.Random(7)
+    odd = "".join(map(chr, (*range(1, 0x250), *range(0x300, 0x600), 0x1E9E, 0x2019, 0x2160, 0x4E2D, 0xAC00, 0xFB01, 0xFFFD, 0x10400, 0x1D7D8, 0x1F600)))
+    texts = ["", None, " ", "İstanbul Iğdır", "ΟΔΟΣ ΣΑΣ'ΑΣ.Β Σ", "Cafe\u0301s “naïve”—l’été\u0301 ½ x²", odd, "中文 saws", "y" * 2_000 + "ing"]
+    texts += ["".join(pool.choices(odd + "aeiou sss " * 40, k=pool.randint(0, 80))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, x, pool.choice(texts)) for i, x in enumerate(texts)], "rowid long, text string, more string")
+    made = postings.postings_of(docs, analyser, "text", "more")
+    assert "regexp" not in made._jdf.queryExecution().executedPlan().toString().lower()
+    want = {}
+    terms, stems = analysis.ANALYSERS[analyser]
+    for r in docs.select("rowid", *(terms(F.coalesce(c, F.lit(""))).alias(c) for c in ("text", "more"))).collect():
+        for k, w in [*enumerate(r.text), *enumerate(r.more, len(r.text) + 1)]:
+            want.setdefault((analysis.porter(w) if stems else w, r.rowid, len(r.text) + len(r.more)), []).append(k)
+    got = [((r.term, r.rowid, r.doc_len), r.pos) for r in made.collect()]
+    assert dict(got) == want and len(got) == len(want)
+
+
 def test_segments_of_an_index_end_between_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(postings, "SEGMENT_TOKENS", 3)
     rows = [(i, f"of the w{i} of the", "x") for i in range(20)] + [(20, None, "y"), (21, "", None)]
